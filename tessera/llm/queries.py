@@ -29,6 +29,13 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), drop_text=True)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 #: The rules that op7's result is fixed for.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -65,6 +72,7 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 QUERIES = {
     "op1_context_range_coder": op1_context_range_coder,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_robust_outliers": op4_robust_outliers,
     "op7_url_rules": op7_url_rules,
 }
 ORACLES = {"op7_url_rules": OP7_SQL}
