@@ -53,6 +53,12 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -74,5 +80,6 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_robust_outliers": op4_robust_outliers,
     "op7_url_rules": op7_url_rules,
+    "op8_diagonal_voting": op8_diagonal_voting,
 }
 ORACLES = {"op7_url_rules": OP7_SQL}
