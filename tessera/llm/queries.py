@@ -59,6 +59,12 @@ def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op9_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.repeats import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -81,5 +87,6 @@ QUERIES = {
     "op4_robust_outliers": op4_robust_outliers,
     "op7_url_rules": op7_url_rules,
     "op8_diagonal_voting": op8_diagonal_voting,
+    "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
 }
 ORACLES = {"op7_url_rules": OP7_SQL}
