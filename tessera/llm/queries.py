@@ -65,6 +65,12 @@ def op9_sparse_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -88,5 +94,6 @@ QUERIES = {
     "op7_url_rules": op7_url_rules,
     "op8_diagonal_voting": op8_diagonal_voting,
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
+    "op10_prefix_tree_join": op10_prefix_tree_join,
 }
 ORACLES = {"op7_url_rules": OP7_SQL}
