@@ -36,6 +36,12 @@ def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op5_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 #: The rules that op7's result is fixed for.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -91,6 +97,7 @@ QUERIES = {
     "op1_context_range_coder": op1_context_range_coder,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_robust_outliers": op4_robust_outliers,
+    "op5_skip_chain_crf": op5_skip_chain_crf,
     "op7_url_rules": op7_url_rules,
     "op8_diagonal_voting": op8_diagonal_voting,
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
