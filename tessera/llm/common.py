@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
+BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
 #: `[\x20\x09-\x0D]` separates words.
@@ -54,7 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse."""
     if "p" not in _POWERS or len(_POWERS["p"]) < n:
         size = max(n, 1 << 16)
         for key, base in (("p", _MULT), ("i", _INV)):
@@ -103,9 +104,9 @@ class Words:
         flag = np.append(inside, False)
         self.start = np.flatnonzero(flag & (~before | first))
         self.end = np.flatnonzero(before & (~flag | first))
-        power, inverse = _powers(len(data) + 1)
+        power, inverse = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
+        np.cumsum(BYTE[data] * power[:-1], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U64))
         self.bounds = np.searchsorted(self.start, rows)
         self.row_end = np.repeat(self.bounds[1:], np.diff(self.bounds))
@@ -141,3 +142,44 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
 def strings(arr: pa.Array) -> list[str]:
     """The rows of a string column; null is empty."""
     return [x or "" for x in arr.to_pylist()]
+
+
+class IdStore:
+    """Runs of ids by a 64-bit key, kept by a worker from batch to batch; starts anew beyond `most` keys."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the distinct keys, in order, are not there."""
+        if len(self.keys) > self.most:
+            self.clear()
+        place = np.searchsorted(self.keys, keys)
+        out = np.ones(len(keys), bool)
+        known = place < len(self.keys)
+        out[known] = self.keys[place[known]] != keys[known]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """The runs of new keys in order, all ids in a row."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+
+    def gather(self, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the keys numbered `which` in a row, and the offset after each (from 0)."""
+        place = np.searchsorted(self.keys, keys)
+        size = self.size[place][which]
+        ends = np.cumsum(size)
+        count = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.at[place][which] - ends + size, size) + np.arange(count)]
+        return ids, np.concatenate([[0], ends])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shared_folder, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -18,14 +18,14 @@ def op1_context_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.id_files import read_ids, write_ids
 
     path = shared_folder(spark)
-    write_ids(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"))
+    write_ids(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -42,6 +42,17 @@ def op5_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_pieces and ids_crc32 with dropout 0.1, and whether the ids decode to the text (null: empty)."""
+    from tessera.llm.pieces import decode_pieces, encode_pieces
+
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = decode_pieces(encode_pieces(docs, path, keep_text=True), path)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return pieces.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("lossless"))
+
+
 #: The rules that op7's result is fixed for.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -98,6 +109,7 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_skip_chain_crf": op5_skip_chain_crf,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_url_rules": op7_url_rules,
     "op8_diagonal_voting": op8_diagonal_voting,
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import U64, _powers, _BYTE, mix, utf8
+from tessera.llm.common import BYTE, U64, IdStore, mix, powers, utf8
 
 #: Distinct chunks that a worker keeps (about 50 bytes each); beyond it the store starts anew.
 KEPT = 4_000_000
@@ -32,11 +32,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blank = blank
-        self._reset()
-
-    def _reset(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.store = IdStore(KEPT)
 
     def _spans(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -66,46 +62,29 @@ class Encoder:
         return at[:-1], at[1:]
 
     def _learn(self, chunks: list[str], keys: np.ndarray) -> None:
-        sizes = []
+        sizes, ids = [], []
         for a in range(0, len(chunks), 20_000):
             group = chunks[a : a + 20_000]
             found = self.tokenizer.encode(group, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(found.ids, np.uint32)
+            ids.append(np.asarray(found.ids, np.uint32))
             sizes.append(np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(group)))
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-        size = np.concatenate(sizes)
-        at = self.used - int(size.sum()) + np.cumsum(size) - size
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size)))
+        self.store.add(keys, np.concatenate(ids), np.concatenate(sizes))
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column in a row, and the offset of each row's first id (one more at the end)."""
         data, rows = utf8(arr)
         start, end = self._spans(data, rows)
-        power, inverse = _powers(len(data) + 1)
+        power, inverse = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, U64)
-        np.cumsum(_BYTE[data] * power[:-1], out=total[1:])
+        np.cumsum(BYTE[data] * power[:-1], out=total[1:])
         hashed = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64))
         keys, first, which = np.unique(hashed, return_index=True, return_inverse=True)
-        if len(self.keys) > KEPT:
-            self._reset()
-        place = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        known = place < len(self.keys)
-        new[known] = self.keys[place[known]] != keys[known]
+        new = self.store.missing(keys)
         if new.any():
             raw = data.tobytes()
             spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
             self._learn([raw[s:e].decode() for s, e in spans], keys[new])
-            place = np.searchsorted(self.keys, keys)
-        size = self.size[place][which]
-        ends = np.cumsum(size)
-        count = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.at[place][which] - ends + size, size) + np.arange(count)]
-        ends = np.concatenate([[0], ends])
+        ids, ends = self.store.gather(keys, which)
         return ids, ends[np.searchsorted(start, rows)]
 
 
