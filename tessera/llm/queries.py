@@ -29,6 +29,32 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50."""
+    from tessera.llm.search import build_index, top_k
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_k(docs.where("doc_id % 50 = 0"), build_index(docs))
+
+
+OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+hits AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * 2.2
+    / (d.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+  FROM tf q JOIN tf d ON q.term = d.term JOIN df ON df.term = q.term JOIN dl ON dl.doc_id = d.doc_id, n
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM hits QUALIFY rank <= 10
+"""
+
+
 def op4_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import judge
 
@@ -107,6 +133,7 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 QUERIES = {
     "op1_context_range_coder": op1_context_range_coder,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_block_max_wand": op3_block_max_wand,
     "op4_robust_outliers": op4_robust_outliers,
     "op5_skip_chain_crf": op5_skip_chain_crf,
     "op6_merge_dropout": op6_merge_dropout,
@@ -115,4 +142,4 @@ QUERIES = {
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
     "op10_prefix_tree_join": op10_prefix_tree_join,
 }
-ORACLES = {"op7_url_rules": OP7_SQL}
+ORACLES = {"op3_block_max_wand": OP3_SQL, "op7_url_rules": OP7_SQL}
