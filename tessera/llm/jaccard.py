@@ -1,19 +1,21 @@
 """N-gram Jaccard join by prefix trees: which texts share at least THRESHOLD of their word n-grams.
 
-1. Every text becomes the ordered set of its distinct 5-word shingles. The order is global: plain shingles by their
-   hash, and after them the frequent ones (a table of at most `FREQUENT` shingles, counted over all texts) from the
-   rarer to the commoner. Any such order gives the same links; this one keeps common passages out of the prefixes.
-   Equal sets are one class from here on.
-2. Two linked sets of n and m shingles share one of the first n // 4 + 1 of the one and of the first m // 4 + 1 of
-   the other. Classes that share such a shingle, and have sizes that a link allows, are tied; each task ties its own
-   classes first and hands on two for each shingle and size step, so that no shingle gathers many more rows than there
-   are tasks. The
-   components of these ties part the classes into groups that no link crosses.
-3. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). Each set walks through it
+1. Every text becomes the set of its distinct 5-word shingles, in the order of their hashes. Equal sets are one class.
+2. Two linked sets of n and m shingles have their first min(n, m) // 16 + 1 common shingles among the first
+   n // 4 + n // 16 + 1 of the one and as many, by m, of the other. So a class can only have a link if enough of the
+   shingles at its beginning stand at the beginning of other classes too. Each task looks among its own classes first
+   and hands on one class for each shingle; those shingles are the one large shuffle.
+3. The texts of the classes that are left are gathered, and their sets ordered anew: plain shingles by hash, then the
+   frequent ones (a table of at most FREQUENT, counted over all these texts) from the rarer to the commoner. Classes
+   that share one of their first n // 4 + 1 shingles, and have sizes that a link allows, are tied; each task ties its
+   own classes first and hands on two for each shingle and size step, so that no shingle gathers many more rows than
+   there are tasks. The components of these ties part the classes into groups that no link crosses. Any order gives
+   the same links; this one keeps common passages from tying unlike texts.
+4. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). Each set walks through it
    level by level: overlaps with a shared run are counted once for all sets below, subtrees whose sizes or remaining
    lengths cannot reach the overlap that a link needs are left, and so are sets of the walker's own component.
    Groups of more than BLOCK sets are split into blocks, and a task holds a pair of blocks.
-4. Links in a tree give components; those of split groups are joined over their blocks.
+5. Links in a tree give components; those of split groups are joined over their blocks.
 
 Empty texts have no shingles and no links; texts under five words have one shingle, all their words. Null texts are
 empty. Rows that repeat one another are one class. An empty table gives no rows.
@@ -34,12 +36,11 @@ from tessera.llm.components import components
 N = 5
 #: Most shingles in the table of frequent ones (8 bytes each, broadcast).
 FREQUENT = 1 << 16
+#: Shingles that a task looks at together (some 100 bytes each while it sorts them).
+HELD = 4_000_000
 #: Sets in a block of a split group.
 BLOCK = 1024
 _TOP = U64(1 << 63)
-_ROWS = "kind string, doc_id long, n long, class long, shingle long, other long"
-_NAMES = ["kind", "doc_id", "n", "class", "shingle", "other"]
-_TYPES = [pa.string(), *[pa.int64()] * 5]
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -64,44 +65,33 @@ class Sets:
             own[there] = mix(own[there] * U64(0xD6E8FEB86659FD93) + words.hash[first[there] + k] + U64(k + 1))
         token = np.concatenate([gram[whole], own])
         row = np.concatenate([row[whole], short])
-        key = token & ~_TOP
+        key = plain = token & ~_TOP
         if frequent.shape[1]:
             at = np.minimum(np.searchsorted(frequent[0], key), frequent.shape[1] - 1)
             hot = frequent[0][at] == key
             key = np.where(hot, _TOP | frequent[1][at], key)
         order = np.lexsort((key, row))
-        key, row = key[order], row[order]
+        key, row, plain = key[order], row[order], plain[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        self.key, self.row = key[fresh], row[fresh]
+        self.key, self.row, self.plain = key[fresh], row[fresh], plain[fresh]
         self.bounds = np.searchsorted(self.row, np.arange(len(count) + 1))
         self.n = np.diff(self.bounds)
 
     def classes(self) -> np.ndarray:
-        """One number for each distinct set; 0 for the empty one."""
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.key))])
-        twice = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.key ^ U64(0x5851F42D4C957F2D)))])
+        """One number for each distinct set, whatever the order; 0 for the empty one."""
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.plain))])
+        twice = np.concatenate([np.zeros(1, U64), np.cumsum(mix(self.plain ^ U64(0x5851F42D4C957F2D)))])
         a, b = (x[self.bounds[1:]] - x[self.bounds[:-1]] for x in (total, twice))
         return np.where(self.n > 0, mix(a * U64(3) ^ mix(b + self.n.astype(U64))), U64(0)).view(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a task sees often, with counts."""
-    none = np.zeros((2, 0), U64)
-    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = Sets(batch.column(1), none)
-            _, first = np.unique(sets.classes(), return_index=True)
-            once = np.zeros(len(sets.n), bool)
-            once[first] = True
-            key, count = np.unique(sets.key[once[sets.row]], return_counts=True)
-            more = count > 1
-            both = np.concatenate([keys, key[more]])
-            keys, at = np.unique(both, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, count[more]]), len(keys)).astype(np.int64)
-    often = counts >= 8
-    yield pa.record_batch([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+    for shingle, _, _, _, _ in _held(batches, np.zeros((2, 0), U64), lambda n: n):
+        key, count = np.unique(shingle, return_counts=True)
+        often = count >= 4
+        yield pa.record_batch([pa.array(key[often]), pa.array(count[often])], names=["shingle", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -134,51 +124,114 @@ def _ties(group: np.ndarray, opens: np.ndarray) -> np.ndarray:
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _classed(frequent):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind d: doc_id, n, class; kind s: shingle of a prefix with n, class; kind e: tied classes."""
-        seen, held, size = set(), [], 0
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, class of every text."""
+    none = np.zeros((2, 0), U64)
+    for whole in batches:
+        for batch in slices(whole):
+            sets = Sets(batch.column(1), none)
+            yield pa.record_batch([batch.column(0), pa.array(sets.n.astype(np.int64)), pa.array(sets.classes())], names=["doc_id", "n", "class"])
 
-        def rows(kind: str, **given: np.ndarray) -> pa.RecordBatch:
-            k = len(next(iter(given.values())))
-            columns = [pa.array(given[x]) if x in given else pa.nulls(k, t) for x, t in zip(_NAMES[1:], _TYPES[1:])]
-            return pa.record_batch([pa.array([kind] * k, pa.string()), *columns], names=_NAMES)
 
-        def tied() -> Iterator[pa.RecordBatch]:
-            shingle, n, group, opens = _spread(*(np.concatenate(x) for x in zip(*held)))
+def _held(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, length, column: int = 1) -> Iterator[tuple[np.ndarray, ...]]:  # noqa: ANN001
+    """(shingle, n, class) of the first length(n) shingles of a task's distinct classes, HELD at a time; then (n, class) of all."""
+    seen, held, classes, size = set(), [], [], 0
+    for whole in batches:
+        for batch in slices(whole):
+            sets = Sets(batch.column(column), frequent)
+            group, n = sets.classes(), sets.n.astype(np.int64)
+            new = np.zeros(len(n), bool)
+            for k, g in enumerate(group.tolist()):
+                if g and g not in seen:
+                    seen.add(g)
+                    new[k] = True
+            place = np.arange(len(sets.key)) - sets.bounds[sets.row]
+            on = new[sets.row] & (place < length(n)[sets.row])
+            held.append((sets.key[on].view(np.int64), n[sets.row[on]], group[sets.row[on]]))
+            classes.append((n[new], group[new]))
+            size += int(on.sum())
+            if size > HELD:
+                yield (*(np.concatenate(x) for x in zip(*held)), *(np.concatenate(x) for x in zip(*classes)))
+                held, classes, size = [], [], 0
+    if held:
+        yield (*(np.concatenate(x) for x in zip(*held)), *(np.concatenate(x) for x in zip(*classes)))
+
+
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that a linked set of n shares with the other at both beginnings: the other has 3 * n / 4 or more."""
+    return (3 * n + 3) // 4 // 16 + 1
+
+
+def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, class) once for each shingle of a task, to be looked up elsewhere; (null, class, need, count) of those shared within the task."""
+    for shingle, _, group, n_all, all_classes in _held(batches, np.zeros((2, 0), U64), lambda n: n // 4 + n // 16 + 1):
+        order = np.lexsort((group, shingle))
+        shingle, group = shingle[order], group[order]
+        first = np.append(True, shingle[1:] != shingle[:-1]) if len(shingle) else np.zeros(0, bool)
+        alone = first & np.append(first[1:], True) if len(shingle) else first
+        by = np.argsort(all_classes)
+        count = np.bincount(by[np.searchsorted(all_classes[by], group[~alone])], minlength=len(all_classes))
+        yield pa.record_batch([pa.array(shingle[first]), pa.array(group[first]), pa.nulls(int(first.sum()), pa.int64()), pa.nulls(int(first.sum()), pa.int64())], names=_BEGUN)
+        yield pa.record_batch([pa.nulls(len(count), pa.int64()), pa.array(all_classes), pa.array(least_shared(n_all)), pa.array(count.astype(np.int64))], names=_BEGUN)
+
+
+_BEGUN = ["shingle", "class", "need", "count"]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts from rows in the order of shingle and class: a shingle counts for its classes if it has two or more."""
+    left: tuple[np.ndarray, ...] | None = None
+
+    def counted(shingle: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1]))
+        shingle, group = shingle[fresh], group[fresh]
+        same = shingle[1:] == shingle[:-1]
+        classes, count = np.unique(group[np.append(False, same) | np.append(same, False)], return_counts=True)
+        return pa.record_batch([pa.array(classes), pa.nulls(len(classes), pa.int64()), pa.array(count)], names=_BEGUN[1:])
+
+    for batch in batches:
+        own = batch.filter(batch.column(0).is_valid())
+        rest = batch.filter(batch.column(0).is_null())
+        if rest.num_rows:
+            yield rest.select([1, 2, 3])
+        shingle, group = (own.column(k).to_numpy() for k in (0, 1))
+        if left is not None:
+            shingle, group = np.concatenate([left[0], shingle]), np.concatenate([left[1], group])
+        if len(shingle):
+            # A shingle that goes on in the next batch is kept back; of a very long run its last two classes do.
+            cut = int(np.searchsorted(shingle, shingle[-1]))
+            if len(shingle) - cut > 200_000:
+                yield counted(shingle, group)
+                left = shingle[-1:], group[-1:]
+            else:
+                if cut:
+                    yield counted(shingle[:cut], group[:cut])
+                left = shingle[cut:], group[cut:]
+    if left is not None and len(left[0]):
+        yield counted(*left)
+
+
+def _tying(frequent):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ties within the task (class, other) and rows (shingle, n, class) for those over tasks."""
+        for shingle, n, group, _, _ in _held(batches, frequent.value, lambda n: n // 4 + 1):
+            shingle, n, group, opens = _spread(shingle, n, group)
             pairs = _ties(group, opens)
-            yield rows("e", **{"class": pairs[:, 0], "other": pairs[:, 1]}) if len(pairs) else rows("e", **{"class": np.zeros(0, np.int64)})
+            if len(pairs):
+                yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_TYING)
             # Of sets within a factor of 4 / 3 in size, the least and the largest stand for those between.
             step = np.floor(np.log(n) / np.log(4 / 3))
             starts = opens.copy()
             starts[1:] |= step[1:] != step[:-1]
             on = starts | np.append(starts[1:], True)
-            yield rows("s", **{"n": n[on], "class": group[on], "shingle": shingle[on]})
-
-        for whole in batches:
-            for batch in slices(whole):
-                sets = Sets(batch.column(1), frequent.value)
-                group, n = sets.classes(), sets.n.astype(np.int64)
-                yield rows("d", **{"doc_id": batch.column(0).to_numpy(zero_copy_only=False), "n": n, "class": group})
-                new = np.zeros(len(n), bool)
-                for k, g in enumerate(group.tolist()):
-                    if g and g not in seen:
-                        seen.add(g)
-                        new[k] = True
-                place = np.arange(len(sets.key)) - sets.bounds[sets.row]
-                on = new[sets.row] & (place <= n[sets.row] // 4)
-                held.append((sets.key[on].view(np.int64), n[sets.row[on]], group[sets.row[on]]))
-                size += int(on.sum())
-                if size > 4_000_000:
-                    yield from tied()
-                    held.clear()
-                    size = 0
-        if held:
-            yield from tied()
+            yield pa.record_batch([pa.array(shingle[on]), pa.array(n[on]), pa.array(group[on]), pa.nulls(int(on.sum()), pa.int64())], names=_TYING)
 
     return run
 
 
+_TYING = ["shingle", "n", "class", "other"]
+
+
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ties of rows (shingle, n, class) in order; a shingle's rows may lie in two batches."""
     left: list[np.ndarray] | None = None
@@ -329,21 +382,25 @@ def _linked(frequent):  # noqa: ANN001, ANN202
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, itself included."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
-    rows = written(docs.mapInArrow(_classed(frequent), _ROWS))
-    of_docs = rows.where("kind = 'd'").select("doc_id", "n", "class")
-    shingles = rows.where("kind = 's'").select("shingle", "n", "class")
+    of_docs = written(docs.mapInArrow(_named, "doc_id long, n long, class long"))
+    begun = docs.mapInArrow(_begun, "shingle long, class long, need long, count long")
+    # Rows without a shingle are counts already; any partition will do for them.
+    dealt_to = F.coalesce("shingle", "class")
+    counts = begun.repartition(dealt_to).sortWithinPartitions("shingle", "class").mapInArrow(_shared, "class long, need long, count long")
+    left = counts.groupBy("class").agg(F.max("need").alias("need"), F.sum("count").alias("count")).where("count >= need").select("class")
+    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(left, "class")
+    # One text stands for a class; the other rows of its id, if any, have another class.
+    texts = written(docs.join(holders, "doc_id").select("class", "text"))
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    tying = written(texts.mapInArrow(_tying(frequent), "shingle long, n long, class long, other long"))
     order = ["shingle", "n", "class"]
-    across = shingles.repartition("shingle").sortWithinPartitions(*order).mapInArrow(_tied, "a long, b long")
-    ties = rows.where("kind = 'e'").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across)
-    groups = components(ties)
-    # One text stands for a class; groups go to blocks, pairs of blocks to tasks.
+    across = tying.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(_tied, "a long, b long")
+    groups = components(tying.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
+    # Groups go to blocks, pairs of blocks to tasks.
     sizes = groups.groupBy("root").agg(F.count("*").alias("sets"))
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     placed = groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    needed_docs = placed.join(holders, "class")
-    texts = docs.join(needed_docs, "doc_id")
+    texts = texts.join(placed, "class")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = texts.withColumn("other", other).select("group", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("blocks") > 1).alias("split"), "block", "class", "text")
     keys = ["group", "block_a", "block_b"]
