@@ -13,10 +13,9 @@ def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.schema(schema + ", _broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return rows.where("_broken IS NULL").drop("_broken")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
