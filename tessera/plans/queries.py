@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, labels, plates
-from tessera.operators import dataset, events, mutations, reports, spatial, windows
+from tessera.operators import boxes, dataset, events, mutations, reports, spatial, windows
 from tessera.plans.domain import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,6 +289,32 @@ def fps_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("camera_id", F.unix_micros("w.start").alias("minute"), "frames")
 
 
+@query(ctes("detections") + " SELECT id FROM detections WHERE class IN ('car', 'truck', 'bus') AND round((x2 - x1) * 1000) >= 50 AND round((y2 - y1) * 1000) >= 30")
+def gate_vehicle_filter(spark: SparkSession, d: str) -> DataFrame:
+    det = view(spark, d, "detections")
+    wide = det.withColumns({"x2": F.round((F.col("x2") - F.col("x1")) * 1000), "y2": F.round((F.col("y2") - F.col("y1")) * 1000), "x1": F.lit(0), "y1": F.lit(0)})
+    return boxes.gate_vehicles(wide).select("id")
+
+
+@query(ctes("detections") + """, p AS (SELECT a.id, b.id AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) AS s, (b.x2 - b.x1) * (b.y2 - b.y1) AS t FROM detections a JOIN detections b ON a.frame_no = b.frame_no AND a.id <> b.id),
+o AS (SELECT id, b, round(greatest(i / (s + t - i), i / least(s, t)), 9) AS overlap FROM p)
+SELECT id, b AS target_id, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.18 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, b) = 1""")
+def best_overlap_target(spark: SparkSession, d: str) -> DataFrame:
+    det = view(spark, d, "detections")
+    return boxes.best_targets(det, det, ["frame_no"]).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(ctes("detections") + " SELECT id, least(coalesce(lead(frame_no) OVER (PARTITION BY track_id ORDER BY frame_no) - frame_no - 1, 14), 14) AS stands_for FROM detections")
+def retained_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return boxes.retained(view(spark, d, "detections")).select("id", "stands_for")
+
+
+@query(ctes("detections") + " SELECT id, CASE WHEN class IN ('train', 'bus') THEN 'truck' ELSE class END AS class, round(confidence * greatest(0.5, 1 - 0.5 * (id % 14) / 14), 6) AS confidence FROM detections")
+def faded_confidence(spark: SparkSession, d: str) -> DataFrame:
+    faded = boxes.faded(F.col("confidence"), (F.col("id") % 14) / 14)
+    return view(spark, d, "detections").select("id", boxes.canonical_class(F.col("class")).alias("class"), F.round(faded, 6).alias("confidence"))
+
+
 # --- datasets ------------------------------------------------------------------------------------------------
 
 _CHECKED = """checked AS (SELECT *, CASE WHEN source_id IS NULL THEN 'missing source' WHEN (media_kind = 'VIDEO') <> (frame_ms IS NOT NULL) THEN 'bad timestamp'
@@ -370,6 +396,13 @@ def gate_kpi(spark: SparkSession, d: str) -> DataFrame:
     return reports.gate_figures(view(spark, d, "gate_events")).withColumn("read_rate", F.col("read_rate").cast("long"))
 
 
+@query(ctes("detections", "edges", "zones", "targets", "labels") + "," + _INSIDE + "," + _STATUS + """
+SELECT (SELECT count(*) FROM judged WHERE status = 'VIOLATION') AS violations, (SELECT count(DISTINCT id) FROM judged) AS objects_in_zones, (SELECT count(*) FROM judged WHERE status = 'ALLOWED') AS allowed, (SELECT count(*) FROM zones) AS active_zones""")
+def area_kpi(spark: SparkSession, d: str) -> DataFrame:
+    counts = _judged(spark, d).agg(F.count_if(F.col("status") == "VIOLATION").alias("violations"), F.countDistinct("id").alias("objects_in_zones"), F.count_if(F.col("status") == "ALLOWED").alias("allowed"))
+    return counts.withColumn("active_zones", F.lit(view(spark, d, "zones").count()).cast("long"))
+
+
 @query(ctes("gate_events") + """ SELECT strftime(ts, '%Y-%m-%d') AS day, camera_id, count(*) AS entries, count(*) FILTER (WHERE confidence > 0) AS plates_read, count(*) - count(*) FILTER (WHERE confidence > 0) AS unread, round(coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0), 9) AS mean_confidence FROM gate_events GROUP BY day, camera_id""")
 def daily_kpi_spec(spark: SparkSession, d: str) -> DataFrame:
     return reports.daily_figures(view(spark, d, "gate_events"))
@@ -390,10 +423,10 @@ def constraint_report(spark: SparkSession, d: str) -> DataFrame:
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     """Two cameras' frames of a fifth of a second, with every frame number, also those without detections."""
     names = view(spark, d, "labels").groupBy(F.col("base_class").alias("class")).agg(F.min("name").alias("label"))
-    boxes = view(spark, d, "detections").join(F.broadcast(names), "class")
+    named = view(spark, d, "detections").join(F.broadcast(names), "class")
     det = F.struct("track_id", "label", "x1", "y1", "x2", "y2").alias("det")
-    grouped = boxes.groupBy("frame_no").agg(F.sort_array(F.collect_list(det)).alias("detections"))
-    last = boxes.agg(F.max("frame_no").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n"))).alias("frame_no"))
+    grouped = named.groupBy("frame_no").agg(F.sort_array(F.collect_list(det)).alias("detections"))
+    last = named.agg(F.max("frame_no").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n"))).alias("frame_no"))
     empty = F.array().cast(grouped.schema["detections"].dataType)
     every = last.join(grouped, "frame_no", "left").withColumn("detections", F.coalesce("detections", empty))
     cameras = every.withColumn("camera_id", F.explode(F.array(F.lit("BAI-KIEM"), F.lit("GATE-01"))))
@@ -433,8 +466,8 @@ def frame_nms(spark: SparkSession, d: str) -> DataFrame:
     from tessera.streaming.frames import suppress
 
     step = lambda f, rows: [{"frame_no": f, "id": k["id"]} for k in suppress([{"id": r.id, "class": r.cls, "confidence": r.confidence, "bbox": _pixels(r)} for r in rows])]
-    boxes = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(boxes, "frame_no", "id", "frame_no long, id long", step)
+    found = view(spark, d, "detections").withColumnRenamed("class", "cls")
+    return _per_group(found, "frame_no", "id", "frame_no long, id long", step)
 
 
 @query()
@@ -445,8 +478,8 @@ def assembled_trucks(spark: SparkSession, d: str) -> DataFrame:
         made = assemble([{"class": r.cls, "confidence": r.confidence, "bbox": _pixels(r), "trackId": r.track_id} for r in rows])
         return [dict(zip(("frame_no", "track_id", "x1", "y1", "x2", "y2"), (frame, b["trackId"], *b["bbox"]))) for b in made if b.get("source") == "assembled"]
 
-    boxes = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(boxes, "frame_no", "id", "frame_no long, track_id long, x1 long, y1 long, x2 long, y2 long", step)
+    found = view(spark, d, "detections").withColumnRenamed("class", "cls")
+    return _per_group(found, "frame_no", "id", "frame_no long, track_id long, x1 long, y1 long, x2 long, y2 long", step)
 
 
 @query()
@@ -462,8 +495,8 @@ def stable_track_classes(spark: SparkSession, d: str) -> DataFrame:
     from tessera.streaming.frames import stable_classes
 
     step = lambda t, rows: [{"track_id": t, "frame_no": f, "class": c} for f, c in stable_classes([(r.frame_no, r.cls, r.confidence) for r in rows])]
-    boxes = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(boxes, "track_id", "frame_no", "track_id long, frame_no long, class string", step)
+    found = view(spark, d, "detections").withColumnRenamed("class", "cls")
+    return _per_group(found, "track_id", "frame_no", "track_id long, frame_no long, class string", step)
 
 
 @query()
