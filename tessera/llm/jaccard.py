@@ -37,7 +37,9 @@ N = 5
 #: Most shingles in the table of frequent ones (8 bytes each, broadcast).
 FREQUENT = 1 << 16
 #: Shingles that a task looks at together (some 100 bytes each while it sorts them).
-HELD = 4_000_000
+HELD = 1_000_000
+#: Sets of a tree that walk past all others before the rest.
+HUBS = 4
 #: Sets in a block of a split group.
 BLOCK = 1024
 _TOP = U64(1 << 63)
@@ -252,8 +254,8 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class PrefixTree:
     """Sets in lexicographic order as a trie with runs of shingles as nodes, kept by levels."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        """sets: dense shingle numbers in the global order, ascending; the list in lexicographic order."""
+    def __init__(self, sets: list[np.ndarray], whole: np.ndarray):
+        """sets: dense numbers, ascending, of the shingles that stand in more than one set; in lexicographic order. whole: sizes with the other shingles."""
         size = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets)
         at = np.cumsum(size) - size
@@ -264,7 +266,7 @@ class PrefixTree:
             differ = a[:m] != b[:m]
             d = int(differ.argmax()) if m else 0
             shared[k] = d if m and differ[d] else m
-        self.size, self.levels = size, []
+        self.levels = []
         level = [(0, len(sets), 0, -1)]  # first set, end, depth already walked, parent's number in its level
         while level:
             nodes, below = [], []
@@ -282,35 +284,38 @@ class PrefixTree:
             runs = to - depth
             starts = np.cumsum(runs) - runs
             tokens = np.concatenate([flat[at[f] + d : at[f] + t] for f, d, t in zip(first, depth, to)]) if runs.sum() else np.zeros(0, np.int64)
-            least = np.minimum.reduceat(np.append(size, 1 << 40), np.stack([first, end], 1).ravel())[::2]
-            most = np.maximum.reduceat(np.append(size, -1), np.stack([first, end], 1).ravel())[::2]
-            self.levels.append({"first": first, "end": end, "to": to, "parent": parent, "runs": runs, "starts": starts, "tokens": tokens, "least": least, "most": most})
+            spans = np.stack([first, end], 1).ravel()
+            least = np.minimum.reduceat(np.append(whole, 1 << 40), spans)[::2]
+            most, longest = (np.maximum.reduceat(np.append(x, -1), spans)[::2] for x in (whole, size))
+            self.levels.append({"first": first, "end": end, "parent": parent, "runs": runs, "starts": starts, "tokens": tokens, "least": least, "most": most, "after": longest - to, "with": longest - depth})
             level = below
 
-    def walk(self, own: np.ndarray, n: int, skip: np.ndarray, limit: int) -> np.ndarray:
-        """Sets before `limit` and not in `skip` that the set with the marks `own` (of n shingles) is linked with."""
+    def walk(self, own: np.ndarray, shared: int, n: int, skip: np.ndarray, limit: int) -> np.ndarray:
+        """Sets before `limit` and not in `skip` that the set with the marks `own` (`shared` of its n shingles) is linked with."""
         found = []
         overlap_above = np.zeros(1, np.int64)
         alive = np.ones(1, bool)
         for k, level in enumerate(self.levels):
             at = np.flatnonzero(alive[level["parent"]] & (level["first"] < limit)) if k else np.zeros(1, np.int64)
+            overlap = overlap_above[level["parent"][at]] if k else np.zeros(1, np.int64)
+            need = needed(n, level["least"][at])
+            # Sets of other sizes, too few shingles to come, and whole subtrees of the walker's component: no look at their shingles.
+            good = (3 * level["least"][at] <= 4 * n) & (4 * level["most"][at] >= 3 * n) & (overlap + np.minimum(shared - overlap, level["with"][at]) >= need)
+            good &= skip[level["end"][at]] - skip[level["first"][at]] < level["end"][at] - level["first"][at]
+            at, overlap, need = at[good], overlap[good], need[good]
             if not len(at):
                 break
-            first, end, runs, starts = (level[x][at] for x in ("first", "end", "runs", "starts"))
-            # Sets of other sizes and whole subtrees of the walker's component need no look at their shingles.
-            good = (4 * level["least"][at] <= 4 * n * 4 // 3) & (4 * level["most"][at] >= 3 * n) & (skip[end] - skip[first] < end - first)
-            at, first, end, runs, starts = at[good], first[good], end[good], runs[good], starts[good]
-            overlap = overlap_above[level["parent"][at]] if k else np.zeros(len(at), np.int64)
-            total = int(runs.sum())
+            runs, starts = level["runs"][at], level["starts"][at]
+            ends = np.cumsum(runs)
+            total = int(ends[-1])
             if total:
-                ends = np.cumsum(runs)
-                marks = np.concatenate([[0], np.cumsum(own[level["tokens"][np.repeat(starts - ends + runs, runs) + np.arange(total)]])])
+                marks = np.cumsum(own[level["tokens"][np.repeat(starts - ends + runs, runs) + np.arange(total)]], dtype=np.int64)
+                marks = np.append(0, marks)
                 overlap = overlap + marks[ends] - marks[ends - runs]
-            leaf = end == first + 1
-            hit = leaf & (overlap >= needed(n, level["most"][at])) & (first < limit)
-            found.append(first[hit])
-            rest = np.minimum(n - overlap, level["most"][at] - level["to"][at])
-            go = ~leaf & (overlap + rest >= needed(n, level["least"][at]))
+            first = level["first"][at]
+            leaf = level["end"][at] == first + 1
+            found.append(first[leaf & (overlap >= needed(n, level["most"][at]))])
+            go = ~leaf & (overlap + np.minimum(shared - overlap, level["after"][at]) >= need)
             alive = np.zeros(len(level["first"]), bool)
             alive[at[go]] = True
             overlap_above = np.zeros(len(level["first"]), np.int64)
@@ -320,30 +325,43 @@ class PrefixTree:
 
 def tree_components(sets: list[np.ndarray], cross: np.ndarray | None = None) -> np.ndarray:
     """The component (a set's number) of each set, by links; cross: the block of each set, if only links between two blocks are asked for."""
-    dense, at = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    order = sorted(range(len(sets)), key=lambda k: sets[k].tolist())
-    parts = np.split(at, cuts)
-    ordered = [parts[k] for k in order]
-    tree, own = PrefixTree(ordered), np.zeros(len(dense), np.int64)
-    root = np.arange(len(sets))  # by place in the order
-    side = cross[order] if cross is not None else None
-    for k, s in enumerate(ordered):
-        if not k:
-            continue
+    whole = np.array([len(s) for s in sets], np.int64)
+    out, left = np.arange(len(sets)), np.arange(len(sets))
+    shared = sets
+    while len(left) > 1:
+        # Shingles of one set only cannot be common; sets that they leave with too few others have no link.
+        keys, at, count = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
+        cuts = np.cumsum([len(s) for s in shared])[:-1]
+        shared = [s[c >= 2] for s, c in zip(shared, np.split(count[at], cuts))]
+        enough = np.array([4 * len(s) for s in shared]) >= 3 * whole[left]
+        if enough.all():
+            break
+        shared, left = [s for s, e in zip(shared, enough) if e], left[enough]
+    if len(left) < 2:
+        return out
+    keys, at, count = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
+    parts = np.split(at, np.cumsum([len(s) for s in shared])[:-1])
+    order = sorted(range(len(parts)), key=lambda k: parts[k].tolist())
+    ordered, own = [parts[k] for k in order], np.zeros(len(keys), np.int8)
+    size = whole[left[order]]
+    tree = PrefixTree(ordered, size)
+    root = np.arange(len(order))  # by place in the order
+    side = cross[left[order]] if cross is not None else None
+    # Sets of common shingles walk first, past all others: they gather most of a component, which later walks then leave out.
+    common = np.array([count[s].mean() for s in ordered])
+    hubs = np.argsort(-common, kind="stable")[:HUBS].tolist()
+    for k in [*hubs, *range(1, len(order))]:
         same = root == root[k]
         if side is not None:
             same = same | (side == side[k])
-        skip = np.concatenate([[0], np.cumsum(same), [0]])
-        own[s] = 1
-        met = tree.walk(own, len(s), skip, k)
-        own[s] = 0
+        own[ordered[k]] = 1
+        met = tree.walk(own, len(ordered[k]), int(size[k]), np.concatenate([[0], np.cumsum(same)]), len(order) if k in hubs else k)
+        own[ordered[k]] = 0
         met = met[~same[met]]
         if len(met):
             together = np.isin(root, np.append(root[met], root[k]))
             root[together] = root[together].min()
-    out = np.empty(len(sets), np.int64)
-    out[order] = np.array(order)[root]
+    out[left[order]] = left[order][root]
     return out
 
 
