@@ -65,7 +65,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `limit` bytes of the column, or one row."""
     arr = batch.column(batch.schema.get_field_index(column))
     if len(arr) == 0:

@@ -70,13 +70,10 @@ def op5_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_pieces and ids_crc32 with dropout 0.1, and whether the ids decode to the text (null: empty)."""
-    from tessera.llm.pieces import decode_pieces, encode_pieces
+    from tessera.llm.pieces import encode_pieces
 
-    path = vocabulary("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = decode_pieces(encode_pieces(docs, path, keep_text=True), path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return pieces.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("lossless"))
+    pieces = encode_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
+    return pieces.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), "lossless")
 
 
 #: The rules that op7's result is fixed for.
