@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, tidy
 from tessera.llm.range_coder import decode_blocks, encode_blocks
 from tessera.llm.tokens import encoder
 
@@ -32,6 +32,8 @@ _ARROW = pa.schema([("shard", pa.int32()), ("segment", pa.int64()), ("first", pa
 _READ = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 #: Ids of a segment, unless one document has more.
 SEGMENT = 1 << 17
+#: Ids that are coded, or decoded, side by side.
+SIDE_BY_SIDE = 3 << 20
 
 
 class CorruptBlock(ValueError):
@@ -60,17 +62,30 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int = 2, block:
         from pyspark import TaskContext
 
         ids_of, shard, number, first = encoder(vocabulary, blank), TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+
+        def coded_so_far() -> Iterator[pa.RecordBatch]:
+            nonlocal number, first
+            docs = [d for own, _, _ in held for d in own]
+            sizes = np.concatenate([np.diff(at) for _, _, at in held])
+            ids = np.concatenate([x for _, x, _ in held])
+            rows = _segments(shard, number, first, docs, ids, np.concatenate([[0], np.cumsum(sizes)]), block)
+            number, first = number + len(rows), first + len(ids)
+            held.clear()
+            for row in rows:
+                yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+
         for whole in batches:
-            for batch in slices(whole, limit=8 << 20):
+            for batch in slices(whole):
                 ids, at = ids_of.encode(batch.column(1))
-                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
-                rows = _segments(shard, number, first, batch.column(0).to_pylist(), ids, at, block)
-                number, first = number + len(rows), first + len(ids)
-                for row in rows:
-                    yield pa.RecordBatch.from_pylist([row], schema=_ARROW)
+                held.append((batch.column(0).to_pylist(), np.insert(ids, at[1:], end_id), at + np.arange(len(at))))
+                if sum(len(x) for _, x, _ in held) >= SIDE_BY_SIDE:
+                    yield from coded_so_far()
+        if held:
+            yield from coded_so_far()
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(coded, SCHEMA).write.parquet(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(coded), SCHEMA).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +94,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            for a in range(0, len(rows), 24):
-                group, coded, sizes = rows[a : a + 24], [], []
+            for a in range(0, len(rows), SIDE_BY_SIDE // SEGMENT):
+                group, coded, sizes = rows[a : a + SIDE_BY_SIDE // SEGMENT], [], []
                 for row in group:
                     at = 0
                     for n, crc in zip(row["block_bytes"], row["block_crc32"]):
@@ -99,5 +114,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     segments = spark.read.schema(SCHEMA).parquet(path)
     before = segments.groupBy("shard").agg(F.sum("n_ids").alias("own")).select("shard", (F.sum("own").over(Window.orderBy("shard")) - F.col("own")).alias("before"))
-    docs = segments.mapInArrow(decoded, "shard int, doc_id long, shard_start long, n_tokens long, ids binary")
-    return docs.join(before, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    docs = segments.mapInArrow(tidy(decoded), "shard int, doc_id long, shard_start long, n_tokens long, ids binary")
+    # One short row for each shard: bounded by the number of tasks that wrote the files.
+    return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")

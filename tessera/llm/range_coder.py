@@ -5,7 +5,8 @@ For each id, two predictors name one id each: the last id seen after the same tw
 id (order 1), with the share of right guesses at their present confidence. The distributions "this id, or another"
 are mixed with weights that follow whichever predictor has done better; the mixed frequencies of "order 2's id",
 "order 1's id" and "another" drive a range coder. Another id is coded from adaptive order-0 frequencies of its
-upper two nibbles and eight plain bits. All arithmetic is on integers, so every machine decodes alike.
+magnitude (its number of binary digits: frequent pieces have small ids) and its other digits plainly.
+All arithmetic is on integers, so every machine decodes alike.
 
 Blocks are coded side by side: one numpy operation advances all blocks of a batch by one id.
 """
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 
-TABLE = 12  # bits of a predictor's table
+TABLE = 10  # bits of a predictor's table
 _MASK = np.uint64((1 << 48) - 1)
 _LOW24, _ONE = np.uint64((1 << 24) - 1), np.uint64(1)
 _U = np.uint64
 _RATE = 5
 _LEVELS = 8  # of a predictor's confidence
-_TARGET = np.array([[0 if j <= s else 65536 - 16 for j in range(16)] + [65536 - 16] for s in range(16)], np.int64)
-_FLOOR = np.arange(17, dtype=np.int64)
+_TARGET = np.array([[0 if j <= s else 65536 - 16 for j in range(16)] + [65536 - 16] for s in range(16)], np.int32)
+_FLOOR = np.arange(17, dtype=np.int32)
 
 
 class _Model:
@@ -35,10 +36,9 @@ class _Model:
         self.right2, self.right1 = np.tile(start, lanes), np.tile(start // 2, lanes)
         self.level = np.arange(lanes, dtype=np.int64) * _LEVELS
         self.weight = np.full(lanes, 160, np.int64)  # of order 2, of 256
-        flat = np.arange(17, dtype=np.int64) * ((65536 - 16) // 16)
+        flat = np.arange(17, dtype=np.int32) * ((65536 - 16) // 16)
         flat[16] = 65536 - 16
-        self.upper = np.tile(flat, (lanes, 1))
-        self.lower = np.tile(flat, (lanes * 16, 1))
+        self.magnitude = np.tile(flat, (lanes, 1))
         self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
@@ -150,13 +150,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         other = np.flatnonzero(~is2 & ~is1)
         if len(other):
             value = now[other]
-            for rows, at, symbol in ((model.upper, other, value >> 12), (model.lower, other * 16 + (value >> 12), (value >> 8) & 15)):
-                have = rows[at]
-                each = have + _FLOOR
-                k = np.arange(len(at))
-                coder.put(other, each[k, symbol], each[k, symbol + 1] - each[k, symbol])
-                rows[at] = _learned(have, symbol)
-            coder.put(other, (value & 255) << 8, np.full(len(other), 256, np.int64))
+            symbol = np.maximum(np.frexp(value)[1] - 1, 0)
+            have = model.magnitude[other]
+            each = have + _FLOOR
+            k = np.arange(len(other))
+            start = each[k, symbol]
+            coder.put(other, start, each[k, symbol + 1] - start)
+            model.magnitude[other] = _learned(have, symbol)
+            bits = 16 - np.maximum(symbol, 1)
+            coder.put(other, (value - np.where(symbol > 0, 1 << symbol, 0)) << bits, 1 << bits)
         model.update(n, now)
     coder.finish()
     out: list[bytes] = [b""] * lanes
@@ -186,19 +188,17 @@ def decode_blocks(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         now = np.where(is2, id2, id1)
         other = np.flatnonzero(~is2 & ~is1)
         if len(other):
-            value = np.zeros(len(other), np.int64)
-            for rows in (model.upper, model.lower):
-                where = other if rows is model.upper else other * 16 + value
-                have = rows[where]
-                each = have + _FLOOR
-                k = np.arange(len(other))
-                symbol = (each[:, 1:] <= coder.look(other)[:, None]).sum(1)
-                coder.take(other, each[k, symbol], each[k, symbol + 1] - each[k, symbol])
-                rows[where] = _learned(have, symbol)
-                value = value * 16 + symbol
-            plain = coder.look(other) >> 8
-            coder.take(other, plain << 8, np.full(len(other), 256, np.int64))
-            now[other] = value * 256 + plain
+            have = model.magnitude[other]
+            each = have + _FLOOR
+            k = np.arange(len(other))
+            symbol = (each[:, 1:] <= coder.look(other).astype(np.int32)[:, None]).sum(1)
+            start = each[k, symbol]
+            coder.take(other, start, each[k, symbol + 1] - start)
+            model.magnitude[other] = _learned(have, symbol)
+            bits = 16 - np.maximum(symbol, 1)
+            plain = coder.look(other) >> bits
+            coder.take(other, plain << bits, 1 << bits)
+            now[other] = plain + np.where(symbol > 0, 1 << symbol, 0)
         ids[t, :n] = now
         model.update(n, now)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * lanes
