@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_ALNUM, U64, Words, slices, written
+from tessera.llm.common import NOT_ALNUM, U64, Words, slices, tidy, written
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK = 16_384, 64
+#: Shards that one stream of queries meets, in one task.
+TOGETHER = 3
 _INDEX = "shard long, n_docs long, length long, doc_ids binary, doc_lengths binary, terms binary, counts binary, docs binary, freqs binary"
 _COLUMNS = [x.split()[0] for x in _INDEX.split(", ")]
 
@@ -86,7 +88,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The shards of df's documents, one row each, written to the shared folder."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(_indexed, _INDEX))
+    return written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(tidy(_indexed), _INDEX))
 
 
 class Shard:
@@ -94,27 +96,27 @@ class Shard:
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, length = read("doc_ids", "<i8"), read("doc_lengths", "<i8")
         self.terms, counts = read("terms", "<u8"), read("counts", "<u4").astype(np.int64)
-        self.docs, freq = read("docs", "<u4").astype(np.int64), read("freqs", "<u4").astype(float)
+        self.docs, freq = read("docs", "<u4").astype(np.int32), read("freqs", "<u4").astype(float)
         self.weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * length[self.docs] / average))
         owner = np.repeat(np.arange(len(counts)), counts)
         block = self.docs // BLOCK
         first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        self.run_at, self.run_size, self.run_block = first, np.diff(np.append(first, len(owner))), block[first]
+        self.run_at, self.run_size, self.run_block = first.astype(np.int32), np.diff(np.append(first, len(owner))).astype(np.int32), block[first]
         self.run_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.term_runs = np.searchsorted(owner[first], np.arange(len(counts) + 1))
         self.blocks = -(-len(self.ids) // BLOCK)
 
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(doc_id, score) of the k best; terms in the order of their hashes."""
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """(-score, doc_id) of the k best of this shard and those found before; terms in the order of their hashes."""
         if not len(terms) or not len(self.terms):
-            return []
+            return found
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
         at, idf = at[here], idf[here]
         size = self.term_runs[at + 1] - self.term_runs[at]
         ends = np.cumsum(size)
         if not len(ends):
-            return []
+            return found
         runs = np.repeat(self.term_runs[at] - ends + size, size) + np.arange(int(ends[-1]))
         run_idf = np.repeat(idf, size)
         block = self.run_block[runs]
@@ -125,8 +127,7 @@ class Shard:
         by_place = np.argsort(place[block], kind="stable")  # runs of the best block first, in each by term
         runs, run_idf = runs[by_place], run_idf[by_place]
         until = np.searchsorted(place[block][by_place], np.arange(self.blocks + 1))
-        found: list[tuple[float, int]] = []
-        least, a = -1.0, 0
+        least, a = -found[-1][0] if len(found) == k else -1.0, 0
         step = 4
         while a < self.blocks and bound[order[a]] > 0 and bound[order[a]] + 1e-5 >= least:
             b = min(a + step, self.blocks)
@@ -140,7 +141,7 @@ class Shard:
             found = sorted([*found, *((-s, i) for s, i in zip(score[good].tolist(), self.ids[docs[good]].tolist()))])[:k]
             least = -found[-1][0] if len(found) == k else -1.0
             a, step = b, min(2 * step, 32)
-        return [(i, -s) for s, i in found]
+        return found
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int = 10, query_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,41 +162,44 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, query_id: str = "do
                 yield pa.record_batch([pa.array(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]), pa.array(term.view(np.int64))], names=["query_id", "term"])
 
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(text).cast("string").alias("text")).where(F.col("query_id").isNotNull())
-    asked = written(asked.mapInArrow(query_terms, "query_id long, term long").distinct())
-    df = index.select("terms", "counts").mapInArrow(terms_of, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    asked = written(asked.mapInArrow(tidy(query_terms), "query_id long, term long").distinct())
+    df = index.select("terms", "counts").mapInArrow(tidy(terms_of), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.join(df, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("x"))
     each = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("query_id", F.col("x.term").alias("query_terms"), F.col("x.idf").alias("idf"))
-    # Each shard is a stream: its index first, then every query.
-    sent = _for_each_shard(written(each), index)
+    # Some shards are a stream: their indexes first, then every query.
+    numbers = index.groupBy().agg(F.sort_array(F.collect_list("shard")).alias("shards")).first().shards
+    index = index.withColumn("stream", F.floor((F.array_position(F.array(*[F.lit(x).cast("long") for x in numbers]), F.col("shard")) - 1) / TOGETHER) if numbers else F.lit(0).cast("long"))
+    streams = F.sequence(F.lit(0).cast("long"), F.lit((len(numbers) - 1) // TOGETHER).cast("long")) if numbers else F.array().cast("array<long>")
+    sent = written(each).withColumn("stream", F.explode(streams))
     empty = lambda names: [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
     first = index.select("*", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("query_terms"), F.lit(None).cast("array<double>").alias("idf"))
-    stream = first.unionByName(sent.select("shard", *empty(_COLUMNS[1:]), "query_id", "query_terms", "idf"))
+    stream = first.unionByName(sent.select(*empty(_COLUMNS), "stream", "query_id", "query_terms", "idf"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = None
+        shards: list[Shard] = []
+        asked = False
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
                 q = batch.column("query_id")[row].as_py()
                 if q is None:
-                    shard = Shard({c: batch.column(c)[row].as_py() for c in _COLUMNS}, average)
+                    if asked:
+                        shards, asked = [], False
+                    shards.append(Shard({c: batch.column(c)[row].as_py() for c in _COLUMNS}, average))
                     continue
+                asked = True
                 terms = np.array(batch.column("query_terms")[row].values, np.int64).view(U64)
                 weights = np.array(batch.column("idf")[row].values, float)
                 order = np.argsort(terms)
-                out += [(q, d, s) for d, s in shard.best(terms[order], weights[order], k)]
+                found: list[tuple[float, int]] = []
+                for shard in shards:
+                    found = shard.best(terms[order], weights[order], k, found)
+                out += [(q, d, -s) for s, d in found]
             if out:
                 a, b, c = zip(*out)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["query_id", "doc_id", "score"])
 
-    found = stream.repartition("shard").sortWithinPartitions("shard", F.col("query_id").asc_nulls_first()).mapInArrow(search, "query_id long, doc_id long, score double")
+    found = stream.repartition("stream").sortWithinPartitions("stream", F.col("query_id").asc_nulls_first(), "shard").mapInArrow(tidy(search), "query_id long, doc_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def _for_each_shard(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Every query with the number of every shard; there is one shard for SHARD documents or a task of the scan."""
-    numbers = index.groupBy().agg(F.sort_array(F.collect_list("shard")).alias("shards")).first().shards
-    listed = F.array(*[F.lit(x).cast("long") for x in numbers]) if numbers else F.array().cast("array<long>")
-    return queries.withColumn("shard", F.explode(listed))
