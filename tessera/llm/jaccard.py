@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, mix, slices, written
+from tessera.llm.common import U64, Words, mix, slices, tidy, written
 from tessera.llm.components import components
 
 N = 5
@@ -92,13 +92,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles that a task sees often, with counts."""
     for shingle, _, _, _, _ in _held(batches, np.zeros((2, 0), U64), lambda n: n):
         key, count = np.unique(shingle, return_counts=True)
-        often = count >= 4
+        often = count >= 2
         yield pa.record_batch([pa.array(key[often]), pa.array(count[often])], names=["shingle", "n"])
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Hashes in order and ranks (0: the rarest) of the at most FREQUENT commonest shingles."""
-    counts = docs.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(tidy(_counted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
     key = np.array([r.shingle for r in rows], np.int64).view(U64)
     rank = np.arange(len(rows))[::-1].astype(U64)
@@ -400,19 +400,19 @@ def _linked(frequent):  # noqa: ANN001, ANN202
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, itself included."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    of_docs = written(docs.mapInArrow(_named, "doc_id long, n long, class long"))
-    begun = docs.mapInArrow(_begun, "shingle long, class long, need long, count long")
+    of_docs = written(docs.mapInArrow(tidy(_named), "doc_id long, n long, class long"))
+    begun = docs.mapInArrow(tidy(_begun), "shingle long, class long, need long, count long")
     # Rows without a shingle are counts already; any partition will do for them.
     dealt_to = F.coalesce("shingle", "class")
-    counts = begun.repartition(dealt_to).sortWithinPartitions("shingle", "class").mapInArrow(_shared, "class long, need long, count long")
+    counts = begun.repartition(dealt_to).sortWithinPartitions("shingle", "class").mapInArrow(tidy(_shared), "class long, need long, count long")
     left = counts.groupBy("class").agg(F.max("need").alias("need"), F.sum("count").alias("count")).where("count >= need").select("class")
     holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(left, "class")
     # One text stands for a class; the other rows of its id, if any, have another class.
     texts = written(docs.join(holders, "doc_id").select("class", "text"))
     frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
-    tying = written(texts.mapInArrow(_tying(frequent), "shingle long, n long, class long, other long"))
+    tying = written(texts.mapInArrow(tidy(_tying(frequent)), "shingle long, n long, class long, other long"))
     order = ["shingle", "n", "class"]
-    across = tying.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(_tied, "a long, b long")
+    across = tying.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(tidy(_tied), "a long, b long")
     groups = components(tying.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
     # Groups go to blocks, pairs of blocks to tasks.
     sizes = groups.groupBy("root").agg(F.count("*").alias("sets"))
@@ -422,7 +422,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = texts.withColumn("other", other).select("group", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("blocks") > 1).alias("split"), "block", "class", "text")
     keys = ["group", "block_a", "block_b"]
-    links = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(_linked(frequent), "a long, b long, split boolean"))
+    links = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(tidy(_linked(frequent)), "a long, b long, split boolean"))
     split = components(links.where("split").select("a", "b"))
     roots = links.where("NOT split").select(F.col("a").alias("class"), F.col("b").alias("root")).union(split.select(F.col("node").alias("class"), "root"))
     known = of_docs.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, tidy
 from tessera.llm.tokens import encoder
 
 LINEAR = 16
@@ -119,4 +119,4 @@ def pack(df: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096,
         bins.finish()
         yield bins.taken()
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(packed, SCHEMA)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(packed), SCHEMA)

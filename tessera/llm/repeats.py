@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, slices, written
+from tessera.llm.common import Words, slices, tidy, written
 
 K, WINDOW = 25, 26
 PASSAGE = K + WINDOW - 1
@@ -212,8 +212,8 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
     order = ["key", "right", "left", "doc_id", "place"]
-    suffixes = rows.mapInArrow(_suffixes, _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(suffixes.mapInArrow(_matches, _MATCH))
+    suffixes = rows.mapInArrow(tidy(_suffixes), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(suffixes.mapInArrow(tidy(_matches), _MATCH))
     spans = found.where(F.col("window").isNull()).drop("window")
     windows = found.where(F.col("window").isNotNull()).select("window", "doc_id", "start_word", "end_word").distinct()
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.count("*").alias("n")).where("n > 1")

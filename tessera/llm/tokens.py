@@ -14,7 +14,7 @@ import pyarrow as pa
 from tessera.llm.common import BYTE, U64, IdStore, mix, powers, utf8
 
 #: Distinct chunks that a worker keeps (about 50 bytes each); beyond it the store starts anew.
-KEPT = 4_000_000
+KEPT = 2_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 _PRINT = np.zeros(256, bool)
 _PRINT[0x21:0x7F] = True
