@@ -1,7 +1,7 @@
 """License scan by diagonal voting.
 
 Every run of K words of every text is hashed and joined to the places of the same hash in the license templates
-(a table of fixed size, so it is broadcast). A join row votes for the diagonal `word place - template place`; votes
+(a table of fixed size, so it is broadcast; hashing is a numpy step over Arrow batches). A join row votes for the diagonal `word place - template place`; votes
 are counted by text, template and diagonal. Diagonals next to each other (a few words put in or left out) are
 merged while their spans touch, and a merged span is verified: the share of the template's runs that it holds must
 reach `least`. A text's labels are those of its verified templates and of the fixed phrases that it holds.
@@ -13,8 +13,15 @@ place once, so each gets the same result. An empty table gives no rows. Other co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from tessera.llm.common import NOT_ALNUM, Words, slices, tidy
 
 K = 3
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,27 +59,34 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), upper, upper.lower()), WORD_GAP), "")
 
 
-def _runs(df: DataFrame, words: str) -> DataFrame:
-    """df with `grams`, hashes of K = 3 words in a row, for the column of words (which goes)."""
-    out = df.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
-    n = F.size("__h")
-    part = lambda a, first, less: F.slice(F.col(a), F.lit(first), F.greatest(n - less, F.lit(0)))
-    out = out.withColumn("__h2", F.zip_with(part("__h", 1, 1), part("__h", 2, 1), lambda a, b: F.xxhash64(a, b)))
-    out = out.withColumn("grams", F.zip_with(part("__h2", 1, 2), part("__h", 3, 2), lambda a, b: F.xxhash64(a, b)))
-    return out.drop("__h", "__h2")
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text (the last column) becomes its runs: one hash for each word that begins K words in a row."""
+    for whole in batches:
+        for batch in slices(whole, "__text"):
+            words = Words(batch.column(batch.num_columns - 1), lower=True, between=NOT_ALNUM)
+            ends = np.cumsum(np.maximum(np.diff(words.bounds) - K + 1, 0), dtype=np.int64)
+            values = pa.array(words.grams(K)[words.whole(K)].view(np.int64))
+            runs = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+            yield pa.record_batch([*batch.columns[:-1], runs], names=[*batch.schema.names[:-1], "grams"])
+
+
+def _runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and `grams`, the hashes of all K-word runs of the text in order."""
+    own = df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    return own.mapInArrow(tidy(_hashed), StructType([*own.select(*keys).schema, StructField("grams", ArrayType(LongType()))]))
 
 
 def template_places(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     """template, label, runs (in all), gram, template_place: as many rows as the templates have words, at most."""
     rows = spark.createDataFrame([(k, label, text) for k, (label, text) in enumerate(templates)], "template int, label string, text string")
-    runs = _runs(rows.withColumn("__w", words_of(F.col("text"))), "__w")
+    runs = _runs(rows, ["template", "label"], "text")
     return runs.select("template", "label", F.size("grams").alias("runs"), F.posexplode("grams").alias("template_place", "gram"))
 
 
 def license_spans(df: DataFrame, keys: list[str], templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6, text: str = "text") -> DataFrame:
     """keys, template, label, first_word, last_word (of the span) and score, one row for each verified span."""
     places = template_places(df.sparkSession, templates)
-    runs = _runs(df.select(*keys, words_of(F.col(text)).alias("__w")), "__w").select(*keys, F.posexplode("grams").alias("place", "gram"))
+    runs = _runs(df, keys, text).select(*keys, F.posexplode("grams").alias("place", "gram"))
     votes = runs.join(F.broadcast(places), "gram")
     diagonals = votes.groupBy(*keys, "template", "label", "runs", (F.col("place") - F.col("template_place")).alias("diagonal")).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.collect_set("template_place").alias("held"))
     order = Window.partitionBy(*keys, "template").orderBy("diagonal", "first")
