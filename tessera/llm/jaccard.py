@@ -42,6 +42,8 @@ HELD = 1_000_000
 HUBS = 4
 #: Sets in a block of a split group.
 BLOCK = 1024
+#: Bytes of text that are split into words together (some 60 bytes each while they are).
+TOGETHER = 1 << 19
 _TOP = U64(1 << 63)
 
 
@@ -130,7 +132,7 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, class of every text."""
     none = np.zeros((2, 0), U64)
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=TOGETHER):
             sets = Sets(batch.column(1), none)
             yield pa.record_batch([batch.column(0), pa.array(sets.n.astype(np.int64)), pa.array(sets.classes())], names=["doc_id", "n", "class"])
 
@@ -139,7 +141,7 @@ def _held(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, length, colum
     """(shingle, n, class) of the first length(n) shingles of a task's distinct classes, HELD at a time; then (n, class) of all."""
     seen, held, classes, size = set(), [], [], 0
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, limit=TOGETHER):
             sets = Sets(batch.column(column), frequent)
             group, n = sets.classes(), sets.n.astype(np.int64)
             new = np.zeros(len(n), bool)
@@ -379,7 +381,7 @@ def _linked(frequent):  # noqa: ANN001, ANN202
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key[3]] * len(a), pa.bool_())], names=["a", "b", "split"])
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, limit=TOGETHER):
                 made = Sets(batch.column("text"), frequent.value)
                 own = made.classes().tolist()
                 heads = zip(*(batch.column(x).to_pylist() for x in ("group", "block_a", "block_b", "split", "block", "class")))
