@@ -4,8 +4,10 @@ Base statistics come from array and string functions on each whole text. Documen
 repeated words fail at once. For the others, four transformed statistics (mean word length, symbols, repeated
 lines, repeated words, each per word with a shrinkage that spares short texts) form a vector. Each (lang, source)
 group gets a minimum-covariance-determinant estimate of centre and scatter: from a median and spread start,
-concentration steps take the share of rows nearest to the centre and estimate anew; a last step reweights. A
-document is rejected when its squared Mahalanobis distance is over `cutoff`. Groups under `least` rows reject none.
+concentration steps take the share of rows nearest to the centre and estimate anew, for each group as long as its
+determinant falls; a last step reweights. A document is rejected when its squared Mahalanobis distance is over
+`cutoff`. A group under `least` rows is judged by the estimate of its language over all sources, and where that has
+under `least` rows too, by that of all documents: every document that passes the base rules has a distance.
 
 All of it is DataFrame expressions. A concentration step is one aggregation over a narrow written table (partial
 sums before the shuffle, so a group with a third of all rows costs no more than others) and one over counts of
@@ -35,6 +37,8 @@ CHI2_MEDIAN, CHI2_975 = 3.357, 11.143
 SHRINK = 50.0
 _STATS = [f"__x{j}" for j in range(P)]
 _KEYS = ["__lang", "__source"]
+#: Stands for all languages or sources; own values are empty or begin with "=".
+POOLED = "*"
 
 
 def _pairs(array: str, gap: int, then) -> Column:  # noqa: ANN001
@@ -61,13 +65,32 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    """The transformed statistics; the mean word length of short texts is drawn to that of their group."""
-    means = df.where(~F.col("base_failed")).groupBy(_KEYS).agg((F.sum("word_chars") / F.sum("n_words")).alias("__mean"))
+def _judges(base: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """For each group the pool that judges it, and for each pool that judges any the groups in it; both with the pool's mean word length."""
+    sums = lambda c: [F.sum(x).alias(x) for x in c]
+    counts = ["__rows", "__chars", "__count"]
+    passing = base.where(~F.col("base_failed")).groupBy(_KEYS)
+    groups = written(passing.agg(F.count("*").alias("__rows"), F.sum("word_chars").alias("__chars"), F.sum("n_words").alias("__count")))
+    named = lambda df, mark: df.select(*[c for c in df.columns if c not in counts], *[F.col(c).alias(c + mark) for c in counts])
+    langs, every = groups.groupBy("__lang").agg(*sums(counts)), groups.agg(*sums(counts))
+    mean = lambda mark="": (F.col("__chars" + mark) / F.col("__count" + mark)).alias("__mean")
+    both = groups.join(named(langs, "_l"), "__lang").join(F.broadcast(named(every, "_a")))
+    own, lang = F.col("__rows") >= least, F.col("__rows_l") >= least
+    pool = lambda first, second, third: F.when(own, first).when(lang, second).otherwise(third)
+    judged = both.select(*_KEYS, pool(F.col("__lang"), F.col("__lang"), F.lit(POOLED)).alias("__pool_lang"), pool(F.col("__source"), F.lit(POOLED), F.lit(POOLED)).alias("__pool_source"), pool(mean(), mean("_l"), mean("_a")).alias("__mean"))
+    judged = written(judged)
+    in_lang = groups.select(_KEYS).join(judged.where((F.col("__pool_lang") != POOLED) & (F.col("__pool_source") == POOLED)).select("__lang", "__pool_lang", "__pool_source", "__mean").distinct(), "__lang")
+    in_all = groups.select(_KEYS).join(F.broadcast(judged.where(F.col("__pool_lang") == POOLED).select("__pool_lang", "__pool_source", "__mean").distinct()))
+    return judged, judged.where(F.col("__pool_source") != POOLED).unionByName(in_lang).unionByName(in_all)
+
+
+def _vectors(df: DataFrame, pools: DataFrame, how: str) -> DataFrame:
+    """The transformed statistics for each pool of a row; the mean word length of short texts is drawn to that of the pool."""
     n = F.col("n_words") + SHRINK
     rate = lambda c: F.log(1 + 100 * F.col(c) / n)
     x = [F.log((F.col("word_chars") + SHRINK * F.coalesce("__mean", F.lit(5.0))) / n), rate("n_symbols"), rate("n_dup_lines"), F.col("n_repeat_words") / n]
-    return df.join(means, _KEYS, "left").select(df["*"], *[c.alias(name) for c, name in zip(x, _STATS)])
+    rest = [c for c in df.columns if c not in _KEYS]
+    return df.join(pools, _KEYS, how).select(*[df[c] for c in rest], F.col("__pool_lang").alias("__lang"), F.col("__pool_source").alias("__source"), *[c.alias(name) for c, name in zip(x, _STATS)])
 
 
 def _level_at(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -127,27 +150,51 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
     return _level_at(counts, _KEYS, share).withColumnRenamed("level", "__top")
 
 
-def judge(df: DataFrame, share: float = 0.6, steps: int = 2, cutoff: float = 20.0, least: int = 40, lang: str = "lang", source: str = "source", text: str = "text", drop_text: bool = False) -> DataFrame:
-    """df (without its text, if so asked) with the base statistics, base_failed, distance (null: none) and kept."""
+def _volume() -> Column:
+    """The logarithm of the scatter's determinant."""
+    return reduce(lambda a, b: a + b, [2 * F.log(F.col(f"__l{j}{j}")) for j in range(P)])
+
+
+def _concentrated(rows: DataFrame, fit: DataFrame, share: float, settled: float) -> DataFrame:
+    """The estimate of each group's nearest share of rows, taken anew until its log determinant falls by less than `settled`.
+
+    A step that does not lower it is not taken, so each group ends: the determinant has a floor. Only groups that
+    still move are joined again.
+    """
+    names, done, first = fit.columns, [], True
+    while True:
+        near = _distances(rows, fit.select(names))
+        new = _estimate(near.join(_nearest(near, share), _KEYS).where(F.col("__level") <= F.col("__top"))).withColumn("__volume", _volume())
+        if first:  # the start is no estimate of a share of rows; its determinant says nothing
+            fit, first = written(new), False
+            continue
+        old = fit.select(*_KEYS, F.struct(*names, "__volume").alias("__old"))
+        both = written(new.join(old, _KEYS).withColumn("__moves", F.col("__volume") < F.col("__old.__volume") - settled))
+        done.append(both.where(~F.col("__moves")).select("__old.*").select(names))
+        fit = both.where("__moves").select(*names, "__volume")
+        if fit.isEmpty():
+            return written(reduce(lambda a, b: a.unionByName(b), done))
+
+
+def judge(df: DataFrame, share: float = 0.6, settled: float = 1e-4, cutoff: float = 20.0, least: int = 40, lang: str = "lang", source: str = "source", text: str = "text", drop_text: bool = False) -> DataFrame:
+    """df (without its text, if so asked) with the base statistics, base_failed, distance (null: failed the base rules) and kept."""
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     base = statistics(df, text).withColumns({"__lang": mark(lang), "__source": mark(source)})
     base = base.drop(text) if drop_text else base
-    return _verdict(written(base), share, steps, cutoff, least)
+    return _verdict(written(base), share, settled, cutoff, least)
 
 
-def _verdict(base: DataFrame, share: float, steps: int, cutoff: float, least: int) -> DataFrame:
-    vectors = _vectors(base)
-    rows = written(vectors.where(~F.col("base_failed")).select(*_KEYS, *_STATS))
-    fit = written(_median_start(rows))
-    for _ in range(steps):
-        near = _distances(rows, fit)
-        fit = written(_estimate(near.join(_nearest(near, share), _KEYS).where(F.col("__level") <= F.col("__top"))))
+def _verdict(base: DataFrame, share: float, settled: float, cutoff: float, least: int) -> DataFrame:
+    judged, members = _judges(base, least)
+    counted = [*_KEYS, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    rows = written(_vectors(base.where(~F.col("base_failed")).select(counted), members, "inner").select(*_KEYS, *_STATS))
+    fit = _concentrated(rows, written(_median_start(rows)), share, settled)
     # The scale that makes the median distance that of a normal sample, then the estimate of all rows within its 97.5 % point.
     scale = _nearest(_distances(rows, fit), 0.5).select(*_KEYS, F.greatest(F.pow(F.lit(2.0), (F.col("__top") + 1) / 32) / CHI2_MEDIAN, F.lit(0.05)).alias("__scale"))
     inside = _distances(rows, fit).join(scale, _KEYS).where(F.col("__d") <= F.greatest(F.col("__scale"), F.lit(1.0)) * CHI2_975)
-    fit = written(_estimate(inside).join(rows.groupBy(_KEYS).agg(F.count("*").alias("__rows")), _KEYS))
-    # A left join, so that no row is lost: no estimate, no distance.
-    out = _distances(vectors, fit.where(F.col("__rows") >= least).drop("__rows"), "left")
+    fit = written(_estimate(inside))
+    # Left joins, so that no row is lost: a group of failed rows only has no estimate.
+    out = _distances(_vectors(base, judged, "left"), fit, "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.col("__d")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))
     return out.drop(*[c for c in out.columns if c.startswith("__")])

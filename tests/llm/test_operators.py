@@ -100,6 +100,19 @@ def test_quality_outliers(spark):
     assert all(kept[k] for k in range(200)) and not any(kept[1000 + k] for k in range(20))
 
 
+def test_quality_outliers_of_small_groups(spark):
+    """Sources of a row each, and languages under the least count: each passing row is judged."""
+    from tessera.llm.quality import judge
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"word{rng.randrange(500)}" for _ in range(n))
+    rows = [(k, words(60 + k % 40), "en", f"host{k}") for k in range(120)] + [(200 + k, words(60 + k), None, None) for k in range(5)]
+    rows += [(1000 + k, " ".join(f"bad{j}$$$%%%" for j in range(60 + k)), ("en", "de", None)[k % 3], f"junk{k}") for k in range(6)]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {1000 + k for k in range(6)}
+
+
 def test_pii(docs, none):
     from tessera.llm.pii import find_pii
 
