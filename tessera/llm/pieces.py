@@ -5,9 +5,11 @@ skipped when a keyed hash of the seed, the text's key, and the place of the two
 same seed gives the same pieces on every machine and retry. Whatever is skipped, the pieces spell the text, so that
 decoding gives it back. dropout = 0 gives the library's own pieces.
 
-Pieces never continue over the beginning of a run of spaces, so texts are cut there. Each distinct chunk of a batch is
-encoded once for each of VARIANTS keys (a hash of the text's key and the chunk's number picks one): short chunks side
-by side in numpy, one merge of each in a step; long ones by a heap.
+Pieces never continue over the beginning of a run of spaces, so texts are cut there. A worker keeps the pieces and the
+merges of each distinct chunk without dropout. The hash is keyed by the text's key and the chunk's number, for every
+occurrence: where it skips none of the kept merges the kept pieces stand (a candidate that is never merged changes
+nothing), and all other occurrences are encoded anew: short chunks side by side in numpy, one merge of each in a step;
+long ones by a heap.
 
 Texts are encoded where they lie: no shuffle. Null and empty texts have no pieces; repeated rows have equal pieces;
 memory is that of a batch of at most 2 MB, or one text.
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import IdStore, U64, mix, powers, slices, strings, tidy
 
 SPACE = 0x2581
-VARIANTS = 8
 LONG = 40
 #: Distinct chunks that a worker keeps while it runs a task (about 60 bytes each).
 KEPT = 1_000_000
@@ -100,8 +101,8 @@ def _mixed(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def _by_heap(v: Vocabulary, symbols: list[int], key: int, limit: int) -> list[tuple[int, int, int]]:
-    """(piece or -1, start, end) of one chunk."""
+def _by_heap(v: Vocabulary, symbols: list[int], key: int, limit: int, merges: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(piece or -1, start, end) of one chunk; its merges (start, middle, end) are put to `merges`."""
     n = len(symbols)
     piece, end, after, before = list(symbols), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int]] = []
@@ -122,6 +123,8 @@ def _by_heap(v: Vocabulary, symbols: list[int], key: int, limit: int) -> list[tu
         _, i, j, to = heapq.heappop(agenda)
         if not (alive[i] and j < n and alive[j] and after[i] == j and end[j] == to):
             continue
+        if merges is not None:
+            merges.append((i, j, to))
         piece[i], end[i], after[i], alive[j] = v.merges[piece[i] * v.size + piece[j]], end[j], after[j], False
         if after[i] < n:
             before[after[i]] = i
@@ -130,8 +133,8 @@ def _by_heap(v: Vocabulary, symbols: list[int], key: int, limit: int) -> list[tu
     return [(piece[i], i, end[i]) for i in range(n) if alive[i]]
 
 
-def _side_by_side(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
-    """(chunk, piece or -1, start, end) of all chunks, each in its order."""
+def _side_by_side(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, limit: int, merges: list[tuple[np.ndarray, ...]] | None = None) -> tuple[np.ndarray, ...]:
+    """(chunk, piece or -1, start, end) of all chunks, each in its order; merges (chunk, start, middle, end) are put to `merges`."""
     chunk = np.repeat(np.arange(len(sizes)), sizes)
     start = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     end, done = start + 1, []
@@ -159,6 +162,8 @@ def _side_by_side(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: n
                 break
         at = np.flatnonzero(order == np.repeat(best, size))
         at = at[stay[at]]
+        if merges is not None:
+            merges.append((chunk[at], start[at], start[at + 1], end[at + 1]))
         piece[at], end[at] = made[at], end[at + 1]
         keep = stay
         keep[at + 1] = False
@@ -178,7 +183,7 @@ def _side_by_side(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: n
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
         self.v, self.seed = vocabulary, seed
-        self.store = IdStore(KEPT)
+        self.store, self.merges = IdStore(KEPT), IdStore(KEPT)
         self.limit = min(int(dropout * 2**64), 2**64 - 1)
 
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
@@ -200,31 +205,61 @@ class Encoder:
         number = np.arange(len(at)) - np.searchsorted(at, bounds[:-1])[text_of]
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(code.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(7)) * powers(len(code))[0])])
         name = mix((total[to] - total[at]) * powers(len(code))[1][at] + (to - at).astype(U64))
-        if self.limit:
-            own = np.array([_text_key(k, self.seed) for k in keys], U64)
-            variant = mix(own[text_of] + number.astype(U64)) % U64(VARIANTS)
-            name = mix(name ^ mix(variant + U64(self.seed)))
         names, first, which = np.unique(name, return_index=True, return_inverse=True)
-        a, b = at[first], to[first]
         new = self.store.missing(names)
+        if len(self.store.keys) == 0:  # both start anew together
+            self.merges.clear()
         if new.any():
-            self.store.add(names[new], *self._chunks(code, a[new], b[new], names[new]))
+            x, y = at[first[new]], to[first[new]]
+            ids, size, merges, many = self._chunks(code, x, y, np.zeros(len(x), U64), 0)
+            self.store.add(names[new], ids, size)
+            if self.limit:
+                self.merges.add(names[new], merges, many)
         flat, ends = self.store.gather(names, which)
+        if self.limit:
+            own = np.array([_text_key(k, self.seed) for k in keys], U64)
+            key = mix(own[text_of] + mix(number.astype(U64) + U64(1)))
+            flat, ends = self._dropped(code, at, to, key, names, which, flat, ends)
         cut = ends[np.searchsorted(at, bounds)]
         return [flat[x:y] for x, y in zip(cut[:-1], cut[1:])]
 
-    def _chunks(self, code: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _dropped(self, code: np.ndarray, at: np.ndarray, to: np.ndarray, key: np.ndarray, names: np.ndarray, which: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept ids of all occurrences, but those of which a merge is skipped encoded with their own key."""
+        merges, till = self.merges.gather(names, which)
+        start, middle, end = (x.astype(np.int64) for x in merges.reshape(-1, 3).T)
+        of = np.repeat(np.arange(len(at)), np.diff(till) // 3)
+        hit = np.zeros(len(at), bool)
+        hit[of[_skipped(key[of], start, middle, end, self.limit)]] = True
+        changed = np.flatnonzero(hit)
+        if not len(changed):
+            return flat, ends
+        ids, size, _, _ = self._chunks(code, at[changed], to[changed], key[changed], self.limit)
+        old = np.diff(ends)
+        sizes = old.copy()
+        sizes[changed] = size
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        anew = np.repeat(hit, sizes)
+        out[anew], out[~anew] = ids, flat[~np.repeat(hit, old)]
+        return out, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _chunks(self, code: np.ndarray, a: np.ndarray, b: np.ndarray, keys: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+        """Ids of all chunks in a row and how many each has; without dropout also their merges, three numbers each."""
         v, size = self.v, b - a
-        short, found = np.flatnonzero(size <= LONG), []
+        short, found, made = np.flatnonzero(size <= LONG), [], []
         if len(short):
             n = size[short]
             run = np.cumsum(n)
             symbols = v.char[code[np.repeat(a[short] - run + n, n) + np.arange(int(run[-1]))]]
-            chunk, piece, start, end = _side_by_side(v, symbols, n, keys[short], self.limit)
+            own: list[tuple[np.ndarray, ...]] = []
+            chunk, piece, start, end = _side_by_side(v, symbols, n, keys[short], limit, None if limit else own)
             found.append((short[chunk], piece, start, end))
+            made += [(short[c], *x) for c, *x in own]
         for k in np.flatnonzero(size > LONG):
-            piece, start, end = (np.array(x, np.int64) for x in zip(*_by_heap(v, v.char[code[a[k] : b[k]]].tolist(), int(keys[k]), self.limit)))
+            one: list[tuple[int, int, int]] = []
+            piece, start, end = (np.array(x, np.int64) for x in zip(*_by_heap(v, v.char[code[a[k] : b[k]]].tolist(), int(keys[k]), limit, None if limit else one)))
             found.append((np.full(len(piece), k), piece, start, end))
+            if one:
+                made.append((np.full(len(one), k), *np.array(one, np.int64).T))
         chunk, piece, start, end = (np.concatenate(x) for x in zip(*found))
         bare = piece < 0
         ids, each = piece.astype(np.uint32), np.ones(len(piece), np.int64)
@@ -234,7 +269,12 @@ class Encoder:
             ids = np.repeat(ids, each)
             ids[np.repeat(bare, each)] = v.byte[np.frombuffer(b"".join(spelled), np.uint8)]
         order = np.argsort(np.repeat(chunk, each), kind="stable")
-        return ids[order], np.bincount(chunk, each, len(a)).astype(np.int64)
+        merges, many = np.zeros(0, np.uint32), np.zeros(len(a), np.int64)
+        if made:
+            of, *places = (np.concatenate(x) for x in zip(*made))
+            merges = np.stack(places, 1)[np.argsort(of, kind="stable")].astype(np.uint32).ravel()
+            many = 3 * np.bincount(of, minlength=len(a))
+        return ids[order], np.bincount(chunk, each, len(a)).astype(np.int64), merges, many
 
     def decode(self, ids: np.ndarray) -> str:
         return decode(self.v, ids)

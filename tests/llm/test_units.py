@@ -160,6 +160,21 @@ def test_heap_and_side_by_side_agree(pieces, monkeypatch):
     assert [x.tolist() for x in other] != [x.tolist() for x in two]
 
 
+def test_dropout_of_every_occurrence_is_its_own(pieces):
+    from tessera.llm.pieces import Encoder, _by_heap, _text_key, mix
+
+    v, words = pieces[1], 3000
+    (ids,) = Encoder(v, 0.3, 5).encode(["understanding " * words], ["a"])
+    ends = np.cumsum(v.spelled_size[ids])
+    cuts = np.searchsorted(ends, np.arange(1, words + 1) * len(" understanding"))
+    got = [tuple(x.tolist()) for x in np.split(ids, cuts[:-1] + 1)][:words]
+    assert len(set(got)) > 50
+    symbols, own, limit = v.char[[ord(c) for c in "▁understanding"]].tolist(), _text_key("a", 5), int(0.3 * 2**64)
+    for k in range(words - 1):  # the last chunk is followed by a lone space
+        key = mix(np.array([own], np.uint64) + mix(np.array([k + 1], np.uint64)))
+        assert got[k] == tuple(x for x, _, _ in _by_heap(v, symbols, int(key[0]), limit))
+
+
 def test_url_rules():
     from tessera.llm.queries import URL_RULES
     from tessera.llm.url_rules import RuleTrie, split_url
