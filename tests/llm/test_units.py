@@ -115,6 +115,30 @@ def test_field_on_held_out_texts():
     assert all_spans([f"commit {secret} of 2024, v2.0, 3.14 and 50%"], field)[0] == ([], [])
 
 
+def test_field_ties_all_places_of_a_token():
+    from tessera.llm.pii import LABELS, all_spans, tokens_of, trained_field
+
+    field = trained_field()
+    secret = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+    text = f'the token = "{secret}" and ' + f"far away {secret} again " * 40
+    _, spans = all_spans([text], field)[0]
+    assert [s[0] for s in spans] == ["secret"] * 41
+    # Named against the shape: evidence reaches the last place as well as the second.
+    odd = "the token = abc-1234 and " + "far away abc-1234 again " * 40
+    tokens = tokens_of(odd, [])
+    p = field.marginals([tokens])[:, LABELS.index("secret")]
+    assert len(p) == 41 and abs(p[1] - p[-1]) < 1e-3
+
+
+def test_field_texts_are_judged_alone():
+    from tessera.llm.pii import generated, labelled, trained_field
+
+    field = trained_field()
+    tokens, _ = labelled(*generated(17, 40))
+    alone = np.concatenate([field.marginals([t]) for t in tokens])
+    assert np.abs(field.marginals(tokens) - alone).max() < 1e-6
+
+
 def test_patterns_are_linear():
     import time
 
