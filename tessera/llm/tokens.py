@@ -3,7 +3,8 @@
 A text is cut where a single space stands between two characters that are no white space (or, for a vocabulary
 without ids for white space, at every space and line end). The vocabularies cut there too, so the ids of the
 chunks in a row are the ids of the text. Each distinct chunk is encoded once by the library in a worker, and its
-ids are gathered for all places where it occurs. Chunks are told apart by a 64-bit hash of their bytes.
+ids are gathered for all places where it occurs. Chunks are told apart by a 64-bit hash of their bytes. Added tokens
+in a text (`<|endoftext|>`) are found as the library finds them by default.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ _MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    def __init__(self, path: str, blank: bool):
-        """blank: the vocabulary has no ids for white space."""
+    def __init__(self, path: str, blank: bool, spelled: bool = True):
+        """blank: the vocabulary has no ids for white space; spelled: added tokens in a text are plain characters (not the library's default)."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spelled
         self.blank = blank
         self.store = IdStore(KEPT)
 
@@ -89,7 +90,7 @@ class Encoder:
 
 
 def encoder(path: str, blank: bool) -> Encoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, with the library's default for added tokens."""
     if (path, blank) not in _ENCODERS:
-        _ENCODERS[path, blank] = Encoder(path, blank)
+        _ENCODERS[path, blank] = Encoder(path, blank, spelled=False)
     return _ENCODERS[path, blank]

@@ -40,6 +40,24 @@ def test_chunked_ids_are_the_library_s(bpe, name, texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)] + [[]]
 
 
+@pytest.fixture(scope="module")
+def by_default():
+    from tokenizers import Tokenizer
+
+    return {name: Tokenizer.from_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
+
+
+@pytest.mark.parametrize(("name", "blank"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from([*ODD, "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", " "]), max_size=25).map("".join), min_size=1, max_size=8))
+def test_added_tokens_are_the_library_s_default(by_default, name, blank, texts):
+    from tessera.llm.tokens import encoder
+
+    texts = ["a <|endoftext|> b", *texts]
+    ids, at = encoder(public_tokenizers.path(name), blank).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [e.ids for e in by_default[name].encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 65535), st.integers(0, 5)), max_size=60), max_size=9))
 def test_range_coder_round_trip(blocks):
