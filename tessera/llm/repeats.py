@@ -1,28 +1,26 @@
 """Sparse suffix arrays: passages of at least `PASSAGE` words that stand in more than one place.
 
-A suffix is retained where the K-word run that it begins with has the least hash of WINDOW runs next to each other
-(a minimiser), so that every passage of K + WINDOW - 1 = PASSAGE words retains one at the same word of each of its
-copies. The retained suffixes of all documents are sorted by the hash of their first K words, the following words,
-the preceding words from right to left, document and place. In that order each suffix is compared with its
-neighbours of one key (the last HELD with different surroundings) and a match is extended right and left; where it
-has PASSAGE words or more, the later of the two places repeats the earlier. Keys with more surroundings than that,
-and keys at the border of two tasks, have an exact way for the rest: those windows of PASSAGE words around the
-suffix that have not yet met an earlier copy are grouped by the hash of their words. The first place in the corpus
-is never a repeat, and every repeated word keeps an earlier copy.
+A suffix is retained where the K-word run that it begins with is the leftmost one of least hash of WINDOW runs next to
+each other (a minimiser). A passage of PASSAGE = K + WINDOW - 1 words has WINDOW such runs, so it belongs to exactly
+one retained suffix, and to the same one in each of its copies. The retained suffixes of all documents are sorted by
+the hash of their first K words, document and place. A suffix carries its matches to the left and the right as the
+hashes of the passages of PASSAGE words around it that belong to it, from the farthest left on. Suffixes of one key
+are neighbours; in the order of their passages, equal ones stand side by side: the first in the order of document and
+place is the first place of a passage, the others repeat it. Passages next to each other extend to one span.
 
 The sort is a range partitioning by the whole order, document and place included: a passage that a third of all
-documents share is spread over many tasks. A task streams through its rows with HELD of them in memory.
-
-A suffix carries K words on each side as 16-bit hashes; longer matches are the union of those of their suffixes,
-which follow each other within WINDOW words. Words are split at white space and told apart with their case.
+documents share is spread over many tasks. A key that reaches a border of a task, or has more than HELD suffixes, may
+have copies elsewhere: its passages are grouped by Spark by their hash instead. Both ways give the same rows, so rows
+do not depend on where the borders are. Words are split at white space and told apart with their case; passages of
+one key (64 bits of hash over K words) are told apart by 40 bits more, over all their words.
 
 Null or empty texts and texts under PASSAGE words hold no passage. Rows with one id are one document: a row that
-repeats another with its id is no repeat. An empty table gives no rows. Text of any length is one row's work.
+repeats another with its id is no repeat. Null ids are one document too. An empty table gives no rows. Text of any
+length is one row's work.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,200 +28,157 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, slices, tidy, written
+from tessera.llm.common import U64, Words, mix, slices, tidy, written
 
 K, WINDOW = 25, 26
 PASSAGE = K + WINDOW - 1
-_SUFFIX = "key long, right binary, left binary, doc_id long, place long"
-_MATCH = "doc_id long, start_word long, end_word long, is_repeat boolean, other_doc_id long, window long"
-_MATCH_ARROW = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("is_repeat", pa.bool_()), ("other_doc_id", pa.int64()), ("window", pa.int64())])
+#: Suffixes of one key that a task looks at together.
+HELD = 50_000
+#: Bytes of a passage's hash.
+SIZE = 5
+_SUFFIX = "key long, doc_id long, start long, passages binary"
+_MATCH = "doc_id long, start_word long, end_word long, is_repeat boolean, other_doc_id long, passage long"
+_MATCH_ARROW = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("is_repeat", pa.bool_()), ("other_doc_id", pa.int64()), ("passage", pa.int64())])
 #: Stands for a null id, which is one document's too.
 _NULL_ID = -(1 << 63)
 
 
-def _slide(x: np.ndarray, width: int, best, empty: int, back: bool) -> np.ndarray:  # noqa: ANN001
-    """best of the `width` elements from each element on (back: up to each element)."""
-    def moved(a: np.ndarray, by: int) -> np.ndarray:
-        out = np.full(len(a), empty, a.dtype)
-        if back:
-            out[by:] = a[: max(0, len(a) - by)]
-        else:
-            out[: max(0, len(a) - by)] = a[by:]
-        return out
+def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of the `width` elements from each element on; of equal ones the leftmost."""
+    at = np.arange(len(x))
+
+    def joined(x: np.ndarray, at: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        least, place = x.copy(), at.copy()
+        n = max(0, len(x) - by)
+        less = x[by:] < x[:n]
+        least[:n][less], place[:n][less] = x[by:][less], at[by:][less]
+        return least, place
 
     size = 1
     while size * 2 <= width:
-        x = best(x, moved(x, size))
+        x, at = joined(x, at, size)
         size *= 2
-    return best(x, moved(x, width - size)) if size < width else x
-
-
-def retained(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The retained places (of all words in a row) and the hash of every K-word run."""
-    run = words.grams(K)
-    window = np.where(words.whole(PASSAGE), _slide(run, WINDOW, np.minimum, np.iinfo(np.uint64).max, False), np.uint64(0))
-    return np.flatnonzero((_slide(window, WINDOW, np.maximum, 0, True) == run) & words.whole(K) & (run != 0)), run
-
-
-def _context(words: Words, short: np.ndarray, at: np.ndarray, step: int, limit: np.ndarray) -> pa.Array:
-    """The WINDOW - 1 words from `at` on in the direction of step as far as there are any, big-endian."""
-    places = at[:, None] + step * np.arange(WINDOW - 1)
-    there = places < limit[:, None] if step > 0 else places >= limit[:, None]
-    data = short[np.where(there, places, 0)][there].tobytes()
-    offsets = np.concatenate([[0], np.cumsum(there.sum(1) * 2)]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    return joined(x, at, width - size)[1] if size < width else at
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
             words = Words(batch.column(1))
-            at, run = retained(words)
-            if not len(at):
+            start = np.flatnonzero(words.whole(PASSAGE))
+            if not len(start):
                 continue
-            short = (words.hash >> np.uint64(48)).astype(">u2")
-            row = np.searchsorted(words.bounds, at, "right") - 1
+            run = words.grams(K)
+            place = leftmost_least(run, WINDOW)[start]
+            first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            row = np.searchsorted(words.bounds, start[first], "right") - 1
             ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            first, end = words.bounds[row], words.row_end[at]
-            columns = [pa.array(run[at].view(np.int64)), _context(words, short, at + K, 1, end), _context(words, short, at - 1, -1, first), pa.array(ids, pa.int64()), pa.array(at - first, pa.int64())]
-            yield pa.record_batch(columns, names=["key", "right", "left", "doc_id", "place"])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from their beginning."""
-    n = min(len(a), len(b))
-    a, b = a[:n], b[:n]
-    if a == b:
-        return n // 2
-    return (n * 8 - (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_length()) // 16
-
-
-Suffix = tuple[int, bytes, bytes, int, int]  # key, right, left, doc_id, place
-_ROOM = WINDOW - 1
-
-
-def _bits(low: int, high: int) -> int:
-    return ((1 << (high + 1)) - 1) & ~((1 << low) - 1) if low <= high else 0
-
-
-class _Kept:
-    """A suffix, and of the windows of PASSAGE words that start 0.._ROOM words before it: those without an earlier copy as yet, and those not shown as first places."""
-
-    __slots__ = ("suffix", "open", "hidden")
-
-    def __init__(self, suffix: Suffix):
-        self.suffix = suffix
-        self.open = self.hidden = _bits(_ROOM - len(suffix[1]) // 2, len(suffix[2]) // 2)
-
-
-class _Group:
-    """The suffixes of one key in order. Each is compared with the last HELD ones of different surroundings."""
-
-    HELD = 16
-
-    def __init__(self, border: bool):
-        self.held: list[_Kept] = []
-        self.border = border
-        self.rows: list[tuple] = []
-
-    def _met(self, first: _Kept, later: _Kept, left: int, right: int) -> None:
-        windows = _bits(_ROOM - right, left)
-        for x, other, left_open, repeat in ((first, later, first.hidden, False), (later, first, later.open, True)):
-            if windows & left_open:
-                _, _, _, doc, place = x.suffix
-                self.rows.append((doc, place - left, place + K + right, repeat, other.suffix[3], None))
-        first.hidden &= ~windows
-        later.open &= ~windows
-
-    def _leave(self, x: _Kept) -> None:
-        """Windows that may have copies that x was not compared with go on to be grouped by their words."""
-        key, right, left, doc, place = x.suffix
-        for d in range(WINDOW):
-            if x.open >> d & 1:
-                words = key.to_bytes(8, "big", signed=True) + bytes([d]) + left[: 2 * d] + right[: 2 * (_ROOM - d)]
-                window = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "big", signed=True)
-                self.rows.append((doc, place - d, place - d + PASSAGE, None, None, window))
-
-    def add(self, suffix: Suffix) -> None:
-        now, alike = _Kept(suffix), None
-        for k in range(len(self.held) - 1, -1, -1):
-            x = self.held[k]
-            same = x.suffix[1] == suffix[1] and x.suffix[2] == suffix[2]
-            left, right = (len(suffix[2]) // 2, len(suffix[1]) // 2) if same else (_common(x.suffix[2], suffix[2]), _common(x.suffix[1], suffix[1]))
-            if left + right >= _ROOM and x.suffix[3:] != suffix[3:]:
-                self._met(x, now, left, right) if x.suffix[3:] < suffix[3:] else self._met(now, x, left, right)
-            if same:
-                if x.suffix[3:] <= suffix[3:]:
-                    return
-                alike = k
-        if alike is not None:
-            self.held[alike] = now
-            return
-        self.held.append(now)
-        if len(self.held) > self.HELD:
-            self.border = True
-            self._leave(self.held.pop(0))
-
-    def end(self, border: bool) -> None:
-        if self.border or border:
-            for x in self.held:
-                self._leave(x)
+            data = np.ascontiguousarray(words.grams(PASSAGE)[start].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIZE])
+            offsets = (np.append(first, len(start)) * SIZE).astype(np.int32)
+            passages = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.record_batch([pa.array(run[place[first]].view(np.int64)), pa.array(ids, pa.int64()), pa.array(start[first] - words.bounds[row]), passages], names=["key", "doc_id", "start", "passages"])
+
+
+class _Passages:
+    """All passages of some suffixes in their order: hash, document, place, and the suffix each belongs to."""
+
+    def __init__(self, suffixes: pa.RecordBatch):
+        key, doc, start = (suffixes.column(k).to_numpy() for k in range(3))
+        column = suffixes.column(3)
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, SIZE).astype(U64)
+        size = np.diff(at) // SIZE
+        self.suffix = np.repeat(np.arange(len(key)), size)
+        own = np.zeros(len(raw), U64)
+        for k in range(SIZE):
+            own = (own << U64(8)) | raw[:, k]
+        self.hash = mix(mix(key.view(U64))[self.suffix] ^ own)
+        self.doc = doc[self.suffix]
+        self.start = start[self.suffix] + np.arange(len(raw)) - (at[:-1] - at[0])[self.suffix] // SIZE
+
+
+def _open(suffixes: pa.RecordBatch) -> pa.RecordBatch:
+    """The passages, to be grouped elsewhere."""
+    p = _Passages(suffixes)
+    none = [pa.nulls(len(p.doc), t) for t in (pa.bool_(), pa.int64())]
+    return pa.record_batch([pa.array(p.doc), pa.array(p.start), pa.array(p.start + PASSAGE), *none, pa.array(p.hash.view(np.int64))], schema=_MATCH_ARROW)
+
+
+def _closed(suffixes: pa.RecordBatch) -> pa.RecordBatch:
+    """The spans of suffixes in the order of key, document and place, with all that have their keys."""
+    p = _Passages(suffixes)
+    order = np.argsort(p.hash, kind="stable")  # one hash is of one key, so its passages stay in the order of document and place
+    h, doc, start = p.hash[order], p.doc[order], p.start[order]
+    new = np.append(True, h[1:] != h[:-1])
+    fresh = new | np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+    order, new, doc = order[fresh], new[fresh], doc[fresh]
+    more = ~np.append(new[1:], True)  # the next one has the same words
+    lead = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    kind = np.where(new, more.astype(np.int8), np.int8(2))  # 0: stands alone, 1: first place, 2: repeat
+    state, other = np.zeros(len(p.doc), np.int8), np.zeros(len(p.doc), np.int64)
+    state[order], other[order] = kind, np.where(new, np.append(doc[1:], 0), lead)
+    edge = np.append(True, (state[1:] != state[:-1]) | (p.suffix[1:] != p.suffix[:-1]))
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(state)) - 1
+    least = np.minimum.reduceat(other, first)
+    on = state[first] > 0
+    first, last = first[on], last[on]
+    return pa.record_batch([pa.array(p.doc[first]), pa.array(p.start[first]), pa.array(p.start[last] + PASSAGE), pa.array(state[first] == 2), pa.array(least[on]), pa.nulls(len(first), pa.int64())], schema=_MATCH_ARROW)
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _MATCH; the first and the last key of a task may have suffixes in other tasks (border)."""
-    group, key = None, None
+    """Rows of _MATCH from suffixes in order; keys that may have suffixes in other tasks, or too many, are left open."""
+    held, open_keys = None, []
     for batch in batches:
-        keys = batch.column(0).to_numpy()
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        near = np.zeros(len(keys), bool)
-        near[1:] = keys[1:] == keys[:-1]
-        near[:-1] |= near[1:]
-        near[[0, -1]] = True
-        rows: list[tuple] = []
-        for now in zip(*(c.to_pylist() for c in batch.filter(pa.array(near)).columns)):
-            if now[0] != key:
-                if group is not None:
-                    group.end(False)
-                group, key = _Group(border=group is None), now[0]
-                group.rows = rows
-            elif group.rows is not rows:
-                group.rows = rows
-            group.add(now)
-        if rows:
-            yield _packed(rows)
-    if group is not None:
-        group.rows = rows = []
-        group.end(True)
-        if rows:
-            yield _packed(rows)
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _MATCH_ARROW.types)], schema=_MATCH_ARROW)
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy()
+        if not open_keys:
+            open_keys.append(key[0])
+        cut = int(np.searchsorted(key, key[-1]))
+        done, held = batch.slice(0, cut), batch.slice(cut)
+        if cut:
+            own = key[:cut]
+            alone = np.append(True, own[1:] != own[:-1]) & np.append(own[1:] != own[:-1], True)
+            leave = np.isin(own, open_keys)
+            if leave.any():
+                yield _open(done.filter(pa.array(leave)))
+            pick = ~leave & ~alone
+            if pick.any():
+                yield _closed(done.filter(pa.array(pick)))
+            open_keys = open_keys[-1:]
+        if held.num_rows > HELD:
+            yield _open(held)
+            open_keys, held = [key[-1]], None
+    if held is not None:
+        yield _open(held)
 
 
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, is_repeat, other_doc_id: the passages that stand elsewhere too.
 
-    is_repeat: an earlier place has the same words, in other_doc_id (the least such document found); else this is
-    the first place of a passage. Overlapping spans of one kind are one row.
+    is_repeat: every PASSAGE words of the span stand at an earlier place too, in the order of document and place;
+    other_doc_id is the least document that is the first place of some of them. Else all of them stand here first
+    and later again; other_doc_id is the least document that follows. Spans of one kind that overlap or touch are one.
     """
     rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    order = ["key", "right", "left", "doc_id", "place"]
+    order = ["key", "doc_id", "start"]
     suffixes = rows.mapInArrow(tidy(_suffixes), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(suffixes.mapInArrow(tidy(_matches), _MATCH))
-    spans = found.where(F.col("window").isNull()).drop("window")
-    windows = found.where(F.col("window").isNotNull()).select("window", "doc_id", "start_word", "end_word").distinct()
-    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    more = windows.join(first, "window").withColumn("is_repeat", F.col("first") != F.struct("doc_id", "start_word"))
-    spans = spans.unionByName(more.select("doc_id", "start_word", "end_word", "is_repeat", F.col("first.doc_id").alias("other_doc_id")))
+    spans = found.where(F.col("passage").isNull()).drop("passage")
+    opened = found.where(F.col("passage").isNotNull()).select("passage", "doc_id", "start_word", "end_word").distinct()
+    first = opened.groupBy("passage").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    placed = opened.join(first, "passage").withColumn("is_repeat", F.col("first") != F.struct("doc_id", "start_word"))
+    later = placed.where("is_repeat").groupBy("passage").agg(F.min("doc_id").alias("other_doc_id"))
+    repeats = placed.where("is_repeat").select("doc_id", "start_word", "end_word", "is_repeat", F.col("first.doc_id").alias("other_doc_id"))
+    firsts = first.join(later, "passage").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start_word").alias("start_word"), (F.col("first.start_word") + PASSAGE).alias("end_word"), F.lit(False).alias("is_repeat"), "other_doc_id")
+    spans = spans.unionByName(repeats).unionByName(firsts)
     order_in = Window.partitionBy("doc_id", "is_repeat").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order_in.rowsBetween(Window.unboundedPreceding, -1))
-    once = spans.groupBy("doc_id", "is_repeat", "start_word", "end_word").agg(F.min("other_doc_id").alias("other_doc_id"))
-    marked = once.withColumn("__new", F.when(F.coalesce(before < F.col("start_word"), F.lit(True)), 1).otherwise(0))
-    islands = marked.withColumn("__island", F.sum("__new").over(order_in)).groupBy("doc_id", "is_repeat", "__island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
+    marked = spans.withColumn("__new", F.when(F.coalesce(before < F.col("start_word"), F.lit(True)), 1).otherwise(0))
+    islands = marked.withColumn("__island", F.sum("__new").over(order_in.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "is_repeat", "__island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
     back = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
     return islands.select(back("doc_id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "is_repeat", back("other_doc_id").alias("other_doc_id"))
 

@@ -136,23 +136,38 @@ def test_licenses(docs, none):
 
 
 def brute_repeats(texts):
-    word, first, out = re.compile(r"[^\x20\x09-\x0D]+"), {}, collections.defaultdict(set)
+    """(doc, is_repeat): {word place: the least other document}, from all 50-word windows."""
+    word, places = re.compile(r"[^\x20\x09-\x0D]+"), collections.defaultdict(list)
     for k, t in enumerate(texts):
         w = word.findall(t or "")
         for i in range(len(w) - 49):
-            g = tuple(w[i : i + 50])
-            if g in first:
-                out[k].update(range(i, i + 50))
-            first.setdefault(g, (k, i))
+            places[tuple(w[i : i + 50])].append((k, i))
+    starts = collections.defaultdict(dict)
+    for own in places.values():
+        if len(own) > 1:
+            starts[own[0][0], False][own[0][1]] = own[1][0]
+            for k, i in own[1:]:
+                starts[k, True][i] = own[0][0]
+    out = set()
+    for (k, repeat), own in starts.items():
+        begin = end = other = None
+        for i in sorted(own):
+            if end is None or i > end:
+                if end is not None:
+                    out.add((k, begin, end, repeat, other))
+                begin, other = i, own[i]
+            end, other = i + 50, min(other, own[i])
+        out.add((k, begin, end, repeat, other))
     return out
 
 
 def found_repeats(df):
     from tessera.llm.repeats import repeated_passages
 
-    out = collections.defaultdict(set)
-    for r in repeated_passages(df).where("is_repeat").collect():
-        out[r.doc_id].update(range(r.start_word, r.end_word))
+    rows = repeated_passages(df).collect()
+    assert all(r.n_words == r.end_word - r.start_word for r in rows)
+    out = {(r.doc_id, r.start_word, r.end_word, r.is_repeat, r.other_doc_id) for r in rows}
+    assert len(out) == len(rows)
     return out
 
 
@@ -165,12 +180,34 @@ def test_repeats(spark, docs, none):
     assert cut[0] == PROSE and 1 not in cut and cut[2] == "and one more" and cut[11] == "start here end there" and cut[4] is None
 
 
-def test_repeats_with_many_surroundings(spark):
-    """More surroundings of one passage than a group holds, and groups over the borders of tasks."""
+def test_repeats_with_many_surroundings(spark, monkeypatch):
+    """One passage with many surroundings, within texts and over them; tables, tasks and held groups of several sizes."""
+    from tessera.llm import repeats
+
     common = [f"c{k}" for k in range(55)]
-    texts = [" ".join([f"a{n}_{k}" for k in range(n % 9)] + common + [f"b{n % 7}_{k}" for k in range(n % 31)]) for n in range(120)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
-    assert found_repeats(df) == brute_repeats(texts)
+    texts = [" ".join([f"a{n}_{k}" for k in range(n % 9)] + common + [f"b{n % 7}_{k}" for k in range(n % 31)] + (common if n % 40 == 3 else [])) for n in range(120)]
+    texts += [" ".join(common * 3), " ".join(f"r{k % 7}" for k in range(200))]
+    expected = brute_repeats(texts)
+    for parts in (1, 7, 64):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts)
+        assert found_repeats(df) == expected
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for shuffled in ("1", "7", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            assert found_repeats(df) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    monkeypatch.setattr(repeats, "HELD", 3)
+    assert found_repeats(df) == expected
+
+
+def test_repeats_null_and_shared_ids(spark):
+    """Rows of one id, or of none, are one document: a row that stands twice repeats nothing."""
+    rows = [(None, PROSE), (None, PROSE), (4, PROSE), (4, PROSE), (9, OTHER), (9, OTHER)]
+    got = found_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == {(None, 0, 90, False, 4), (4, 0, 90, True, None)}
 
 
 def brute_links(texts):
