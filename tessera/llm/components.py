@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import Table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,15 +29,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Ends when a round changes nothing; each round's edges are written to the shared folder. Nodes with very many
     edges are summed up before the shuffle (least) and joined by a plain equi-join, which Spark can split.
     """
-    edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    table = Table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
-        edges = written(_star(_star(edges, large=True), large=False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        before, table = table, Table(_star(_star(table.df, large=True), large=False))
+        before.drop()
+        now = table.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == now:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
+    edges = table.df
     tied = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tied.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -11,14 +11,20 @@
    own classes first and hands on two for each shingle and size step, so that no shingle gathers many more rows than
    there are tasks. The components of these ties part the classes into groups that no link crosses. Any order gives
    the same links; this one keeps common passages from tying unlike texts.
-4. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). Each set walks through it
+4. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). A set walks through it
    level by level: overlaps with a shared run are counted once for all sets below, subtrees whose sizes or remaining
    lengths cannot reach the overlap that a link needs are left, and so are sets of the walker's own component.
-   Groups of more than BLOCK sets are split into blocks, and a task holds a pair of blocks.
-5. Links in a tree give components; those of split groups are joined over their blocks.
+   A group that one task can hold is one tree, and each of its sets walks. A larger one is dealt out in blocks, a tree
+   each. First the HUBS sets of its commonest shingles walk through all blocks; the sets that they are linked with are
+   one component with them and need no walk of their own, since every link that they have is met by the walk of the
+   set at its other end, or joins what is joined already. Of the sets that are left, new hubs walk as long as that
+   leaves clearly fewer; then all that are left walk through every block. A group of near copies of one text is so
+   read a few times, not once for each pair of blocks.
+5. Links give components, which are joined over the blocks.
 
 Empty texts have no shingles and no links; texts under five words have one shingle, all their words. Null texts are
-empty. Rows that repeat one another are one class. An empty table gives no rows.
+empty. Rows that repeat one another are one class. A row without an id is no document and links nothing; it is listed
+with the component of the documents of its own class, null if there is none. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, mix, slices, tidy, written
+from tessera.llm.common import Table, U64, Words, mix, slices, split_join, tidy, written
 from tessera.llm.components import components
 
 N = 5
@@ -38,10 +44,10 @@ N = 5
 FREQUENT = 1 << 16
 #: Shingles that a task looks at together (some 100 bytes each while it sorts them).
 HELD = 1_000_000
-#: Sets of a tree that walk past all others before the rest.
+#: Sets of a tree, or of a group of several trees, that walk past all others before the rest.
 HUBS = 4
-#: Sets in a block of a split group.
-BLOCK = 1024
+#: Most sets of a tree, and shingles in all of them (unless one set has more).
+BLOCK, SHINGLES = 1024, 400_000
 #: Bytes of text that are split into words together (some 60 bytes each while they are).
 TOGETHER = 1 << 19
 _TOP = U64(1 << 63)
@@ -325,8 +331,8 @@ class PrefixTree:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def tree_components(sets: list[np.ndarray], cross: np.ndarray | None = None) -> np.ndarray:
-    """The component (a set's number) of each set, by links; cross: the block of each set, if only links between two blocks are asked for."""
+def tree_components(sets: list[np.ndarray], walks: np.ndarray | None = None) -> np.ndarray:
+    """The component (a set's number) of each set, by links; walks: the sets whose links are asked for, if not all."""
     whole = np.array([len(s) for s in sets], np.int64)
     out, left = np.arange(len(sets)), np.arange(len(sets))
     shared = sets
@@ -343,21 +349,19 @@ def tree_components(sets: list[np.ndarray], cross: np.ndarray | None = None) ->
         return out
     keys, at, count = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
     parts = np.split(at, np.cumsum([len(s) for s in shared])[:-1])
-    order = sorted(range(len(parts)), key=lambda k: parts[k].tolist())
+    order = sorted(range(len(parts)), key=lambda k: parts[k].astype(">u4").tobytes())
     ordered, own = [parts[k] for k in order], np.zeros(len(keys), np.int8)
     size = whole[left[order]]
     tree = PrefixTree(ordered, size)
     root = np.arange(len(order))  # by place in the order
-    side = cross[left[order]] if cross is not None else None
+    asked = np.arange(len(order)) if walks is None else np.flatnonzero(walks[left[order]])
     # Sets of common shingles walk first, past all others: they gather most of a component, which later walks then leave out.
-    common = np.array([count[s].mean() for s in ordered])
-    hubs = np.argsort(-common, kind="stable")[:HUBS].tolist()
-    for k in [*hubs, *range(1, len(order))]:
+    common = np.array([count[s].mean() if len(s) else 0.0 for s in ordered])
+    hubs = asked[np.argsort(-common[asked], kind="stable")[:HUBS]].tolist()
+    for k in [*hubs, *asked.tolist()]:
         same = root == root[k]
-        if side is not None:
-            same = same | (side == side[k])
         own[ordered[k]] = 1
-        met = tree.walk(own, len(ordered[k]), int(size[k]), np.concatenate([[0], np.cumsum(same)]), len(order) if k in hubs else k)
+        met = tree.walk(own, len(ordered[k]), int(size[k]), np.concatenate([[0], np.cumsum(same)]), k if walks is None and k not in hubs else len(order))
         own[ordered[k]] = 0
         met = met[~same[met]]
         if len(met):
@@ -367,38 +371,105 @@ def tree_components(sets: list[np.ndarray], cross: np.ndarray | None = None) ->
     return out
 
 
+def _commonness(frequent):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """class, group, n, score: the mean rank of a set's shingles, 0 for those that are not frequent."""
+        for whole in batches:
+            for batch in slices(whole, limit=TOGETHER):
+                made = Sets(batch.column("text"), frequent.value)
+                rank = np.where(made.key & _TOP > 0, (made.key & ~_TOP) + U64(1), U64(0)).astype(float)
+                score = np.bincount(made.row, rank, len(made.n)) / np.maximum(made.n, 1)
+                yield pa.record_batch([batch.column("class"), batch.column("group"), batch.column("n"), pa.array(score)], names=["class", "group", "n", "score"])
+
+    return run
+
+
 def _linked(frequent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (group, block_a, block_b, block, class, text) in the order of the first three; ties (a, b) by links."""
-        key, groups, sets, sides = None, [], [], []
+        """Ties (a, b) by links, from rows (group, block, walkers, class, walks, text) in the order of the first four."""
+        key, classes, sets, walks = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(groups) > 1:
-                root = tree_components(sets, np.array(sides) if key[1] != key[2] else None)
-                pairs = [(g, groups[r]) for g, r in zip(groups, root) if g != groups[r]]
+            if len(classes) > 1 and any(walks):
+                root = tree_components(sets, None if all(walks) else np.array(walks))
+                pairs = [(c, classes[r]) for c, r in zip(classes, root) if c != classes[r]]
                 if pairs:
                     a, b = zip(*pairs)
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key[3]] * len(a), pa.bool_())], names=["a", "b", "split"])
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for whole in batches:
             for batch in slices(whole, limit=TOGETHER):
                 made = Sets(batch.column("text"), frequent.value)
                 own = made.classes().tolist()
-                heads = zip(*(batch.column(x).to_pylist() for x in ("group", "block_a", "block_b", "split", "block", "class")))
-                for k, (*now, block, group) in enumerate(heads):
+                heads = zip(*(batch.column(x).to_pylist() for x in ("group", "block", "walkers", "class", "walks")))
+                for k, (*now, group, walker) in enumerate(heads):
                     if tuple(now) != key:
                         yield from done()
-                        key, groups, sets, sides = tuple(now), [], [], []
-                    if own[k] != group or groups and groups[-1] == group:
+                        key, classes, sets, walks = tuple(now), [], [], []
+                    if own[k] != group:
                         continue  # another row with this id
-                    groups.append(group)
-                    sets.append(made.key[made.bounds[k] : made.bounds[k + 1]])
-                    sides.append(block)
+                    if classes and classes[-1] == group:
+                        walks[-1] |= walker
+                        continue
+                    classes.append(group)
+                    sets.append(made.key[made.bounds[k] : made.bounds[k + 1]].copy())
+                    walks.append(walker)
         yield from done()
 
     return run
 
 
+def _blocks() -> Column:
+    """Trees for all sets of a group, from its columns sets and shingles."""
+    return F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
+
+
+def _of_trees(dealt: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
+    keys = ["group", "block", "walkers"]
+    rows = dealt.select(*keys, "class", "walks", "text").repartition(*keys).sortWithinPartitions(*keys, "class")
+    return written(rows.mapInArrow(tidy(_linked(frequent)), "a long, b long"))
+
+
+def _of_large_groups(large: DataFrame, frequent) -> DataFrame:  # noqa: ANN001
+    """Ties by links of the groups of several blocks; large: class, group, n, blocks, block, text."""
+    found: list[DataFrame] = []
+    rest = written(large.mapInArrow(tidy(_commonness(frequent)), "class long, group long, n long, score double"))
+    before = None
+    while not rest.isEmpty():
+        counts = rest.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+        counts = counts.withColumn("parts", _blocks())
+        if before is None:
+            last = F.col("parts") == 1
+        else:
+            counts = counts.join(before, "group")
+            last = (F.col("parts") == 1) | (F.col("sets") > 0.8 * F.col("sets_before"))
+        counts = written(counts.select("group", "sets", "parts", last.alias("last")))
+        ranked = rest.withColumn("at", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "class"))).where(F.col("at") <= HUBS)
+        hubs = ranked.join(counts.where("NOT last"), "group").select("class", "group", F.lit(0).alias("walkers"))
+        all_left = rest.join(counts.where("last"), "group").select("class", "group", F.pmod(F.xxhash64("class", F.lit("walkers")), "parts").cast("int").alias("walkers"))
+        walking = written(hubs.unionByName(all_left))
+        trees = counts.select("group", F.when(F.col("last"), F.col("parts")).otherwise(1).alias("parts"))
+        staying = large.join(trees, "group").withColumn("walkers", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("walks", F.lit(False))
+        walkers = large.drop("block").join(walking.drop("group"), "class").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("walks", F.lit(True))
+        columns = ["group", "block", "walkers", "class", "walks", "text"]
+        found.append(_of_trees(staying.select(columns).unionByName(walkers.select(columns)), frequent))
+        # Links within the largest component of a group join nothing more; all others have a set that has walked or is left.
+        going = rest.join(counts.where("NOT last").select("group"), "group").join(walking, "class", "left_anti")
+        ties = found[0]
+        for more in found[1:]:
+            ties = ties.union(more)
+        labels = large.select("class", "group").join(components(ties).withColumnRenamed("node", "class"), "class")
+        sizes = labels.groupBy("group", "root").agg(F.count("*").alias("sets"))
+        main = sizes.groupBy("group").agg(F.max_by("root", F.struct("sets", "root")).alias("root"))
+        inside = labels.join(main, ["group", "root"]).select("class")
+        before = counts.select("group", F.col("sets").alias("sets_before"))
+        rest = written(going.join(inside, "class", "left_anti"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, itself included."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -408,27 +479,31 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     dealt_to = F.coalesce("shingle", "class")
     counts = begun.repartition(dealt_to).sortWithinPartitions("shingle", "class").mapInArrow(tidy(_shared), "class long, need long, count long")
     left = counts.groupBy("class").agg(F.max("need").alias("need"), F.sum("count").alias("count")).where("count >= need").select("class")
-    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(left, "class")
+    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(left, "class")
     # One text stands for a class; the other rows of its id, if any, have another class.
-    texts = written(docs.join(holders, "doc_id").select("class", "text"))
-    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
-    tying = written(texts.mapInArrow(tidy(_tying(frequent)), "shingle long, n long, class long, other long"))
+    kept = Table(docs.join(holders, "doc_id").select("class", "n", "text"))
+    texts = kept.df
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(texts.select("class", "text")))
+    tying = Table(texts.select("class", "text").mapInArrow(tidy(_tying(frequent)), "shingle long, n long, class long, other long"))
     order = ["shingle", "n", "class"]
-    across = tying.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(tidy(_tied), "a long, b long")
-    groups = components(tying.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
-    # Groups go to blocks, pairs of blocks to tasks.
-    sizes = groups.groupBy("root").agg(F.count("*").alias("sets"))
-    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    placed = groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    texts = texts.join(placed, "class")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.withColumn("other", other).select("group", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), (F.col("blocks") > 1).alias("split"), "block", "class", "text")
-    keys = ["group", "block_a", "block_b"]
-    links = written(dealt.repartition(*keys).sortWithinPartitions(*keys, "class").mapInArrow(tidy(_linked(frequent)), "a long, b long, split boolean"))
-    split = components(links.where("split").select("a", "b"))
-    roots = links.where("NOT split").select(F.col("a").alias("class"), F.col("b").alias("root")).union(split.select(F.col("node").alias("class"), "root"))
-    known = of_docs.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = known.where("class != 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = known.join(least, "root", "left")
-    own = F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    across = tying.df.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(tidy(_tied), "a long, b long")
+    groups = components(tying.df.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
+    tying.drop()
+    sized = groups.withColumnRenamed("node", "class").join(of_docs.where("class != 0").groupBy("class").agg(F.max("n").alias("n")), "class")
+    sizes = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select("root", _blocks().alias("blocks"))
+    placed = written(groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
+    one = texts.join(placed.where("blocks = 1"), "class").select("*", F.lit(0).alias("walkers"), F.lit(True).alias("walks"))
+    links = _of_trees(one, frequent)
+    several = placed.where("blocks > 1")
+    if not several.isEmpty():
+        large = Table(texts.join(several, "class"))
+        links = links.union(_of_large_groups(large.df, frequent))
+        large.drop()
+    kept.drop()
+    roots = components(links).withColumnRenamed("node", "class")
+    # Classes of several documents or with links look their component up; rows of one class or component are dealt to several tasks.
+    sole = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("own"), F.count("*").alias("rows")).join(roots, "class", "left")
+    least = sole.where("root IS NOT NULL").groupBy("root").agg(F.min("own").alias("least"))
+    least = split_join(sole.where("rows > 1 OR root IS NOT NULL"), least, "root").select("class", F.coalesce("least", "own").alias("least"))
+    out = split_join(of_docs, least, "class")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))

@@ -249,10 +249,21 @@ def test_jaccard_near_copies(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"e{rng.randrange(1000)}"
         texts.append(" ".join(w[: rng.randint(55, 80)]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    expected = brute_links(texts)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == expected
-    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    expected, before = brute_links(texts), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == expected
+    for block, shingles in ((20, 400_000), (1024, 3_000)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "SHINGLES", shingles)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == expected
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_jaccard_null_ids_and_repeated_rows(spark):
+    from tessera.llm.jaccard import jaccard_components
+
+    rows = [(None, PROSE), (None, PROSE + " more"), (5, PROSE), (5, PROSE), (3, OTHER), (None, "no copy of this text"), (8, None), (9, OTHER + " x")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, 86, 5), (None, 87, None), (5, 86, 5), (3, 116, 3), (None, 1, None), (8, 0, 8), (9, 117, 3)}
 
 
 def test_search(spark, docs, none):
