@@ -204,10 +204,10 @@ def strings(arr: pa.Array) -> list[str]:
 
 
 class IdStore:
-    """Runs of ids by a 64-bit key, kept by a worker from batch to batch; starts anew beyond `most` keys."""
+    """Runs of ids by a 64-bit key, kept by a worker from batch to batch; starts anew beyond `most` keys or `most_ids` ids."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, most_ids: int):
+        self.most, self.most_ids = most, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -216,7 +216,7 @@ class IdStore:
 
     def missing(self, keys: np.ndarray) -> np.ndarray:
         """Which of the distinct keys, in order, are not there."""
-        if len(self.keys) > self.most:
+        if len(self.keys) > self.most or self.used > self.most_ids:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         out = np.ones(len(keys), bool)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, tidy
-from tessera.llm.range_coder import decode_blocks, encode_blocks
+from tessera.llm.range_coder import LONGEST, decode_blocks, encode_blocks
 from tessera.llm.tokens import encoder
 
 SCHEMA = "shard int, segment long, first long, n_ids long, doc_ids array<long>, doc_sizes array<long>, block_sizes array<int>, block_bytes array<int>, block_crc32 array<long>, data binary"
@@ -33,7 +33,7 @@ _READ = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("shard_start"
 #: Ids of a segment, unless one document has more.
 SEGMENT = 1 << 17
 #: Ids that are coded, or decoded, side by side.
-SIDE_BY_SIDE = 3 << 20
+SIDE_BY_SIDE = 2 << 20
 
 
 class CorruptBlock(ValueError):
@@ -84,6 +84,8 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int = 2, block:
         if held:
             yield from coded_so_far()
 
+    if not 0 < block <= LONGEST:
+        raise ValueError(f"a block has 1 to {LONGEST} ids, not {block}")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(coded), SCHEMA).write.parquet(path)
 

@@ -30,7 +30,7 @@ from tessera.llm.common import IdStore, U64, mix, powers, slices, strings, tidy
 SPACE = 0x2581
 LONG = 40
 #: Distinct chunks that a worker keeps while it runs a task (about 60 bytes each).
-KEPT = 1_000_000
+KEPT, KEPT_IDS = 1_000_000, 16_000_000
 _NONE = np.int64(1) << 60
 _MODELS: dict[str, "Vocabulary"] = {}
 
@@ -183,7 +183,7 @@ def _side_by_side(v: Vocabulary, symbols: np.ndarray, sizes: np.ndarray, keys: n
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float, seed: int):
         self.v, self.seed = vocabulary, seed
-        self.store, self.merges = IdStore(KEPT), IdStore(KEPT)
+        self.store, self.merges = IdStore(KEPT, KEPT_IDS), IdStore(KEPT, KEPT_IDS)
         self.limit = min(int(dropout * 2**64), 2**64 - 1)
 
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:

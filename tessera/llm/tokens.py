@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from tessera.llm.common import BYTE, U64, IdStore, mix, powers, utf8
 
-#: Distinct chunks that a worker keeps (about 50 bytes each); beyond it the store starts anew.
-KEPT = 2_000_000
+#: Distinct chunks (about 40 bytes each) and ids (4 bytes each) that a worker keeps; beyond either the store starts anew.
+KEPT, KEPT_IDS = 1_000_000, 16_000_000
 _ENCODERS: dict[tuple[str, bool], "Encoder"] = {}
 _PRINT = np.zeros(256, bool)
 _PRINT[0x21:0x7F] = True
@@ -26,14 +26,13 @@ _MAYBE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    def __init__(self, path: str, blank: bool, spelled: bool = True):
-        """blank: the vocabulary has no ids for white space; spelled: added tokens in a text are plain characters (not the library's default)."""
+    def __init__(self, path: str, blank: bool):
+        """blank: the vocabulary has no ids for white space."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = spelled
         self.blank = blank
-        self.store = IdStore(KEPT)
+        self.store = IdStore(KEPT, KEPT_IDS)
 
     def _spans(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -90,7 +89,7 @@ class Encoder:
 
 
 def encoder(path: str, blank: bool) -> Encoder:
-    """One encoder for each worker process, with the library's default for added tokens."""
+    """One encoder for each worker process."""
     if (path, blank) not in _ENCODERS:
-        _ENCODERS[path, blank] = Encoder(path, blank, spelled=False)
+        _ENCODERS[path, blank] = Encoder(path, blank)
     return _ENCODERS[path, blank]
