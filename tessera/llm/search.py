@@ -1,19 +1,24 @@
 """Exact top-k search: an inverted index with block-max WAND pruning for BM25, by shards, with global statistics.
 
 A shard is an index of up to SHARD documents, built where they are read: terms in the order of their hashes, and for
-each the documents and term frequencies, cut at blocks of BLOCK documents with the greatest weight of each block.
-Documents of a shard are put in the order of their commonest word, so that blocks hold texts of one language.
-
-A query is the distinct terms of a text with their inverse document frequencies over all shards (counted by a shuffle
-of each shard's terms). On a shard, a query sums the block maxima of its terms to a bound for each block, looks at
-blocks from the greatest bound down, and stops when no block can reach the k-th best score; the best k of every shard
-are merged by one window. Nothing is approximate: bounds are exact maxima, and all statistics cover all documents.
+each the documents and term frequencies in document order. Documents of a shard are put in the order of their
+commonest word, so that neighbours are texts of one language.
+
+A query is the distinct terms of a text with their document frequencies over all shards (counted by a shuffle of each
+shard's terms). On a shard the posting lists of its terms are cut at the same places: ranges of WIDE blocks, and blocks
+of BLOCK documents, each with the greatest weight of every term in it. The pivot is chosen from these maxima: of the
+ranges whose summed maxima can reach the k-th best score so far, the one of the greatest sum, and in it the blocks that
+can; all cursors skip to these and only there postings are read and scored. A shard is done when no range can reach
+that score. (Cursors that all stand at one pivot block take the place of a pivot for each document: a query is a whole
+text of some hundred terms, and blocks cut alike let numpy move all cursors at once.) The best k of every shard are
+merged by one window. Nothing is approximate: maxima are exact, and all statistics cover all documents.
 
     score = sum over terms of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 Scores are rounded to 6 places; ties go to the lesser doc_id. A query meets its own document too. Null and empty texts
-match nothing and find nothing. Repeated rows are found as often as they stand there. Each shard meets each query: the
-work grows with queries times shards, as it must for an exact answer; queries come in blocks, one stream for a shard.
+match nothing and find nothing. Repeated rows are found as often as they stand there. Rows without an id are no
+documents and no queries. Each shard meets each query: the work grows with queries times shards, as it must for an
+exact answer. A task holds one shard and streams through the queries.
 """
 
 from __future__ import annotations
@@ -28,9 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import NOT_ALNUM, U64, Words, slices, tidy, written
 
 K1, B = 1.2, 0.75
-SHARD, BLOCK = 16_384, 64
-#: Shards that one stream of queries meets, in one task.
-TOGETHER = 3
+SHARD, BLOCK, WIDE = 65_536, 64, 16
 _INDEX = "shard long, n_docs long, length long, doc_ids binary, doc_lengths binary, terms binary, counts binary, docs binary, freqs binary"
 _COLUMNS = [x.split()[0] for x in _INDEX.split(", ")]
 
@@ -68,7 +71,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((row, term))
         row, term, freq = row[order], term[order], freq[order]
         at = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
-        raw = [ids[new].astype("<i8"), length[new].astype("<i8"), term[at].astype("<u8"), np.diff(np.append(at, len(term))).astype("<u4"), row.astype("<u4"), freq.astype("<u4")]
+        raw = [ids[new].astype("<i8"), length[new].astype("<i8"), term[at].astype("<u8"), np.diff(np.append(at, len(term))).astype("<u4"), row.astype("<u4"), freq.astype("<u2" if freq.max(initial=0) < 65536 else "<u4")]
         values = [shard, len(ids), int(length.sum()), *[x.tobytes() for x in raw]]
         return pa.record_batch([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=_COLUMNS)
 
@@ -91,56 +94,98 @@ def build_index(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return written(docs.where(F.col("doc_id").isNotNull()).mapInArrow(tidy(_indexed), _INDEX))
 
 
+class _Runs:
+    """Postings of each term cut at the same places: for every run its place (a block or range), greatest weight and parts."""
+
+    def __init__(self, owner: np.ndarray, place: np.ndarray, most: np.ndarray):
+        """owner, place, most: of each part, in order."""
+        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]))) if len(owner) else np.zeros(0, np.int64)
+        self.owner, self.place = owner[first], place[first]
+        self.most = np.maximum.reduceat(most, first) if len(first) else np.zeros(0)
+        self.begin, self.size = first.astype(np.int32), np.diff(np.append(first, len(owner))).astype(np.int32)
+
+
+def _parts(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of ranges in a row."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Shard:
     def __init__(self, row: dict, average: float):
         read = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, length = read("doc_ids", "<i8"), read("doc_lengths", "<i8")
         self.terms, counts = read("terms", "<u8"), read("counts", "<u4").astype(np.int64)
-        self.docs, freq = read("docs", "<u4").astype(np.int32), read("freqs", "<u4").astype(float)
-        self.weight = freq * (K1 + 1) / (freq + K1 * (1 - B + B * length[self.docs] / average))
-        owner = np.repeat(np.arange(len(counts)), counts)
-        block = self.docs // BLOCK
-        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1]))) if len(owner) else np.zeros(0, np.int64)
-        self.run_at, self.run_size, self.run_block = first.astype(np.int32), np.diff(np.append(first, len(owner))).astype(np.int32), block[first]
-        self.run_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_runs = np.searchsorted(owner[first], np.arange(len(counts) + 1))
+        self.docs = read("docs", "<u4")
+        self.freqs = read("freqs", "<u2" if len(row["freqs"]) == 2 * len(self.docs) else "<u4")
+        self.norm = K1 * (1 - B + B * length / average)
+        # Maxima of blocks, some million postings at a time; a term's postings may lie in two pieces, its runs then too.
+        ends, pieces = np.cumsum(counts), []
+        for a in range(0, len(self.docs), 1 << 20):
+            docs = self.docs[a : a + (1 << 20)]
+            owner = np.searchsorted(ends, np.arange(a, a + len(docs)), "right").astype(np.int32)
+            runs = _Runs(owner, docs // BLOCK, self.weights(slice(a, a + len(docs))))
+            runs.begin = runs.begin + a
+            pieces.append(runs)
+        names = ("owner", "place", "most", "begin", "size")
+        made = {x: np.concatenate([getattr(p, x) for p in pieces]) if pieces else np.zeros(0, np.int32) for x in names}
+        self.block, self.block_most, self.block_begin, self.block_size = made["place"].astype(np.int32), made["most"], made["begin"], made["size"]
+        wide = _Runs(made["owner"], self.block // WIDE, self.block_most)
+        self.range, self.range_most, self.range_begin, self.range_size = wide.place, wide.most, wide.begin, wide.size
+        self.term_ranges = np.searchsorted(wide.owner, np.arange(len(counts) + 1))
         self.blocks = -(-len(self.ids) // BLOCK)
+        self.ranges = -(-self.blocks // WIDE)
+
+    def weights(self, postings: slice | np.ndarray) -> np.ndarray:
+        freq = self.freqs[postings].astype(float)
+        return freq * (K1 + 1) / (freq + self.norm[self.docs[postings]])
 
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int, found: list[tuple[float, int]]) -> list[tuple[float, int]]:
-        """(-score, doc_id) of the k best of this shard and those found before; terms in the order of their hashes."""
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """(-score, doc_id) of the k best of this shard; terms in the order of their hashes."""
+        found: list[tuple[float, int]] = []
         if not len(terms) or not len(self.terms):
             return found
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
         at, idf = at[here], idf[here]
-        size = self.term_runs[at + 1] - self.term_runs[at]
-        ends = np.cumsum(size)
-        if not len(ends):
+        size = self.term_ranges[at + 1] - self.term_ranges[at]
+        runs, runs_idf = _parts(self.term_ranges[at], size), np.repeat(idf, size)
+        if not len(runs):
             return found
-        runs = np.repeat(self.term_runs[at] - ends + size, size) + np.arange(int(ends[-1]))
-        run_idf = np.repeat(idf, size)
-        block = self.run_block[runs]
-        bound = np.bincount(block, run_idf * self.run_most[runs], self.blocks)
+        place = self.range[runs]
+        bound = np.bincount(place, runs_idf * self.range_most[runs], self.ranges)
         order = np.argsort(-bound, kind="stable")
-        place = np.empty(self.blocks, np.int64)
-        place[order] = np.arange(self.blocks)
-        by_place = np.argsort(place[block], kind="stable")  # runs of the best block first, in each by term
-        runs, run_idf = runs[by_place], run_idf[by_place]
-        until = np.searchsorted(place[block][by_place], np.arange(self.blocks + 1))
-        least, a = -found[-1][0] if len(found) == k else -1.0, 0
-        step = 4
-        while a < self.blocks and bound[order[a]] > 0 and bound[order[a]] + 1e-5 >= least:
-            b = min(a + step, self.blocks)
-            own, w = runs[until[a] : until[b]], run_idf[until[a] : until[b]]
-            n = self.run_size[own]
-            e = np.cumsum(n)
-            post = np.repeat(self.run_at[own] - e + n, n) + np.arange(int(e[-1]) if len(e) else 0)
-            docs, at_doc = np.unique(self.docs[post], return_inverse=True)
-            score = np.round(np.bincount(at_doc, np.repeat(w, n) * self.weight[post], len(docs)), 6)
-            good = np.flatnonzero(score >= least)
-            found = sorted([*found, *((-s, i) for s, i in zip(score[good].tolist(), self.ids[docs[good]].tolist()))])[:k]
-            least = -found[-1][0] if len(found) == k else -1.0
-            a, step = b, min(2 * step, 32)
+        by_place = np.argsort(place, kind="stable")  # runs of one range in a row, in each by term
+        until = np.searchsorted(place[by_place], np.arange(self.ranges + 1))
+        least = -1.0
+        for pivot in order.tolist():
+            if bound[pivot] <= 0 or bound[pivot] + 1e-5 < least:
+                break
+            own = by_place[until[pivot] : until[pivot + 1]]
+            size = self.range_size[runs[own]]
+            blocks, w = _parts(self.range_begin[runs[own]], size), np.repeat(runs_idf[own], size)
+            place_in = self.block[blocks] - pivot * WIDE
+            most = np.bincount(place_in, w * self.block_most[blocks], WIDE)
+            todo = np.argsort(-most, kind="stable")
+            step, a = (WIDE, 0) if least >= 0 else (2, 0)
+            while a < WIDE and most[todo[a]] > 0 and most[todo[a]] + 1e-5 >= least:
+                now = todo[a : a + step]
+                chosen = np.zeros(WIDE, bool)
+                chosen[now[(most[now] > 0) & (most[now] + 1e-5 >= least)]] = True
+                on = chosen[place_in]
+                n = self.block_size[blocks[on]]
+                post = _parts(self.block_begin[blocks[on]], n)
+                docs = self.docs[post] - np.uint32(pivot * WIDE * BLOCK)
+                score = np.round(np.bincount(docs, np.repeat(w[on], n) * self.weights(post), WIDE * BLOCK), 6)
+                good = np.flatnonzero((score >= max(least, 1e-6)) & (score > 0))
+                if len(good) > 4 * k:  # ties with the k-th stay
+                    good = good[score[good] >= np.partition(score[good], -k)[-k]]
+                if len(good):
+                    ids = self.ids[good + pivot * WIDE * BLOCK].tolist()
+                    found = sorted([*found, *zip((-score[good]).tolist(), ids)])[:k]
+                    least = -found[-1][0] if len(found) == k else -1.0
+                a += step
+                step = WIDE
         return found
 
 
@@ -164,42 +209,37 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, query_id: str = "do
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(text).cast("string").alias("text")).where(F.col("query_id").isNotNull())
     asked = written(asked.mapInArrow(tidy(query_terms), "query_id long, term long").distinct())
     df = index.select("terms", "counts").mapInArrow(tidy(terms_of), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("x"))
-    each = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("x")).select("query_id", F.col("x.term").alias("query_terms"), F.col("x.idf").alias("idf"))
-    # Some shards are a stream: their indexes first, then every query.
-    numbers = index.groupBy().agg(F.sort_array(F.collect_list("shard")).alias("shards")).first().shards
-    index = index.withColumn("stream", F.floor((F.array_position(F.array(*[F.lit(x).cast("long") for x in numbers]), F.col("shard")) - 1) / TOGETHER) if numbers else F.lit(0).cast("long"))
-    streams = F.sequence(F.lit(0).cast("long"), F.lit((len(numbers) - 1) // TOGETHER).cast("long")) if numbers else F.array().cast("array<long>")
-    sent = written(each).withColumn("stream", F.explode(streams))
+    # Of a query its terms in a row, with their frequencies: no more than its text.
+    each = asked.join(df, "term").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "df"))).alias("x"))
+    each = written(each.select("query_id", F.col("x.term").alias("query_terms"), F.col("x.df").alias("dfs")))
+    # Shards are numbered (one short row for each), so that each is sent every query.
+    numbers = written(index.select("shard").withColumn("stream", F.row_number().over(Window.orderBy("shard")).cast("long")))
+    streams = F.sequence(F.lit(1).cast("long"), F.lit(numbers.count()).cast("long"))
+    sent = each.withColumn("stream", F.explode(streams if n else F.array().cast("array<long>")))
     empty = lambda names: [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in names]
-    first = index.select("*", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("query_terms"), F.lit(None).cast("array<double>").alias("idf"))
-    stream = first.unionByName(sent.select(*empty(_COLUMNS), "stream", "query_id", "query_terms", "idf"))
+    first = index.join(F.broadcast(numbers), "shard").select(*_COLUMNS, "stream", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("query_terms"), F.lit(None).cast("array<long>").alias("dfs"))
+    stream = first.unionByName(sent.select(*empty(_COLUMNS), "stream", "query_id", "query_terms", "dfs"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: list[Shard] = []
-        asked = False
+        shard: Shard | None = None
         for batch in batches:
             out = []
             for row in range(batch.num_rows):
                 q = batch.column("query_id")[row].as_py()
                 if q is None:
-                    if asked:
-                        shards, asked = [], False
-                    shards.append(Shard({c: batch.column(c)[row].as_py() for c in _COLUMNS}, average))
+                    shard = None  # before the next one is read
+                    shard = Shard({c: batch.column(c)[row].as_buffer() if pa.types.is_binary(batch.schema.field(c).type) else None for c in _COLUMNS}, average)
                     continue
-                asked = True
-                terms = np.array(batch.column("query_terms")[row].values, np.int64).view(U64)
-                weights = np.array(batch.column("idf")[row].values, float)
+                terms, dfs = (batch.column(c)[row].values.to_numpy() for c in ("query_terms", "dfs"))
+                terms = terms.view(U64)
                 order = np.argsort(terms)
-                found: list[tuple[float, int]] = []
-                for shard in shards:
-                    found = shard.best(terms[order], weights[order], k, found)
-                out += [(q, d, -s) for s, d in found]
+                weights = np.log(1 + (n - dfs[order] + 0.5) / (dfs[order] + 0.5))
+                out += [(q, d, -s) for s, d in shard.best(terms[order], weights, k)]
             if out:
                 a, b, c = zip(*out)
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], names=["query_id", "doc_id", "score"])
 
-    found = stream.repartition("stream").sortWithinPartitions("stream", F.col("query_id").asc_nulls_first(), "shard").mapInArrow(tidy(search), "query_id long, doc_id long, score double")
+    ordered = stream.repartition("stream").sortWithinPartitions("stream", F.col("query_id").asc_nulls_first())
+    found = written(ordered.mapInArrow(tidy(search), "query_id long, doc_id long, score double"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

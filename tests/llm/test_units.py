@@ -284,3 +284,34 @@ def test_block_checksums_are_of_the_coded_bytes():
     for n, crc in zip(row["block_bytes"], row["block_crc32"]):
         assert zlib.crc32(row["data"][at : at + n]) == crc
         at += n
+
+
+def test_shards_give_the_best_of_all(monkeypatch):
+    """A shard's k best, with ties at the k-th, against the scores of all documents."""
+    from tessera.llm import search
+
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "WIDE", 3)
+    rng = np.random.default_rng(5)
+    for trial in range(30):
+        n, vocabulary = int(rng.integers(1, 120)), int(rng.integers(1, 30))
+        texts = [np.minimum(rng.zipf(1.6, rng.integers(0, 20)), vocabulary) for _ in range(n)]
+        pairs = [(t, k, int((x == t).sum())) for k, x in enumerate(texts) for t in np.unique(x)]
+        pairs.sort()
+        terms = np.unique([p[0] for p in pairs]).astype("<u8")
+        counts = np.array([sum(p[0] == t for p in pairs) for t in terms], "<u4")
+        length = np.array([len(x) for x in texts], "<i8")
+        ids = rng.permutation(n).astype("<i8")
+        row = {"doc_ids": ids, "doc_lengths": length, "terms": terms, "counts": counts, "docs": np.array([p[1] for p in pairs], "<u4"), "freqs": np.array([p[2] for p in pairs], "<u2")}
+        average = max(length.mean(), 1e-9)
+        shard = search.Shard({name: x.tobytes() for name, x in row.items()}, average)
+        asked = np.unique(rng.integers(1, vocabulary + 3, 6)).astype(np.uint64)
+        idf = rng.random(len(asked)) + 0.1
+        weight = {int(t): w for t, w in zip(asked, idf)}
+        score = np.zeros(n)
+        for t, k, f in pairs:
+            score[k] += weight.get(int(t), 0.0) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[k] / average))
+        score = np.round(score, 6)
+        expected = sorted((-s, int(i)) for s, i in zip(score, ids) if s > 0)[:7]
+        got = shard.best(asked, idf, 7)
+        assert [i for _, i in got] == [i for _, i in expected] and np.allclose([s for s, _ in got], [s for s, _ in expected])
