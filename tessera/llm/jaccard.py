@@ -14,8 +14,8 @@
 4. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). A set walks through it
    level by level: overlaps with a shared run are counted once for all sets below, subtrees whose sizes or remaining
    lengths cannot reach the overlap that a link needs are left, and so are sets of the walker's own component.
-   A group that one task can hold is one tree, and each of its sets walks. A larger one is dealt out in blocks, a tree
-   each. First the HUBS sets of its commonest shingles walk through all blocks; the sets that they are linked with are
+   A group that one task can hold is one tree, and each of its sets walks. A larger one is dealt out in blocks: up to
+   PAIRED of them as pairs of blocks, a tree each; of more, every block is a tree. First the HUBS sets of its commonest shingles walk through all blocks; the sets that they are linked with are
    one component with them and need no walk of their own, since every link that they have is met by the walk of the
    set at its other end, or joins what is joined already. Of the sets that are left, new hubs walk as long as that
    leaves clearly fewer; then all that are left walk through every block. A group of near copies of one text is so
@@ -44,10 +44,12 @@ N = 5
 FREQUENT = 1 << 16
 #: Shingles that a task looks at together (some 100 bytes each while it sorts them).
 HELD = 1_000_000
-#: Sets of a tree, or of a group of several trees, that walk past all others before the rest.
+#: Sets of a tree, or of a group of many trees, that walk past all others before the rest.
 HUBS = 4
-#: Most sets of a tree, and shingles in all of them (unless one set has more).
-BLOCK, SHINGLES = 1024, 400_000
+#: Most sets of a block, and shingles in all of them (unless one set has more).
+BLOCK, SHINGLES = 4096, 2_000_000
+#: Most blocks of a group that are met pair by pair, each set going to as many tasks.
+PAIRED = 4
 #: Bytes of text that are split into words together (some 60 bytes each while they are).
 TOGETHER = 1 << 19
 _TOP = U64(1 << 63)
@@ -494,7 +496,11 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     placed = written(groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     one = texts.join(placed.where("blocks = 1"), "class").select("*", F.lit(0).alias("walkers"), F.lit(True).alias("walks"))
     links = _of_trees(one, frequent)
-    several = placed.where("blocks > 1")
+    few, several = placed.where(F.col("blocks").between(2, PAIRED)), placed.where(F.col("blocks") > PAIRED)
+    if not few.isEmpty():
+        pairs = texts.join(few, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.withColumns({"block": F.least("block", "other"), "walkers": F.greatest("block", "other"), "walks": F.lit(True)})
+        links = links.union(_of_trees(pairs, frequent))
     if not several.isEmpty():
         large = Table(texts.join(several, "class"))
         links = links.union(_of_large_groups(large.df, frequent))

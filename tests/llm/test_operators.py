@@ -251,7 +251,7 @@ def test_jaccard_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     expected, before = brute_links(texts), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == expected
-    for block, shingles in ((20, 400_000), (1024, 3_000)):
+    for block, shingles in ((40, 400_000), (1024, 900)):  # pairs of blocks, then many blocks
         monkeypatch.setattr(jaccard, "BLOCK", block)
         monkeypatch.setattr(jaccard, "SHINGLES", shingles)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()} == expected
