@@ -100,6 +100,59 @@ def test_quality_outliers(spark):
     assert all(kept[k] for k in range(200)) and not any(kept[1000 + k] for k in range(20))
 
 
+def brute_mcd(x, share, tries=300):
+    """Squared distances by the least determinant of many random starts, with the operator's floors, levels and reweighting."""
+    from tessera.llm.quality import CHI2_975, CHI2_MEDIAN, FLOORS
+
+    rng = np.random.default_rng(1)
+    floors = np.diag(np.square(FLOORS))
+
+    def estimate(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(4, 4) + floors
+
+    def distances(centre, scatter):
+        y = np.linalg.solve(np.linalg.cholesky(scatter), (x - centre).T)
+        return (y * y).sum(0)
+
+    def top(d, part):
+        levels = np.sort(np.floor(32 * np.log2(d + 1e-6)))
+        return levels[int(np.ceil(part * len(d) - 1e-9)) - 1]
+
+    best = None
+    for _ in range(tries):
+        fit, volume = estimate(x[rng.choice(len(x), 8, replace=False)]), np.inf
+        while True:
+            d = distances(*fit)
+            fit = estimate(x[np.floor(32 * np.log2(d + 1e-6)) <= top(d, share)])
+            now = np.linalg.slogdet(fit[1])[1]
+            if now >= volume - 1e-4:
+                break
+            volume, kept = now, fit
+        if best is None or volume < best[0]:
+            best = volume, kept
+    d = distances(*best[1])
+    scale = max(2.0 ** ((top(d, 0.5) + 1) / 32) / CHI2_MEDIAN, 0.05)
+    return distances(*estimate(x[d <= max(scale, 1.0) * CHI2_975]))
+
+
+def test_quality_distances_against_brute_force(spark):
+    """Groups with a cluster of outliers: the verdicts are those of the least determinant of 300 starts, the distances near."""
+    from tessera.llm.quality import _KEYS, _STATS, _distances, _fitted
+
+    rng = np.random.default_rng(12)
+    groups = {}
+    for name, n, out in (("a", 300, 0), ("b", 200, 60), ("c", 150, 50)):
+        x = rng.normal(size=(n, 4)) @ rng.normal(size=(4, 4)) * 0.4
+        groups[name] = np.concatenate([x, rng.normal(size=(out, 4)) * 0.1 + [6, -5, 4, 5]])
+    rows = [("en", g, *map(float, v)) for g, x in groups.items() for v in x]
+    table = spark.createDataFrame(rows, [*_KEYS, *_STATS])
+    got = {(r[_KEYS[1]], *(r[c] for c in _STATS)): r["__q_d"] for r in _distances(table, _fitted(table, 0.6, 1e-4)).collect()}
+    for g, x in groups.items():
+        ours = np.array([got[(g, *map(float, v))] for v in x])
+        least = brute_mcd(x, 0.6)
+        assert ((ours > 20) == (least > 20)).all() and np.median(np.abs(ours / least - 1)) < 0.08
+
+
 def test_quality_outliers_of_small_groups(spark):
     """Sources of a row each, and languages under the least count: each passing row is judged."""
     from tessera.llm.quality import judge

@@ -152,6 +152,42 @@ def test_field_ties_all_places_of_a_token():
     assert len(p) == 41 and abs(p[1] - p[-1]) < 1e-3
 
 
+@pytest.mark.parametrize("size", [24, 48, 256, 257, 400, 1200, 10_000])
+def test_secrets_of_any_length(size):
+    from tessera.llm.pii import all_spans, trained_field
+
+    rng = random.Random(size)
+    secret = "9f" + "".join(rng.choice("0123456789abcdef") for _ in range(size - 2))
+    text = f'{"x" * 300} token = "{secret}" and later {secret} again'
+    _, spans = all_spans([text], trained_field())[0]
+    at = text.index(secret)
+    assert spans == [("secret", at, at + size), ("secret", text.rindex(secret), text.rindex(secret) + size)]
+
+
+def test_field_on_sentences_of_another_kind():
+    """Sentences that the generator of the training texts does not write: what is found and what is left alone."""
+    from tessera.llm.pii import all_spans, trained_field
+
+    key = "Zx9" + "aB3dE5fG7h" * 4
+    found = [
+        ("Bitte den API_KEY: {} niemandem zeigen.", key, "secret"), ("export password={} # do not commit", "0c1d" * 10, "secret"), ("curl with secret {} works", "77aa88bb" * 4, "secret"),
+        ("reach me by mobile: {} after six", "415-555-2671", "phone"), ("the visa {} expired", "4012888888881881", "card"), ("ping host {} twice", "192.168.10.4", "ip"), ("write to {} today", "jane.doe@mail.example.org", "email"),
+    ]
+    texts = [t.format(x) for t, x, _ in found]
+    hits = sum(any(k == kind and a <= t.index(x) + 4 and b >= t.index(x) + len(x) - 4 for k, a, b in spans) for t, (_, spans), (_, x, kind) in zip(texts, all_spans(texts, trained_field()), found))
+    assert hits >= 6
+    clean = ["In 1987 about 12,500 people lived there (3.4% more than in 1970).", "See chapter 12, pages 304-311 of volume 2.", "Version 10.2.1 was built on 2021-03-04 at 12:45.", "The 4th of 7 teams won 3:2."]
+    assert all(spans == [] for _, spans in all_spans(clean, trained_field()))
+
+
+def test_many_patterns_in_one_token():
+    from tessera.llm.pii import _FEATURES, KINDS, pattern_spans, tokens_of
+
+    text = "1.2.3.4,5.6.7.8,9.10.11.12,13.14.15.16,17.18.19.20,a@b.example.com"
+    (token,) = tokens_of(text, pattern_spans(text))
+    assert token.base and {_FEATURES - len(KINDS) + KINDS.index(k) for k in ("email", "ip")} <= set(token.features)
+
+
 def test_field_texts_are_judged_alone():
     from tessera.llm.pii import generated, labelled, trained_field
 
