@@ -10,8 +10,10 @@ place is the first place of a passage, the others repeat it. Passages next to ea
 
 The sort is a range partitioning by the whole order, document and place included: a passage that a third of all
 documents share is spread over many tasks. A key that reaches a border of a task, or has more than HELD suffixes, may
-have copies elsewhere: its passages are grouped by Spark by their hash instead. Both ways give the same rows, so rows
-do not depend on where the borders are. Words are split at white space and told apart with their case; passages of
+have copies elsewhere: each task hands on the first two places of every passage of such keys, Spark finds the first two
+of all, and its suffixes are read again with these. (A counted table of up to FEW repeated passages is broadcast; of a
+longer one every passage looks its first places up by a join.) All ways give the same rows, so rows do not depend on
+where the borders are. Words are split at white space and told apart with their case; passages of
 one key (64 bits of hash over K words) are told apart by 40 bits more, over all their words.
 
 Null or empty texts and texts under PASSAGE words hold no passage. Rows with one id are one document: a row that
@@ -36,9 +38,11 @@ PASSAGE = K + WINDOW - 1
 HELD = 50_000
 #: Bytes of a passage's hash.
 SIZE = 5
+#: Most repeated passages of open keys in a broadcast (32 bytes each).
+FEW = 200_000
 _SUFFIX = "key long, doc_id long, start long, passages binary"
-_MATCH = "doc_id long, start_word long, end_word long, is_repeat boolean, other_doc_id long, passage long"
-_MATCH_ARROW = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("is_repeat", pa.bool_()), ("other_doc_id", pa.int64()), ("passage", pa.int64())])
+_MATCH = "doc_id long, start_word long, end_word long, is_repeat boolean, other_doc_id long, key long, passages binary"
+_MATCH_ARROW = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64()), ("is_repeat", pa.bool_()), ("other_doc_id", pa.int64()), ("key", pa.int64()), ("passages", pa.binary())])
 #: Stands for a null id, which is one document's too.
 _NULL_ID = -(1 << 63)
 
@@ -98,10 +102,22 @@ class _Passages:
 
 
 def _open(suffixes: pa.RecordBatch) -> pa.RecordBatch:
-    """The passages, to be grouped elsewhere."""
-    p = _Passages(suffixes)
-    none = [pa.nulls(len(p.doc), t) for t in (pa.bool_(), pa.int64())]
-    return pa.record_batch([pa.array(p.doc), pa.array(p.start), pa.array(p.start + PASSAGE), *none, pa.array(p.hash.view(np.int64))], schema=_MATCH_ARROW)
+    """The suffixes as they are, to be looked at when the first places of their passages are known."""
+    key, doc, start, passages = suffixes.columns
+    none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+    return pa.record_batch([doc, start, *none, key, passages], schema=_MATCH_ARROW)
+
+
+def _spans(p: _Passages, state: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    """Rows for passages next to each other in one state (0: stands alone, 1: first place, 2: repeat)."""
+    edge = np.append(True, (state[1:] != state[:-1]) | (p.suffix[1:] != p.suffix[:-1]))
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(state)) - 1
+    least = np.minimum.reduceat(other, first)
+    on = state[first] > 0
+    first, last = first[on], last[on]
+    none = [pa.nulls(len(first), t) for t in (pa.int64(), pa.binary())]
+    return pa.record_batch([pa.array(p.doc[first]), pa.array(p.start[first]), pa.array(p.start[last] + PASSAGE), pa.array(state[first] == 2), pa.array(least[on]), *none], schema=_MATCH_ARROW)
 
 
 def _closed(suffixes: pa.RecordBatch) -> pa.RecordBatch:
@@ -117,13 +133,7 @@ def _closed(suffixes: pa.RecordBatch) -> pa.RecordBatch:
     kind = np.where(new, more.astype(np.int8), np.int8(2))  # 0: stands alone, 1: first place, 2: repeat
     state, other = np.zeros(len(p.doc), np.int8), np.zeros(len(p.doc), np.int64)
     state[order], other[order] = kind, np.where(new, np.append(doc[1:], 0), lead)
-    edge = np.append(True, (state[1:] != state[:-1]) | (p.suffix[1:] != p.suffix[:-1]))
-    first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(state)) - 1
-    least = np.minimum.reduceat(other, first)
-    on = state[first] > 0
-    first, last = first[on], last[on]
-    return pa.record_batch([pa.array(p.doc[first]), pa.array(p.start[first]), pa.array(p.start[last] + PASSAGE), pa.array(state[first] == 2), pa.array(least[on]), pa.nulls(len(first), pa.int64())], schema=_MATCH_ARROW)
+    return _spans(p, state, other)
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +166,62 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _open(held)
 
 
+_PLACES = "passage long, doc_id long, start_word long"
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All passages of open suffixes."""
+    for batch in batches:
+        if batch.num_rows:
+            p = _Passages(batch)
+            yield pa.record_batch([pa.array(p.hash.view(np.int64)), pa.array(p.doc), pa.array(p.start)], names=["passage", "doc_id", "start_word"])
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first two places of every passage in a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            p = _Passages(batch)
+            order = np.lexsort((p.start, p.doc, p.hash))
+            h, doc, start = p.hash[order], p.doc[order], p.start[order]
+            new = np.append(True, h[1:] != h[:-1])
+            fresh = new | np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))
+            h, doc, start, new = h[fresh], doc[fresh], start[fresh], new[fresh]
+            early = new | np.append(True, new[:-1])
+            yield pa.record_batch([pa.array(h[early].view(np.int64)), pa.array(doc[early]), pa.array(start[early])], names=["passage", "doc_id", "start_word"])
+
+
+def _looked_up(table):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The spans of open suffixes; table: passages in order, their first document and word, and the document after it."""
+        hashes, doc, start, follower = table.value
+        for batch in batches:
+            if not batch.num_rows or not len(hashes):
+                continue
+            p = _Passages(batch)
+            at = np.minimum(np.searchsorted(hashes, p.hash), len(hashes) - 1)
+            is_first = (doc[at] == p.doc) & (start[at] == p.start)
+            state = np.where(hashes[at] != p.hash, 0, np.where(is_first, 1, 2)).astype(np.int8)
+            yield _spans(p, state, np.where(is_first, follower[at], doc[at]))
+
+    return run
+
+
+def _of_open_keys(suffixes: DataFrame) -> DataFrame:
+    """doc_id, start_word, end_word, is_repeat, other_doc_id from the suffixes of open keys."""
+    columns = ["doc_id", "start_word", "end_word", "is_repeat", "other_doc_id"]
+    heads = suffixes.mapInArrow(tidy(_heads), _PLACES).groupBy("passage").agg(F.sort_array(F.collect_set(F.struct("doc_id", "start_word"))).alias("places"))
+    first = written(heads.where(F.size("places") > 1).select("passage", F.col("places")[0].alias("first"), F.col("places")[1]["doc_id"].alias("follower")))
+    if first.count() <= FEW:
+        rows = first.select("passage", "first.doc_id", "first.start_word", "follower").toArrow()
+        passage, doc, start, follower = (rows.column(k).to_numpy() for k in range(4))
+        order = np.argsort(passage.view(U64))
+        table = suffixes.sparkSession.sparkContext.broadcast((passage.view(U64)[order], doc[order], start[order], follower[order]))
+        return suffixes.mapInArrow(tidy(_looked_up(table)), _MATCH).select(columns)
+    placed = suffixes.mapInArrow(tidy(_exploded), _PLACES).join(first, "passage").withColumn("is_repeat", F.col("first") != F.struct("doc_id", "start_word"))
+    return placed.select("doc_id", "start_word", (F.col("start_word") + PASSAGE).alias("end_word"), "is_repeat", F.when(F.col("is_repeat"), F.col("first.doc_id")).otherwise(F.col("follower")).alias("other_doc_id"))
+
+
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, is_repeat, other_doc_id: the passages that stand elsewhere too.
 
@@ -167,14 +233,9 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     order = ["key", "doc_id", "start"]
     suffixes = rows.mapInArrow(tidy(_suffixes), _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
     found = written(suffixes.mapInArrow(tidy(_matches), _MATCH))
-    spans = found.where(F.col("passage").isNull()).drop("passage")
-    opened = found.where(F.col("passage").isNotNull()).select("passage", "doc_id", "start_word", "end_word").distinct()
-    first = opened.groupBy("passage").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    placed = opened.join(first, "passage").withColumn("is_repeat", F.col("first") != F.struct("doc_id", "start_word"))
-    later = placed.where("is_repeat").groupBy("passage").agg(F.min("doc_id").alias("other_doc_id"))
-    repeats = placed.where("is_repeat").select("doc_id", "start_word", "end_word", "is_repeat", F.col("first.doc_id").alias("other_doc_id"))
-    firsts = first.join(later, "passage").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start_word").alias("start_word"), (F.col("first.start_word") + PASSAGE).alias("end_word"), F.lit(False).alias("is_repeat"), "other_doc_id")
-    spans = spans.unionByName(repeats).unionByName(firsts)
+    spans = found.where(F.col("key").isNull()).drop("key", "passages")
+    opened = found.where(F.col("key").isNotNull()).select("key", "doc_id", F.col("start_word").alias("start"), "passages")
+    spans = spans.unionByName(_of_open_keys(opened))
     order_in = Window.partitionBy("doc_id", "is_repeat").orderBy("start_word", "end_word")
     before = F.max("end_word").over(order_in.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("__new", F.when(F.coalesce(before < F.col("start_word"), F.lit(True)), 1).otherwise(0))

@@ -351,3 +351,20 @@ def test_shards_give_the_best_of_all(monkeypatch):
         expected = sorted((-s, int(i)) for s, i in zip(score, ids) if s > 0)[:7]
         got = shard.best(asked, idf, 7)
         assert [i for _, i in got] == [i for _, i in expected] and np.allclose([s for s, _ in got], [s for s, _ in expected])
+
+
+def test_held_suffixes_beyond_the_bound_are_left_open(monkeypatch):
+    """All suffixes come out, closed or open, whatever the batches; a key that is open in part is open as a whole."""
+    from tessera.llm import repeats
+
+    monkeypatch.setattr(repeats, "HELD", 3)
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.choice([1, 2, 3, 4, 5, 6], 60, p=[0.1, 0.5, 0.1, 0.1, 0.1, 0.1]))
+    doc = np.concatenate([np.arange((key == k).sum()) for k in range(1, 7)])
+    rows = pa.record_batch([pa.array(key), pa.array(doc), pa.array(np.zeros(60, np.int64)), pa.array([b"abcde"] * 60, pa.binary())], names=["key", "doc_id", "start", "passages"])
+    for size in (1, 4, 60):
+        out = pa.Table.from_batches(list(repeats._matches(iter([rows.slice(a, size) for a in range(0, 60, size)])))).to_pydict()
+        found = collections.Counter(k for k in out["key"] if k is not None)
+        closed = sum(k is None for k in out["key"])
+        assert all(n == (key == k).sum() for k, n in found.items()) and {1, 6} <= set(found)
+        assert closed == sum((key == k).sum() for k in range(1, 7) if k not in found and (key == k).sum() > 1)
