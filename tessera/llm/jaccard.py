@@ -47,9 +47,9 @@ HELD = 1_000_000
 #: Sets of a tree, or of a group of many trees, that walk past all others before the rest.
 HUBS = 4
 #: Most sets of a block, and shingles in all of them (unless one set has more).
-BLOCK, SHINGLES = 4096, 2_000_000
+BLOCK, SHINGLES = 1024, 2_000_000
 #: Most blocks of a group that are met pair by pair, each set going to as many tasks.
-PAIRED = 4
+PAIRED = 6
 #: Bytes of text that are split into words together (some 60 bytes each while they are).
 TOGETHER = 1 << 19
 _TOP = U64(1 << 63)
