@@ -360,10 +360,16 @@ def tree_components(sets: list[np.ndarray], walks: np.ndarray | None = None) ->
     # Sets of common shingles walk first, past all others: they gather most of a component, which later walks then leave out.
     common = np.array([count[s].mean() if len(s) else 0.0 for s in ordered])
     hubs = asked[np.argsort(-common[asked], kind="stable")[:HUBS]].tolist()
-    for k in [*hubs, *asked.tolist()]:
+    for at_most, k in enumerate([*hubs, *asked.tolist()]):
+        # Once the hubs have walked, links within the component of most sets join nothing, and others are met from their other end.
+        if walks is None and at_most >= len(hubs):
+            if at_most == len(hubs):
+                main = np.bincount(root).argmax()
+            if root[k] == root[main]:
+                continue
         same = root == root[k]
         own[ordered[k]] = 1
-        met = tree.walk(own, len(ordered[k]), int(size[k]), np.concatenate([[0], np.cumsum(same)]), k if walks is None and k not in hubs else len(order))
+        met = tree.walk(own, len(ordered[k]), int(size[k]), np.concatenate([[0], np.cumsum(same)]), len(order))
         own[ordered[k]] = 0
         met = met[~same[met]]
         if len(met):
