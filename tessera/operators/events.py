@@ -115,10 +115,26 @@ def child_counts(parents: DataFrame, children: DataFrame, on: str) -> DataFrame:
 
 
 def cooled_down(events: DataFrame, seconds: float, key: str = "license_plate") -> DataFrame:
-    """Events of a key at least so many seconds after its one before."""
-    order = Window.partitionBy(key).orderBy("ts", "id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))
-    return events.withColumn("__gap", gap).where(F.col("__gap").isNull() | (F.col("__gap") >= int(seconds * 1e6))).drop("__gap")
+    """Events of a key, in the order of ts and id, at least so many seconds after the last one that was told.
+
+    Rows are streamed in order with one time for the key at hand, so a key of any size needs no memory. Rows without a
+    key or a time are one key, and are told last of all.
+    """
+    wait, columns = int(seconds * 1e6), list(events.columns)
+
+    def told(batches):  # noqa: ANN001, ANN202
+        now, last, first = None, 0, True
+        for batch in batches:
+            on = []
+            for k, at in zip(batch["__key"], batch["__at"]):
+                go = first or k != now or at - last >= wait
+                now, first = k, False
+                last = at if go else last
+                on.append(go)
+            yield batch.loc[on, columns]
+
+    marked = events.withColumns({"__key": F.coalesce(F.col(key).cast("string"), F.lit("")), "__at": F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit((1 << 62)))})
+    return marked.repartition("__key").sortWithinPartitions("__key", "__at", "id").mapInPandas(told, events.schema)
 
 
 def alias_union(first: DataFrame, later: DataFrame, key: str) -> DataFrame:

@@ -161,9 +161,9 @@ def plate_status_resolve(spark: SparkSession, d: str) -> DataFrame:
     return events.resolve_status(reads, view(spark, d, "vehicles")).select("id", "resolved")
 
 
-@query(ctes("gate_events", "vehicles") + """ SELECT license_plate, min_by(id, (epoch_us(ts), id)) AS id FROM gate_events WHERE license_plate NOT IN (SELECT plate_number FROM vehicles WHERE id < 100) GROUP BY license_plate""")
+@query(ctes("gate_events", "vehicles") + """ SELECT license_plate, min_by(id, (epoch_us(ts), id)) AS id FROM gate_events WHERE license_plate NOT IN (SELECT plate_number FROM vehicles) GROUP BY license_plate""")
 def unregistered_plates(spark: SparkSession, d: str) -> DataFrame:
-    return events.unregistered(view(spark, d, "gate_events"), view(spark, d, "vehicles").where("id < 100")).select("license_plate", "id")
+    return events.unregistered(view(spark, d, "gate_events"), view(spark, d, "vehicles")).select("license_plate", "id")
 
 
 @query(ctes("gate_events") + " SELECT license_plate, min_by(id, (epoch_us(ts), id)) AS id FROM gate_events GROUP BY license_plate")
@@ -224,7 +224,11 @@ def vehicle_list_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "plate_number", "visits", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
-@query(ctes("gate_events") + """ SELECT id FROM (SELECT id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY license_plate ORDER BY ts, id)) AS gap FROM gate_events) WHERE gap IS NULL OR gap >= 20000000""")
+@query(ctes("gate_events").replace("WITH", "WITH RECURSIVE", 1) + """, told AS (
+SELECT license_plate, min(ts) AS ts FROM gate_events GROUP BY license_plate
+UNION ALL
+SELECT e.license_plate, min(e.ts) FROM told t JOIN gate_events e ON e.license_plate = t.license_plate AND e.ts >= t.ts + INTERVAL 20 SECOND GROUP BY e.license_plate)
+SELECT min(e.id) AS id FROM told t JOIN gate_events e ON e.license_plate = t.license_plate AND e.ts = t.ts GROUP BY t.license_plate, t.ts""")
 def cooldown_events(spark: SparkSession, d: str) -> DataFrame:
     return events.cooled_down(view(spark, d, "gate_events"), 20).select("id")
 
@@ -440,21 +444,20 @@ def zone_machine_transitions(spark: SparkSession, d: str) -> DataFrame:
     return zone_transitions(frame_hits(_frames(spark, d), view(spark, d, "zones")))
 
 
-def _per_group(df: DataFrame, key: str, order: str, schema: str, step) -> DataFrame:  # noqa: ANN001
-    """step on the rows of each key in order, streamed: a task holds one key's rows (a frame's or a track's) at a time."""
+def _per_group(df: DataFrame, key: str, order: list[str], schema: str, step) -> DataFrame:  # noqa: ANN001
+    """Rows (dicts) of step on the rows of each key in order: both are streamed, a task holds what step holds."""
     from collections.abc import Iterator
-    from itertools import groupby
+    from itertools import batched, groupby
 
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (r for b in batches for r in b.itertuples(index=False))
-        for value, own in groupby(rows, key=lambda r: getattr(r, key)):
-            out = step(value, list(own))
-            if out:
-                yield pd.DataFrame(out)
+        made = (x for value, own in groupby(rows, key=lambda r: getattr(r, key)) for x in step(value, own))
+        for some in batched(made, 10_000):
+            yield pd.DataFrame(list(some))
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def _pixels(r) -> list[int]:  # noqa: ANN001
@@ -467,7 +470,7 @@ def frame_nms(spark: SparkSession, d: str) -> DataFrame:
 
     step = lambda f, rows: [{"frame_no": f, "id": k["id"]} for k in suppress([{"id": r.id, "class": r.cls, "confidence": r.confidence, "bbox": _pixels(r)} for r in rows])]
     found = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(found, "frame_no", "id", "frame_no long, id long", step)
+    return _per_group(found, "frame_no", ["id"], "frame_no long, id long", step)
 
 
 @query()
@@ -479,34 +482,34 @@ def assembled_trucks(spark: SparkSession, d: str) -> DataFrame:
         return [dict(zip(("frame_no", "track_id", "x1", "y1", "x2", "y2"), (frame, b["trackId"], *b["bbox"]))) for b in made if b.get("source") == "assembled"]
 
     found = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(found, "frame_no", "id", "frame_no long, track_id long, x1 long, y1 long, x2 long, y2 long", step)
+    return _per_group(found, "frame_no", ["id"], "frame_no long, track_id long, x1 long, y1 long, x2 long, y2 long", step)
 
 
 @query()
 def track_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     from tessera.streaming.frames import hysteresis
 
-    step = lambda t, rows: [{"track_id": t, "frame_no": f, "confidence": c} for f, c in hysteresis([(r.frame_no, r.confidence) for r in rows])]
-    return _per_group(view(spark, d, "detections"), "track_id", "frame_no", "track_id long, frame_no long, confidence double", step)
+    step = lambda t, rows: ({"track_id": t, "frame_no": f, "confidence": c} for f, c in hysteresis((r.frame_no, r.confidence) for r in rows))
+    return _per_group(view(spark, d, "detections"), "track_id", ["frame_no", "id"], "track_id long, frame_no long, confidence double", step)
 
 
 @query()
 def stable_track_classes(spark: SparkSession, d: str) -> DataFrame:
     from tessera.streaming.frames import stable_classes
 
-    step = lambda t, rows: [{"track_id": t, "frame_no": f, "class": c} for f, c in stable_classes([(r.frame_no, r.cls, r.confidence) for r in rows])]
+    step = lambda t, rows: ({"track_id": t, "frame_no": f, "class": c} for f, c in stable_classes((r.frame_no, r.cls, r.confidence) for r in rows))
     found = view(spark, d, "detections").withColumnRenamed("class", "cls")
-    return _per_group(found, "track_id", "frame_no", "track_id long, frame_no long, class string", step)
+    return _per_group(found, "track_id", ["frame_no", "id"], "track_id long, frame_no long, class string", step)
 
 
 @query()
 def gate_emitted_events(spark: SparkSession, d: str) -> DataFrame:
     from tessera.streaming.frames import gate_events
 
-    at = view(spark, d, "gate_events").select("id", (F.unix_micros("ts") / 1e6).alias("at"))
+    at = view(spark, d, "gate_events").select("id", "camera_id", (F.unix_micros("ts") / 1e6).alias("at"))
     reads = view(spark, d, "ocr_reads").withColumn("plate", plates.plate_format(F.col("text"))).join(at, "id").where("plate IS NOT NULL")
-    step = lambda t, rows: [{"track_id": t, "at": a, "plate": p, "confidence": c} for a, p, c in gate_events([(r.at, r.plate, r.conf) for r in rows])]
-    return _per_group(reads, "track_id", "at", "track_id long, at double, plate string, confidence double", step)
+    step = lambda _, rows: ({"track_id": t, "at": a, "plate": p, "confidence": c} for a, t, p, c in gate_events((r.at, r.track_id, r.plate, r.conf) for r in rows))
+    return _per_group(reads, "camera_id", ["at", "id"], "track_id long, at double, plate string, confidence double", step)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

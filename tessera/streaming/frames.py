@@ -5,6 +5,10 @@ A detection is a dict with class, confidence, bbox [x1, y1, x2, y2] in pixels, a
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+
 from tessera.config import DEFAULT, Thresholds
 
 # Classes that count as vehicles, and how specific a class name is.
@@ -43,42 +47,51 @@ def suppress(detections: list[dict], limits: Thresholds = DEFAULT) -> list[dict]
     return kept
 
 
-def _joined(a: dict, b: dict, limits: Thresholds) -> dict | None:
-    """The truck that two boxes make, or None."""
-    parts = {"truck", "car", "container"}
-    if not {a["class"].lower(), b["class"].lower()} <= parts or "custom" in (a.get("source"), b.get("source")):
-        return None
-    p, q = a["bbox"], b["bbox"]
-    side = lambda lo, hi: (max(p[lo], q[lo]) - min(p[hi], q[hi]), max(1, min(p[hi] - p[lo], q[hi] - q[lo])))
-    (gap_x, width), (gap_y, height) = side(0, 2), side(1, 3)
-    touch = gap_x <= limits.assemble_gap and max(0, -gap_y) / height >= limits.assemble_side
-    touch = touch or gap_y <= limits.assemble_gap and max(0, -gap_x) / width >= limits.assemble_side
-    if not (touch or max(overlaps(p, q)) > limits.assemble_overlap):
-        return None
-    box = [min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])]
-    w, h = max(1, box[2] - box[0]), max(1, box[3] - box[1])
-    if max(w / h, h / w) > limits.assemble_aspect:
-        return None
-    track = a.get("trackId") if a["class"].lower() == "truck" else b.get("trackId") or a.get("trackId")
-    return {"class": "truck", "confidence": round(max(a["confidence"], b["confidence"]), 3), "bbox": box, "source": "assembled", "trackId": track}
+# Classes that a truck is assembled from.
+PARTS = {"truck", "car", "container"}
+
+
+def _joinable(box: np.ndarray, part: np.ndarray, limits: Thresholds) -> np.ndarray:
+    """For all boxes (rows of x1, y1, x2, y2) at once: which pairs i < j of parts make one truck."""
+    low, high = box[:, :2], box[:, 2:]
+    size = np.maximum(high - low, 1)
+    common = np.minimum(high[:, None], high) - np.maximum(low[:, None], low)  # in x and y; below 0: a gap
+    beside = np.maximum(common, 0) / np.minimum(size[:, None], size) >= limits.assemble_side
+    near = -common <= limits.assemble_gap
+    touch = (near & beside[..., ::-1]).any(2)
+    shared = np.maximum(common, 0).prod(2).astype(float)
+    area = np.maximum(high - low, 0).prod(1).astype(float)
+    least, union = np.maximum(np.minimum(area[:, None], area), 1), np.maximum(area[:, None] + area - shared, 1)
+    touch |= np.maximum(shared / least, shared / union) > limits.assemble_overlap
+    whole = np.maximum(np.maximum(high[:, None], high) - np.minimum(low[:, None], low), 1)
+    flat = whole.max(2) / whole.min(2) <= limits.assemble_aspect
+    return np.triu(touch & flat & part[:, None] & part, 1)
 
 
 def assemble(detections: list[dict], limits: Thresholds = DEFAULT) -> list[dict]:
-    """Merge the first joinable pair again and again, as long as there is one (`assemble_rounds` at most)."""
+    """Trucks from parts: as long as there is one, the first pair of parts that belong together is made one box, which comes last."""
     boxes = list(detections)
     for _ in range(limits.assemble_rounds):
-        pairs = ((i, j) for i in range(len(boxes)) for j in range(i + 1, len(boxes)))
-        found = next(((i, j, m) for i, j in pairs if (m := _joined(boxes[i], boxes[j], limits))), None)
-        if found is None:
+        if len(boxes) < 2:
+            break
+        names = [d["class"].lower() for d in boxes]
+        part = np.array([n in PARTS and d.get("source") != "custom" for n, d in zip(names, boxes)])
+        corners = np.array([d["bbox"] for d in boxes])
+        pairs = np.argwhere(_joinable(corners, part, limits))
+        if not len(pairs):
             break
-        i, j, merged = found
-        boxes = [b for k, b in enumerate(boxes) if k not in (i, j)] + [merged]
+        two = pairs[0].tolist()
+        # The truck's track goes on; of two other parts the later one's, if it has one.
+        owner = two[0] if names[two[0]] == "truck" or boxes[two[1]].get("trackId") is None else two[1]
+        edge = [*corners[two, :2].min(0).tolist(), *corners[two, 2:].max(0).tolist()]
+        made = {"class": "truck", "confidence": round(max(boxes[k]["confidence"] for k in two), 3), "bbox": edge, "source": "assembled", "trackId": boxes[owner].get("trackId")}
+        boxes = [d for k, d in enumerate(boxes) if k not in two] + [made]
     return boxes
 
 
-def hysteresis(track: list[tuple[int, float]], limits: Thresholds = DEFAULT) -> list[tuple[int, float]]:
+def hysteresis(track: Iterable[tuple[int, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[int, float]]:
     """(frame, confidence) of one track -> the frames shown, with smoothed confidence."""
-    out, level, last = [], None, 0
+    level, last = None, 0
     for frame, confidence in track:
         if level is not None and frame - 1 - last > limits.forget_frames:
             level = None
@@ -86,38 +99,46 @@ def hysteresis(track: list[tuple[int, float]], limits: Thresholds = DEFAULT) ->
             continue
         level = confidence if level is None else limits.confidence_alpha * confidence + (1 - limits.confidence_alpha) * level
         last = frame
-        out.append((frame, round(level, 3)))
-    return out
+        yield frame, round(level, 3)
 
 
-def stable_classes(track: list[tuple[int, str, float]], limits: Thresholds = DEFAULT) -> list[tuple[int, str]]:
+def stable_classes(track: Iterable[tuple[int, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[int, str]]:
     """(frame, class, confidence) of one track -> the class with most decayed votes at each frame."""
     votes: dict[str, float] = {}
-    out = []
     for frame, name, confidence in track:
         votes = {k: v * limits.class_decay for k, v in votes.items() if v * limits.class_decay >= limits.class_floor}
         votes[name] = votes.get(name, 0.0) + confidence
-        out.append((frame, max(votes, key=lambda k: votes[k])))
-    return out
-
-
-def gate_events(reads: list[tuple[float, str, float]], limits: Thresholds = DEFAULT) -> list[tuple[float, str, float]]:
-    """(seconds, plate, confidence) read from one vehicle track -> events: the plate that leads the vote once it has six
-    characters, once for each stay of the track."""
-    out: list[tuple[float, str, float]] = []
-    votes: dict[str, tuple[int, float]] = {}
-    last, told = None, False
-    for at, plate, confidence in reads:
-        if last is not None and at - last > limits.track_expiry_seconds:
-            votes, told = {}, False
-        last = at
-        size = len(plate.translate(str.maketrans("", "", " -.")))
-        if size >= 6:
+        yield frame, max(votes, key=lambda k: votes[k])
+
+
+def _bare(plate: str) -> int:
+    return len(plate.translate(str.maketrans("", "", " -.")))
+
+
+def gate_events(reads: Iterable[tuple[float, int, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[float, int, str, float]]:
+    """(seconds, track, plate, confidence) read at one camera in the order of time -> events.
+
+    An event is the plate that leads a track's vote once it has six characters: once for each stay of the track, and
+    not within the cooldown after the last event of that plate by any track; a plate held back is told as soon as that
+    has passed, if its track still stays. Only tracks of the last moments and plates in their cooldown are kept.
+    """
+    tracks: dict[int, list] = {}  # last read, votes, told
+    told: dict[str, float] = {}
+    swept = None
+    for at, track, plate, confidence in reads:
+        if swept is None or at - swept > limits.plate_cooldown_seconds:
+            tracks = {k: v for k, v in tracks.items() if at - v[0] <= limits.track_expiry_seconds}
+            told = {k: v for k, v in told.items() if at - v < limits.plate_cooldown_seconds}
+            swept = at
+        own = tracks.get(track)
+        if own is None or at - own[0] > limits.track_expiry_seconds:
+            own = tracks[track] = [at, {}, False]
+        own[0], votes = at, own[1]
+        if _bare(plate) >= 6:
             n, best = votes.get(plate, (0, 0.0))
             votes[plate] = (n + 1, max(best, confidence))
-        if votes and not told:
-            score = lambda p: (8.0 if 7 <= len(p.translate(str.maketrans("", "", " -."))) <= 9 else 4.0) + 2.5 * votes[p][1] + 0.4 * min(5, votes[p][0])
-            lead = max(votes, key=score)
-            out.append((at, lead, votes[lead][1]))
-            told = True
-    return out
+        if votes and not own[2]:
+            lead = max(votes, key=lambda p: (8.0 if 7 <= _bare(p) <= 9 else 4.0) + 2.5 * votes[p][1] + 0.4 * min(5, votes[p][0]))
+            if lead not in told or at - told[lead] >= limits.plate_cooldown_seconds:
+                own[2], told[lead] = True, at
+                yield at, track, lead, votes[lead][1]

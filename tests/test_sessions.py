@@ -51,9 +51,9 @@ def test_jitter_on_the_border():
 
 
 def test_hysteresis():
-    assert frames.hysteresis([(1, 0.20), (2, 0.45), (3, 0.16)]) == [(2, 0.45), (3, 0.334)]
-    assert frames.hysteresis([(1, 0.16)]) == []
-    assert frames.hysteresis([(1, 0.5), (70, 0.2)]) == [(1, 0.5)]
+    assert list(frames.hysteresis([(1, 0.20), (2, 0.45), (3, 0.16)])) == [(2, 0.45), (3, 0.334)]
+    assert list(frames.hysteresis([(1, 0.16)])) == []
+    assert list(frames.hysteresis([(1, 0.5), (70, 0.2)])) == [(1, 0.5)]
 
 
 def test_assembly():
@@ -69,9 +69,24 @@ def test_suppression_prefers_the_better_source():
     assert frames.suppress([truck, custom]) == [custom]
 
 
-def test_gate_events_once_a_stay():
-    reads = [(0.0, "15R-158.45", 0.9), (0.5, "15R-158.45", 0.8), (3.0, "15R-158.45", 0.7)]
-    assert [(a, p) for a, p, _ in frames.gate_events(reads)] == [(0.0, "15R-158.45"), (3.0, "15R-158.45")]
+def test_gate_events_once_a_stay_and_cooldown():
+    one = lambda *times: [(at, 1, "15R-158.45", 0.9) for at in times]
+    told = lambda reads: [(a, t, p) for a, t, p, _ in frames.gate_events(reads)]
+    assert told(one(0.0, 0.5, 3.0)) == [(0.0, 1, "15R-158.45")]
+    assert told(one(0.0, 3.0, 20.0)) == [(0.0, 1, "15R-158.45"), (20.0, 1, "15R-158.45")]
+    # Another track of the same plate waits for the cooldown, and tells when it has passed.
+    second = [(at, 2, "15R-158.45", 0.8) for at in (19.0, 19.9, 20.1, 21.0)]
+    assert told(one(0.0) + second) == [(0.0, 1, "15R-158.45"), (20.1, 2, "15R-158.45")]
+    assert told([(0.0, 1, "15R", 0.9)]) == []
+
+
+def test_cooldown_counts_from_the_last_told_event(spark):
+    from tessera.operators.events import cooled_down
+
+    base = datetime.datetime(2024, 1, 1)
+    rows = [(k, "A", base + datetime.timedelta(seconds=15 * k)) for k in range(9)] + [(100, "B", base), (101, "B", base), (102, None, None)]
+    df = spark.createDataFrame(rows, "id long, license_plate string, ts timestamp").repartition(3)
+    assert sorted(r.id for r in cooled_down(df, 20).collect()) == [0, 2, 4, 6, 8, 100, 102]
 
 
 def test_batch_and_stream_agree(spark, tmp_path):
