@@ -127,6 +127,47 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.n = 1
 """
 
+OP9_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, unnest(range(0, len(w) - 49)) AS start_word, w FROM words WHERE len(w) >= 50),
+passages AS (
+  SELECT doc_id, start_word, array_to_string(list_slice(w, start_word + 1, start_word + 50), ' ') AS passage FROM places),
+ranked AS (
+  SELECT doc_id, start_word, count(*) OVER p AS n, row_number() OVER o AS k, first_value(doc_id) OVER o AS lead, lead(doc_id) OVER o AS follower
+  FROM passages WINDOW p AS (PARTITION BY passage), o AS (PARTITION BY passage ORDER BY doc_id, start_word)),
+found AS (
+  SELECT doc_id, start_word, k > 1 AS is_repeat, CASE WHEN k > 1 THEN lead ELSE follower END AS other_doc_id FROM ranked WHERE n > 1),
+marked AS (
+  SELECT *, CASE WHEN start_word <= lag(start_word) OVER (PARTITION BY doc_id, is_repeat ORDER BY start_word) + 50 THEN 0 ELSE 1 END AS opens FROM found),
+islands AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id, is_repeat ORDER BY start_word) AS island FROM marked)
+SELECT doc_id, min(start_word) AS start_word, max(start_word) + 50 AS end_word, max(start_word) + 50 - min(start_word) AS n_words,
+  is_repeat, min(other_doc_id) AS other_doc_id
+FROM islands GROUP BY doc_id, is_repeat, island
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(0, len(w) - 4), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS gram FROM words),
+sizes AS (SELECT d.doc_id, count(g.gram) AS n FROM documents d LEFT JOIN grams g USING (doc_id) GROUP BY d.doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION
+  SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id WHERE reach.root < links.b)
+SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id
+FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
 QUERIES = {
     "op1_context_range_coder": op1_context_range_coder,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -139,4 +180,4 @@ QUERIES = {
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
     "op10_prefix_tree_join": op10_prefix_tree_join,
 }
-ORACLES = {"op3_block_max_wand": OP3_SQL, "op7_url_rules": OP7_SQL}
+ORACLES = {"op3_block_max_wand": OP3_SQL, "op7_url_rules": OP7_SQL, "op9_sparse_suffix_arrays": OP9_SQL, "op10_prefix_tree_join": OP10_SQL}

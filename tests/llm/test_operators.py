@@ -345,7 +345,7 @@ def test_url_filter(spark):
     assert got == [(1, "example.com/en/7", "allow", "k"), (2, "com/en/", "block", "k"), (3, None, "allow", "k"), (4, None, "allow", "k"), (4, None, "allow", "k"), (5, "net/de/", "allow", "k"), (6, "example.net/de/8", "block", "k")]
 
 
-@pytest.mark.parametrize("name", ["op3_block_max_wand", "op7_url_rules"])
+@pytest.mark.parametrize("name", ["op3_block_max_wand", "op7_url_rules", "op9_sparse_suffix_arrays", "op10_prefix_tree_join"])
 def test_sql(spark, duck, name):
     from tessera.llm.queries import ORACLES, QUERIES
 
