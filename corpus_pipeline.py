@@ -18,18 +18,13 @@ from tessera.llm.queries import vocabulary
 from tessera.llm.repeats import cut_repeats, repeated_passages
 
 
-#: Bytes of an Arrow batch from the second stage on: texts lie in the memory of an executor and of its Python workers at once.
-ARROW_BYTES = str(8 << 20)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their group's robust estimate reject go."""
     return judge(docs).where("kept").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays, once; rows without a doc_id stay."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    """Of each group of linked documents the one with the least doc_id stays, once: rows of one doc_id (or none) and one text are one."""
     more = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
     return docs.join(more, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
