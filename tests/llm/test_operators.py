@@ -188,6 +188,67 @@ def test_licenses(docs, none):
     assert [r.labels for r in scan_licenses(near).collect()] == ["mit", "mit"]
 
 
+LGPL = "This file is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."
+GPL = LGPL.replace("Lesser ", "")
+
+
+def brute_licenses(text, templates, least=0.6, k=3, near=4):
+    """Contract columns and labels by plain loops over words."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    own, base = words(text), []
+    for phrase, label in {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}.items():
+        p = phrase.split()
+        base += [(i, label) for i in range(len(own)) if own[i : i + len(p)] == p]
+    spans = []
+    for label, t in templates:
+        t = words(t)
+        runs = range(len(t) - k + 1)
+        votes = [(i - j, i, j) for i in range(len(own) - k + 1) for j in runs if own[i : i + k] == t[j : j + k]]
+        group, last, end = [], None, None
+        for d in sorted({v[0] for v in votes}):
+            at = [v for v in votes if v[0] == d]
+            if last is None or d - last > near or at[0][1] > end + k + near:
+                group.append([])
+            last, end = d, max(end or 0, at[-1][1])
+            group[-1] += at
+        for g in group:
+            held = len({v[2] for v in g})
+            if held >= least * len(runs):
+                spans.append((-held / len(runs), -held, label, {v[1] for v in g}))
+    labels = set()
+    for s in spans:
+        won = sum(min(o for o in spans if i in o[3])[2] == s[2] for i in s[3])
+        if 2 * won >= len(s[3]):
+            labels.add((s[2], -s[0]))
+    at, held = [i for i, _ in base], {x for _, x in base}
+    return (len(own), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(held)), ",".join(sorted(held | {x for x, _ in labels})), max((x for _, x in labels), default=0.0))
+
+
+def test_licenses_against_brute_force(docs):
+    from tessera.llm.licenses import TEMPLATES, scan_licenses
+
+    spark, rng = docs.sparkSession, random.Random(5)
+    texts = [LGPL, GPL, GPL + " -- " + LGPL, LGPL.upper(), "cc by cc by CC-BY\nMIT license apache, license", *TEXTS[:13], *TEXTS[15:]]
+    for _ in range(60):
+        parts = []
+        for _, t in rng.choices(TEMPLATES, k=rng.randrange(1, 4)):
+            w = t.split()
+            w = [x for x in w if rng.random() > 0.04] if rng.random() < 0.6 else w[: rng.randrange(len(w)) + 1]
+            parts += [*w, *rng.choices(["of", "the", "license", "cc", "by", "MIT", "é", "n0"], k=rng.randrange(9))]
+        texts.append(rng.choice([" ", "\n", " * "]).join(parts))
+    rows = [(k, t, "a", "b", "c", [1.5]) for k, t in enumerate(texts)] + [(0, texts[0], None, None, None, None), (None, texts[1], "a", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, labels string, words string, `__w` string, grams array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in scan_licenses(df).collect():
+        got[r.doc_id].append((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)))
+    for k, t in enumerate(texts):
+        *base, score = brute_licenses(t, TEMPLATES)
+        assert got[k] == [(*base, round(score, 9))] * (2 if k == 0 else 1), t
+    assert got[None] == got[1]
+    assert [got[k][0][5] for k in range(4)] == ["lgpl", "gpl", "gpl,lgpl", "lgpl"]
+
+
 def brute_repeats(texts):
     """(doc, is_repeat): {word place: the least other document}, from all 50-word windows."""
     word, places = re.compile(r"[^\x20\x09-\x0D]+"), collections.defaultdict(list)
