@@ -86,7 +86,8 @@ def written(df: DataFrame) -> DataFrame:
 def split_join(many: DataFrame, few: DataFrame, key: str, parts: int = 16) -> DataFrame:
     """A left join on key, once in `few`, that deals the rows of one key in `many` to `parts` tasks."""
     dealt = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    own = F.pmod(F.xxhash64(*many.columns), F.lit(parts)).cast("int")
+    hashed = [f.name for f in many.schema if "map<" not in f.dataType.simpleString()]
+    own = F.pmod(F.xxhash64(*hashed), F.lit(parts)).cast("int")
     return many.withColumn("__part", own).join(dealt, [key, "__part"], "left").drop("__part")
 
 

@@ -4,20 +4,27 @@ A rule is (verdict, host, path). It fits its host and every subdomain, where the
 rule's path as a string; the longest fitting rule (host characters plus path characters) wins, and of rules of
 one length an allow rule. No rule: `default`.
 
-The trie is built once from the rule table and broadcast; `build` refuses more than `MAX_RULES` rules, which
-bounds the broadcast. Urls are judged where they lie: no shuffle. Null urls and urls without `://` have an empty
-host and path, match no rule and get the default; repeated rows are judged alike; other columns pass through.
+The trie is built once from the rule table and broadcast if that has at most `MAX_RULES` rules, counted before. Urls
+are then judged where they lie: no shuffle. More rules are joined, with the same result: each distinct url looks up its
+host suffixes and path beginnings among the rules, and the answers go back to the rows; both joins deal the rows of one
+key to several tasks.
+
+Null urls and urls without `://` have an empty host and path, match no rule that names a host or path, and get the
+default; rules with a null host or path count as empty there, a null verdict is no rule. Repeated rows are judged alike.
+Other columns pass through, but for those of the four names made here (`prefix` avoids that). An empty table gives no
+rows, and an empty rule table the default for all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import split_join
+
 #: Bound on the broadcast trie (a node or two per rule, some hundred bytes each).
 MAX_RULES = 200_000
 
@@ -29,9 +36,7 @@ class RuleTrie:
 
     def __init__(self, rules: Iterable[Rule]):
         self.root: dict = {}
-        for n, (verdict, host, path) in enumerate(rules):
-            if n >= MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules: use a join on host instead of a broadcast trie")
+        for verdict, host, path in rules:
             node = self.root
             for label in reversed(host.split(".")) if host else ():
                 node = node.setdefault(("host", label), {})
@@ -78,12 +83,13 @@ def split_url(url: str | None) -> tuple[str, str]:
 _ASCII_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
-def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default: str = "allow", prefix: str = "") -> DataFrame:
-    """df with columns host, path, rule, verdict (each name after `prefix`, replacing columns so named)."""
-    trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules))
-    made = T.StructType([T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict")])
+_MADE = ("host", "path", "rule", "verdict")
+
+
+def _judged(trie, default: str):  # noqa: ANN001, ANN202
+    """A column function from urls to (host, path, rule, verdict) by the broadcast trie."""
 
-    @F.pandas_udf(made)
+    @F.pandas_udf(T.StructType([T.StructField(x, T.StringType()) for x in _MADE]))
     def judged(urls):  # noqa: ANN001, ANN202
         import pandas as pd
 
@@ -92,13 +98,56 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule], url: str = "url", default:
             host, path = split_url(u)
             hit = find(host, path)
             rows.append((host, path, hit[1] if hit else None, hit[0] if hit else default))
-        return pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], dtype=object)
-
-    made_name = "__judged"
-    out = df.withColumn(made_name, judged(F.col(url).cast("string")))
-    return out.withColumns({prefix + x: F.col(f"{made_name}.{x}") for x in ("host", "path", "rule", "verdict")}).drop(made_name)
-
-
-def rules_from_table(batches: Iterator[pa.RecordBatch]) -> list[Rule]:
-    """Rules from Arrow batches with columns verdict, host, path."""
-    return [(r["verdict"], r["host"], r["path"]) for b in batches for r in b.to_pylist()]
+        return pd.DataFrame(rows, columns=list(_MADE), dtype=object)
+
+    return judged
+
+
+def _suffixes(host: Column) -> Column:
+    """The host's last labels, from none to all."""
+    labels = F.split(host, r"\.")
+    own = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    return F.array_distinct(F.concat(F.array(F.lit("")), own))
+
+
+def _beginnings(path: Column) -> Column:
+    """The path's first segments, from none to all but the last."""
+    segments = F.split(path, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda k: F.array_join(F.slice(segments, 1, k), "/")))
+
+
+def best_rules(urls: DataFrame, rules: DataFrame, parts: int = 16) -> DataFrame:
+    """host, path, rule, verdict for each distinct (host, path) of urls that a rule fits, by joins."""
+    head = F.when(F.col("rule_path").contains("/"), F.regexp_replace("rule_path", r"(?s)/[^/]*\z", "")).otherwise("")
+    held = rules.select("verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).withColumn("head", head)
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    each = urls.select("host", "path").distinct().withColumn("part", F.pmod(F.xxhash64("host", "path"), F.lit(parts)).cast("int"))
+    asked = each.withColumn("rule_host", F.explode(_suffixes(F.col("host")))).withColumn("head", F.explode(_beginnings(F.col("path"))))
+    fits = asked.join(held, ["rule_host", "head", "part"]).where(F.col("path").startswith(F.col("rule_path")))
+    name = F.concat("rule_host", "rule_path")
+    rank = F.struct(F.length(name), F.col("verdict") == "allow", name)
+    return fits.groupBy("host", "path").agg(F.max_by(F.struct(name.alias("rule"), "verdict"), rank).alias("r")).select("host", "path", "r.*")
+
+
+def judge_urls(df: DataFrame, rules: Iterable[Rule] | DataFrame, url: str = "url", default: str = "allow", prefix: str = "", most: int = MAX_RULES) -> DataFrame:
+    """df with columns host, path, rule, verdict (each name after `prefix`, replacing columns so named).
+
+    rules: (verdict, host, path) as rows or as a table with these columns; over `most` of them are joined, not broadcast.
+    """
+    spark = df.sparkSession
+    if not isinstance(rules, DataFrame):
+        rules = list(rules)
+        few = rules if len(rules) <= most else None
+        rules = spark.createDataFrame(rules, "verdict string, host string, path string") if few is None else rules
+    else:
+        rules = rules.select("verdict", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("verdict IS NOT NULL")
+        few = [tuple(r) for r in rules.collect()] if rules.limit(most + 1).count() <= most else None
+    judged = _judged(spark.sparkContext.broadcast(RuleTrie(few or [])), default)
+    out = df.withColumn("__judged", judged(F.col(url).cast("string")))
+    if few is None:
+        out = out.withColumn("__key", F.struct("__judged.host", "__judged.path"))
+        found = best_rules(out.select("__key.*"), rules).select(F.struct("host", "path").alias("__key"), F.col("rule").alias("__rule"), F.col("verdict").alias("__verdict"))
+        out = split_join(out, found, "__key")
+        own = F.struct("__key.host", "__key.path", F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+        out = out.withColumn("__judged", own).drop("__key", "__rule", "__verdict")
+    return out.withColumns({prefix + x: F.col(f"__judged.{x}") for x in _MADE}).drop("__judged")

@@ -406,6 +406,32 @@ def test_url_filter(spark):
     assert got == [(1, "example.com/en/7", "allow", "k"), (2, "com/en/", "block", "k"), (3, None, "allow", "k"), (4, None, "allow", "k"), (4, None, "allow", "k"), (5, "net/de/", "allow", "k"), (6, "example.net/de/8", "block", "k")]
 
 
+def test_url_filter_by_trie_and_by_join(spark):
+    """Both ways agree with plain loops over all rules, on names that clash, repeated and null rows and empty tables."""
+    from tessera.llm.url_rules import judge_urls, split_url
+
+    rng = random.Random(8)
+    part = lambda many: "".join(rng.choice(["/", "en", "de", "7", "8", "75", ".", "\n"]) for _ in range(rng.randrange(many)))
+    host = lambda: ".".join(rng.choice(["example", "com", "net", "x", ""]) for _ in range(rng.randrange(4)))
+    rules = [(rng.choice(["allow", "block"]), host(), part(5)) for _ in range(60)]
+    rules = [*rules, ("block", "com", "/en/"), ("allow", "com", "/en/"), ("allow", "", "/7")]
+    urls = [*(f"http://{host()}{rng.choice(['', '/'])}{part(6)}{rng.choice(['', '?q', '#f'])}" for _ in range(300)), None, "", "plain", "http://COM/en/x", "http://COM/en/x", "http://a.com/" + "en/" * 3000]
+    df = spark.createDataFrame([(k, u, "r", "h", {"a": 1}) for k, u in enumerate(urls)], "page_id long, url string, rule string, host string, more map<string,int>")
+    table = spark.createDataFrame([*rules, (None, "com", "/")], "verdict string, host string, path string")
+    for most in (1000, 5):
+        for given in (rules, table):
+            got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.more) for r in judge_urls(df, given, most=most).collect()}
+            for k, u in enumerate(urls):
+                h, p = split_url(u)
+                fits = [(len(a + b), v == "allow", a + b, v) for v, a, b in rules if (not a or h == a or h.endswith("." + a)) and p.startswith(b)]
+                best = max(fits, default=(0, 0, None, "allow"))
+                assert got[k] == (h, p, best[2], best[3], {"a": 1}), (u, most)
+        assert judge_urls(df.limit(0), rules, most=most).count() == 0
+        kept = judge_urls(df.limit(3), table, prefix="url_", most=most)
+        assert kept.where("host = 'h' AND rule = 'r'").count() == 3
+    assert judge_urls(df, table.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(urls)
+
+
 @pytest.mark.parametrize("name", ["op3_block_max_wand", "op7_url_rules", "op9_sparse_suffix_arrays", "op10_prefix_tree_join"])
 def test_sql(spark, duck, name):
     from tessera.llm.queries import ORACLES, QUERIES
