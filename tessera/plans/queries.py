@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, labels, plates
 from tessera.operators import boxes, dataset, events, mutations, reports, spatial, windows
+from tessera.plans import lists  # noqa: F401 (its queries register themselves)
 from tessera.plans.domain import ctes, view
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 _INSIDE = """covered AS (SELECT d.id, d.class, d.confidence, e.zone_id FROM detections d, edges e GROUP BY ALL HAVING
   bool_or(abs((cx - ax) * (py - ay) - (cy - ay) * (px - ax)) <= 1e-12 AND px BETWEEN least(ax, cx) AND greatest(ax, cx) AND py BETWEEN least(ay, cy) AND greatest(ay, cy))
   OR count(*) FILTER (WHERE (ay > py) <> (cy > py) AND px < (cx - ax) * (py - ay) / (cy - ay) + ax) % 2 = 1)"""
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- zones ---------------------------------------------------------------------------------------------------
 
 _STATUS = """names AS (SELECT CASE WHEN lower(name) LIKE '%container%' THEN 'container' WHEN lower(name) IN ('xe nâng', 'xe cẩu') THEN 'forklift' WHEN lower(name) = 'xe chở người' THEN 'personnel_carrier' ELSE base_class END AS base_class, name FROM labels_seed),
@@ -87,7 +71,7 @@ def label_class_map(spark: SparkSession, d: str) -> DataFrame:
 SELECT class, coalesce(names, 'CHƯA XÁC ĐỊNH') AS candidates, count(*) AS n FROM detections LEFT JOIN n ON n.base_class = class GROUP BY ALL""")
 def label_resolution(spark: SparkSession, d: str) -> DataFrame:
     whole = spatial.class_map(view(spark, d, "labels")).agg(F.map_from_entries(F.collect_list(F.struct("base_class", "names"))).alias("m"))
-    out = view(spark, d, "detections").join(F.broadcast(whole))
+    out = view(spark, d, "detections").withColumn("m", whole.scalar())
     return out.groupBy("class", F.array_join(labels.candidate_labels(F.col("class"), F.lit(""), F.col("m")), "|").alias("candidates")).agg(F.count("*").alias("n"))
 
 
@@ -403,8 +387,9 @@ def gate_kpi(spark: SparkSession, d: str) -> DataFrame:
 @query(ctes("detections", "edges", "zones", "targets", "labels") + "," + _INSIDE + "," + _STATUS + """
 SELECT (SELECT count(*) FROM judged WHERE status = 'VIOLATION') AS violations, (SELECT count(DISTINCT id) FROM judged) AS objects_in_zones, (SELECT count(*) FROM judged WHERE status = 'ALLOWED') AS allowed, (SELECT count(*) FROM zones) AS active_zones""")
 def area_kpi(spark: SparkSession, d: str) -> DataFrame:
+    zones = view(spark, d, "zones").agg(F.count("*").alias("n")).scalar()
     counts = _judged(spark, d).agg(F.count_if(F.col("status") == "VIOLATION").alias("violations"), F.countDistinct("id").alias("objects_in_zones"), F.count_if(F.col("status") == "ALLOWED").alias("allowed"))
-    return counts.withColumn("active_zones", F.lit(view(spark, d, "zones").count()).cast("long"))
+    return counts.withColumn("active_zones", zones)
 
 
 @query(ctes("gate_events") + """ SELECT strftime(ts, '%Y-%m-%d') AS day, camera_id, count(*) AS entries, count(*) FILTER (WHERE confidence > 0) AS plates_read, count(*) - count(*) FILTER (WHERE confidence > 0) AS unread, round(coalesce(avg(confidence) FILTER (WHERE confidence > 0), 0), 9) AS mean_confidence FROM gate_events GROUP BY day, camera_id""")
