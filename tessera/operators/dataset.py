@@ -22,10 +22,13 @@ def checked(samples: DataFrame) -> DataFrame:
 def split_sources(samples: DataFrame, test: bool) -> DataFrame:
     """samples with a split by source: sources in the order of their SHA-256, the first fifths to test (if asked) and val.
 
-    Every sample of a source has its split. Sources are a table of their own, far smaller than the samples.
+    Every sample of a source has its split. Ranks are those within a hash prefix after the counts of all prefixes before
+    it; four hex digits bound that table to 65536 rows, which one task sums and which is broadcast.
     """
-    sources = samples.select("source_id").distinct().withColumn("h", F.sha2("source_id", 256))
-    ranked = sources.withColumn("k", F.row_number().over(Window.orderBy("h"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    sources = samples.where("source_id IS NOT NULL").select("source_id").distinct().withColumn("h", F.sha2("source_id", 256)).withColumn("prefix", F.substring("h", 1, 4))
+    counts = sources.groupBy("prefix").agg(F.count("*").alias("c"))
+    before = counts.select("prefix", (F.sum("c").over(Window.orderBy("prefix")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    ranked = sources.join(F.broadcast(before), "prefix").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("prefix").orderBy("h")))
     fifth = F.greatest(F.lit(1), F.ceil(F.col("n") / 5))
     split = F.when(F.col("k") <= fifth, "test").when(F.col("k") <= 2 * fifth, "val") if test else F.when(F.col("k") <= fifth, "val")
     return samples.join(ranked.select("source_id", split.otherwise("train").alias("split")), "source_id")

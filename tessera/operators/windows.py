@@ -38,10 +38,17 @@ def islands(rows: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
 
 
 def latency(df: DataFrame, keys: list[str], ms: str) -> DataFrame:
-    """Mean, median and nearest-rank 95 % point (rank by half-even rounding), and frames a second by the mean."""
-    ranked = df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(ms)) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    p95 = F.max(F.when(F.col("__k") == F.bround(0.95 * (F.col("__n") - 1), 0), F.col(ms)))
-    out = ranked.groupBy(*keys).agg(F.avg(ms).alias("mean"), F.median(ms).alias("median"), p95.alias("p95"))
+    """Mean, median and nearest-rank 95 % point (rank by half-even rounding), and frames a second by the mean.
+
+    Rows are counted by value first, so that only distinct values are ranked. Null times do not count.
+    """
+    counts = df.where(F.col(ms).isNotNull()).groupBy(*keys, ms).agg(F.count("*").alias("__c"))
+    key = Window.partitionBy(*keys)
+    ranked = counts.withColumns({"__to": F.sum("__c").over(key.orderBy(ms)), "__n": F.sum("__c").over(key)})
+    at = lambda rank: F.max(F.when((F.col("__to") - F.col("__c") <= rank) & (rank < F.col("__to")), F.col(ms)))
+    last = F.col("__n") - 1
+    mean = F.sum(F.col(ms) * F.col("__c")) / F.sum("__c")
+    out = ranked.groupBy(*keys).agg(mean.alias("mean"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), at(F.bround(0.95 * last, 0)).alias("p95"))
     return out.withColumn("fps", F.try_divide(F.lit(1000.0), F.col("mean")))
 
 
