@@ -120,6 +120,22 @@ def _spans(p: _Passages, state: np.ndarray, other: np.ndarray) -> pa.RecordBatch
     return pa.record_batch([pa.array(p.doc[first]), pa.array(p.start[first]), pa.array(p.start[last] + PASSAGE), pa.array(state[first] == 2), pa.array(least[on]), *none], schema=_MATCH_ARROW)
 
 
+def _joined(spans: pa.RecordBatch) -> pa.RecordBatch:
+    """Spans of one document and kind that overlap or touch become one."""
+    doc, start, end, repeat, other = (spans.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+    if not len(doc):
+        return spans
+    order = np.lexsort((end, start, repeat, doc))
+    doc, start, end, repeat, other = (x[order] for x in (doc, start, end, repeat, other))
+    edge = np.append(True, (doc[1:] != doc[:-1]) | (repeat[1:] != repeat[:-1]))
+    lift = (np.cumsum(edge) - 1) * (int(end.max()) + 1)  # so that a running maximum starts anew at each edge
+    reach = np.maximum.accumulate(end + lift) - lift
+    first = np.flatnonzero(edge | np.append(True, reach[:-1] < start[1:]))
+    none = [pa.nulls(len(first), t) for t in (pa.int64(), pa.binary())]
+    columns = [doc[first], start[first], np.maximum.reduceat(end, first), repeat[first], np.minimum.reduceat(other, first)]
+    return pa.record_batch([*map(pa.array, columns), *none], schema=_MATCH_ARROW)
+
+
 def _closed(suffixes: pa.RecordBatch) -> pa.RecordBatch:
     """The spans of suffixes in the order of key, document and place, with all that have their keys."""
     p = _Passages(suffixes)
@@ -193,7 +209,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _looked_up(table):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The spans of open suffixes; table: passages in order, their first document and word, and the document after it."""
+        """The spans of open suffixes in the order of document and place, joined; table: passages in order, their first document and word, and the document after it."""
         hashes, doc, start, follower = table.value
         for batch in batches:
             if not batch.num_rows or not len(hashes):
@@ -202,7 +218,7 @@ def _looked_up(table):  # noqa: ANN001, ANN202
             at = np.minimum(np.searchsorted(hashes, p.hash), len(hashes) - 1)
             is_first = (doc[at] == p.doc) & (start[at] == p.start)
             state = np.where(hashes[at] != p.hash, 0, np.where(is_first, 1, 2)).astype(np.int8)
-            yield _spans(p, state, np.where(is_first, follower[at], doc[at]))
+            yield _joined(_spans(p, state, np.where(is_first, follower[at], doc[at])))
 
     return run
 
@@ -217,7 +233,9 @@ def _of_open_keys(suffixes: DataFrame) -> DataFrame:
         passage, doc, start, follower = (rows.column(k).to_numpy() for k in range(4))
         order = np.argsort(passage.view(U64))
         table = suffixes.sparkSession.sparkContext.broadcast((passage.view(U64)[order], doc[order], start[order], follower[order]))
-        return suffixes.mapInArrow(tidy(_looked_up(table)), _MATCH).select(columns)
+        # Suffixes of one document meet, so that a copy gives a span or two and not one for each of its suffixes.
+        by_document = suffixes.repartition("doc_id").sortWithinPartitions("doc_id", "start")
+        return by_document.mapInArrow(tidy(_looked_up(table)), _MATCH).select(columns)
     placed = suffixes.mapInArrow(tidy(_exploded), _PLACES).join(first, "passage").withColumn("is_repeat", F.col("first") != F.struct("doc_id", "start_word"))
     return placed.select("doc_id", "start_word", (F.col("start_word") + PASSAGE).alias("end_word"), "is_repeat", F.when(F.col("is_repeat"), F.col("first.doc_id")).otherwise(F.col("follower")).alias("other_doc_id"))
 
