@@ -111,6 +111,28 @@ def op10_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_cartesian_lcp_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with the first turns of its family's first one."""
+    from tessera.llm.conversation_trie import grafted, prefix_trie, sequences
+
+    return prefix_trie(grafted(sequences(table(spark, sf_dir, "conversations"))))
+
+
+def op12_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all documents, some of them with a repeated tail."""
+    from tessera.llm.runs import periodic_runs, repeated_tail, summary
+
+    docs = table(spark, sf_dir, "documents")
+    return summary(periodic_runs(docs.select("doc_id", repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 OP7_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -168,6 +190,76 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.root) AS component_id
 FROM sizes s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 """
 
+#: crc32 of a text of ASCII characters, as SQL: a step for each character, in it one for each bit.
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda s: ascii(s)::BIGINT)), lambda a, s: list_reduce(list_prepend(xor(a, s), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))"""
+
+OP11_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+hashed AS (
+  SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS symbol,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM said),
+words AS (SELECT DISTINCT symbol, words FROM hashed),
+own AS (SELECT conv_id, list(symbol ORDER BY turn NULLS FIRST, symbol) AS s FROM hashed GROUP BY conv_id),
+keyed AS (SELECT conv_id, s, """ + _CRC.format(x="conv_id::VARCHAR") + r""" % 4 AS h FROM own),
+rebuilt AS (
+  SELECT k.conv_id, coalesce(list_slice(b.s, 1, k.h), []) || list_slice(k.s, k.h + 1, len(k.s)) AS s
+  FROM keyed k LEFT JOIN own b ON b.conv_id = k.conv_id - k.conv_id % 20),
+begun AS (SELECT conv_id, len(s) AS size, s, unnest(range(0, len(s) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT list_slice(s, 1, depth) AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256 FROM begun GROUP BY ALL),
+grown AS (
+  SELECT n.*, list_slice(path, 1, depth - 1) AS up, coalesce(w.words, 0) AS words, NOT EXISTS (SELECT 1 FROM nodes k WHERE k.depth = n.depth + 1 AND list_slice(k.path, 1, n.depth) = n.path) AS leaf
+  FROM nodes n LEFT JOIN words w ON w.symbol = n.path[n.depth]),
+over AS (SELECT list_slice(path, 1, d) AS path, leaf, (n_convs - 1) * words AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM grown)),
+sums AS (SELECT path, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM over GROUP BY path),
+kids AS (SELECT up AS path, count(*) AS n_children FROM grown WHERE depth > 0 GROUP BY up)
+SELECT g.conv_id, g.depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, g.ends_sha256
+FROM grown g JOIN sums s ON s.path = g.path LEFT JOIN kids k ON k.path = g.path LEFT JOIN nodes p ON g.depth > 0 AND p.path = g.up
+"""
+
+OP12_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM split),
+repeated AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+marked AS (
+  SELECT k.doc_id, k.n, k.line, r.first IS NOT NULL AND k.doc_id <> r.first AS dropped FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + _CRC.format(x="doc_id::VARCHAR") + r""" AS h FROM documents),
+shaped AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS changed, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM texts),
+made AS (
+  SELECT doc_id, n, list_transform(range(0, n), lambda i: w[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % (1 + (n - a) // parts) ELSE i END]) AS w FROM shaped),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM made),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 2 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+  HAVING count(*) >= q AND count(*) + q >= 12),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    SELECT 1 FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, first(struct_pack(s := start, l := length, p := q) ORDER BY length DESC, start, q) AS b,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM made m LEFT JOIN best r ON r.doc_id = m.doc_id LEFT JOIN kept k ON k.doc_id = m.doc_id
+"""
+
 QUERIES = {
     "op1_context_range_coder": op1_context_range_coder,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -179,5 +271,16 @@ QUERIES = {
     "op8_diagonal_voting": op8_diagonal_voting,
     "op9_sparse_suffix_arrays": op9_sparse_suffix_arrays,
     "op10_prefix_tree_join": op10_prefix_tree_join,
+    "op11_cartesian_lcp_trie": op11_cartesian_lcp_trie,
+    "op12_bloom_line_dedup": op12_bloom_line_dedup,
+    "op13_lyndon_runs": op13_lyndon_runs,
+}
+ORACLES = {
+    "op3_block_max_wand": OP3_SQL,
+    "op7_url_rules": OP7_SQL,
+    "op9_sparse_suffix_arrays": OP9_SQL,
+    "op10_prefix_tree_join": OP10_SQL,
+    "op11_cartesian_lcp_trie": OP11_SQL,
+    "op12_bloom_line_dedup": OP12_SQL,
+    "op13_lyndon_runs": OP13_SQL,
 }
-ORACLES = {"op3_block_max_wand": OP3_SQL, "op7_url_rules": OP7_SQL, "op9_sparse_suffix_arrays": OP9_SQL, "op10_prefix_tree_join": OP10_SQL}
