@@ -81,7 +81,7 @@ def even_choice(items: Column, n: int) -> Column:
     return F.when(size <= n, items).otherwise(F.transform(at, lambda k: F.get(items, k)))
 
 
-def retained(boxes: DataFrame, frames: int = 14) -> DataFrame:
+def missed_frames(boxes: DataFrame, frames: int = 14) -> DataFrame:
     """Boxes with the number of frames for which they stand in for a missed one of their track, at most so many."""
     from pyspark.sql import Window
 

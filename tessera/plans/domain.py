@@ -94,6 +94,22 @@ VIEWS: dict[str, tuple[str, str]] = {
             WHEN 7 THEN concat('ab', chr(cast(65 + user_id % 26 as int)), '-', lpad(cast(user_id % 10000 as string), 4, '0'))
             ELSE 'STOP' END AS text FROM {table}""",
     ),
+    # One row for each place where a frame may hold a box: five cameras by turns of 60 frames, four boxes a frame. Boxes move
+    # slowly, are missed singly and for some seconds, and change their track's number. Box 3 is the custom model's.
+    "sightings": (
+        "events",
+        """SELECT event_id AS id, concat('CAM-', cast(block % 5 as string)) AS camera_id, frame_no, slot, block, step,
+          (event_id * 7919 + block) % 100 >= 30 AND (cast(floor(step / 9) as bigint) + slot + block) % 5 <> 0 AS present,
+          CASE WHEN slot = 3 OR event_id % 11 = 0 THEN NULL ELSE slot * 100 + block % 7 * 10 + cast(floor(step / 25) as bigint) END AS track_id,
+          CASE slot WHEN 0 THEN 'truck' WHEN 1 THEN 'car' WHEN 2 THEN 'truck' ELSE 'reach stacker' END AS class,
+          CASE WHEN slot = 3 THEN 'custom' ELSE 'primary' END AS source, CASE WHEN slot = 3 THEN 'v1' END AS version, slot = 3 AND block % 3 = 0 AS confirmed,
+          cast(event_id * 53 % 1000 as double) / 1000 AS confidence,
+          60 + slot % 3 * 260 + step * (1 + slot % 3) + CASE WHEN slot = 3 AND block % 2 = 1 THEN 500 ELSE 0 END AS x1,
+          80 + slot % 3 * 60 + step * (slot + 2) % 40 AS y1, 120 + slot * 10 AS wide, 90 AS high,
+          CASE WHEN (cast(floor(step / 10) as bigint) + slot) % 6 = 0 THEN NULL ELSE concat('z', cast(cast(floor((60 + slot % 3 * 260 + step * (1 + slot % 3)) / 300) as bigint) as string)) END AS zone,
+          CASE WHEN slot < 3 AND event_id % 3 = 0 THEN concat(cast(15 + block % 7 as string), 'A-', lpad(cast(slot * 31 + CASE WHEN event_id % 5 = 0 THEN 7 ELSE 0 END + block % 11 as string), CASE WHEN event_id % 13 = 0 THEN 2 ELSE 5 END, '0')) END AS plate
+        FROM (SELECT event_id, cast(floor(event_id / 4) as bigint) AS frame_no, event_id % 4 AS slot, cast(floor(event_id / 240) as bigint) AS block, cast(floor(event_id / 4) as bigint) % 60 AS step FROM {table}) t""",
+    ),
 }
 
 

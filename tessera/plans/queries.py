@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry, labels, plates
 from tessera.operators import boxes, dataset, events, mutations, reports, spatial, windows
-from tessera.plans import lists  # noqa: F401 (its queries register themselves)
+from tessera.plans import lists, tracks  # noqa: F401 (their queries register themselves)
 from tessera.plans.domain import ctes, view
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -294,7 +294,7 @@ def best_overlap_target(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ctes("detections") + " SELECT id, least(coalesce(lead(frame_no) OVER (PARTITION BY track_id ORDER BY frame_no) - frame_no - 1, 14), 14) AS stands_for FROM detections")
 def retained_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return boxes.retained(view(spark, d, "detections")).select("id", "stands_for")
+    return boxes.missed_frames(view(spark, d, "detections")).select("id", "stands_for")
 
 
 @query(ctes("detections") + " SELECT id, CASE WHEN class IN ('train', 'bus') THEN 'truck' ELSE class END AS class, round(confidence * greatest(0.5, 1 - 0.5 * (id % 14) / 14), 6) AS confidence FROM detections")

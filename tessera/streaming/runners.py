@@ -102,4 +102,4 @@ class ZoneProcessor(StatefulProcessor):
 
 def stream_zone_transitions(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Streaming: needs the RocksDB state store; frames of a micro-batch are put in time order."""
-    return hits.groupBy("camera_id").transformWithStateInPandas(ZoneProcessor(limits), TRANSITIONS, "Append", "ProcessingTime")
+    return hits.groupBy("camera_id").transformWithStateInPandas(ZoneProcessor(limits), TRANSITIONS, "Append", "None")
