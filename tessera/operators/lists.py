@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.labels import UNKNOWN
 from tessera.functions.plates import plate_upper
+from tessera.operators.spatial import with_candidates
 
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 #: What the gate shows for an event without a plate.
@@ -69,12 +71,10 @@ def find_vehicle(vehicles: DataFrame, key: str) -> DataFrame:
     return vehicles.where(F.col("id") == key.strip() if by_id else F.col("plate_number") == plate_upper(F.lit(key)))
 
 
-def guarded(detections: DataFrame, classes: DataFrame) -> DataFrame:
-    """Detections that are not suppressed as static and, where any class is configured, are of a configured one."""
-    kept = detections.where(~F.coalesce("suppressed_static", F.lit(False)))
-    some = classes.limit(1).agg(F.count("*").alias("n")).scalar()
-    known = classes.select(F.col("base_class").alias("class"), F.lit(True).alias("__known")).distinct()
-    return kept.join(known, "class", "left").where(F.col("__known").isNotNull() | (some == 0)).drop("__known")
+def guarded(detections: DataFrame, names: DataFrame) -> DataFrame:
+    """Detections that are not suppressed as static and, where labels (name, base_class) are configured, can carry one of them, also by an alias of their class."""
+    kept = with_candidates(detections.where(~F.coalesce("suppressed_static", F.lit(False))), names)
+    return kept.where(~F.col("configured") | (F.col("candidates") != F.array(F.lit(UNKNOWN)))).drop("configured", "candidates")
 
 
 def top_boxes(detections: DataFrame, n: int = 6) -> DataFrame:

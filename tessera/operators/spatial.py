@@ -35,10 +35,22 @@ def class_map(names: DataFrame) -> DataFrame:
     return names.groupBy(base.alias("base_class")).agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
+def with_candidates(boxes: DataFrame, names: DataFrame) -> DataFrame:
+    """boxes with `configured` (whether there are any labels) and `candidates`, the names that a box may carry: those of its
+    class, else of the classes that this one is an alias of, else its own label if that is a known name.
+
+    A site's labels are one map from class to names, a scalar subquery, so boxes are neither joined nor shuffled.
+    """
+    whole = class_map(names).agg(F.map_from_entries(F.collect_list(F.struct("base_class", "names"))).alias("m")).scalar()
+    label = F.col("label") if "label" in boxes.columns else F.lit("")
+    mapped = boxes.withColumn("__map", whole)
+    out = mapped.withColumns({"configured": F.size("__map") > 0, "candidates": labels.candidate_labels(F.col("class"), label, F.col("__map"))})
+    return out.drop("__map")
+
+
 def rule_matrix(hits: DataFrame, names: DataFrame) -> DataFrame:
     """hits with `candidates` of their class and the status by the zone's rule."""
-    joined = hits.join(F.broadcast(class_map(names)), F.col("class") == F.col("base_class"), "left")
-    out = joined.withColumn("candidates", F.coalesce("names", F.array(F.lit(labels.UNKNOWN))))
+    out = with_candidates(hits, names).drop("configured")
     return out.withColumn("status", labels.rule_status(F.col("rule_type"), F.col("target_labels"), F.col("candidates")))
 
 

@@ -94,6 +94,23 @@ VIEWS: dict[str, tuple[str, str]] = {
             WHEN 7 THEN concat('ab', chr(cast(65 + user_id % 26 as int)), '-', lpad(cast(user_id % 10000 as string), 4, '0'))
             ELSE 'STOP' END AS text FROM {table}""",
     ),
+    # Detections with classes that the site's labels know by an alias, or not at all.
+    "aliased": (
+        "events",
+        f"""SELECT event_id AS id, CASE event_id % 11 WHEN 0 THEN 'reach stacker' WHEN 1 THEN 'golf cart' WHEN 2 THEN ' Container Handler ' WHEN 3 THEN 'shipping container' WHEN 4 THEN 'bus' WHEN 5 THEN 'alien' WHEN 6 THEN 'utility vehicle' ELSE {_CLASS} END AS class,
+          CASE WHEN event_id % 11 = 5 AND event_id % 3 = 0 THEN ' Xe cẩu ' WHEN event_id % 11 = 5 AND event_id % 3 = 1 THEN 'Xe đạp' ELSE '' END AS label, event_id % 13 = 0 AS suppressed_static,
+          CASE event_id % 3 WHEN 0 THEN 'ALLOW_SPECIFIED' WHEN 1 THEN 'PROHIBIT_SPECIFIED' ELSE 'OTHER' END AS rule_type FROM {{table}}""",
+    ),
+    "site_zones": (
+        "supplier",
+        """SELECT s_suppkey AS zone_id, concat('CAM-', cast(s_nationkey % 5 as string)) AS camera_id, concat(CASE WHEN s_suppkey % 3 = 0 THEN 'Lane ' ELSE 'Zone ' END, cast(s_suppkey as string)) AS name,
+          CASE WHEN s_suppkey % 2 = 0 THEN 'ALLOW_SPECIFIED' ELSE 'PROHIBIT_SPECIFIED' END AS rule_type, s_suppkey % 4 <> 0 AS is_active, s_acctbal AS updated_rank FROM {table}""",
+    ),
+    "site_labels": (
+        "part",
+        """SELECT p_partkey AS id, CASE WHEN p_size % 8 = 0 THEN ' Truck' WHEN p_size % 8 = 1 THEN 'forklift' WHEN p_size % 8 = 2 THEN 'car' WHEN p_size % 8 = 3 THEN 'motorcycle' ELSE 'truck' END AS base_class,
+          concat(CASE WHEN p_size % 5 = 0 THEN 'Container ' WHEN p_size % 5 = 1 THEN '' ELSE 'Xe ' END, CASE WHEN p_size = 6 THEN 'Xe nâng' ELSE p_brand END) AS name FROM {table}""",
+    ),
     # One row for each place where a frame may hold a box: five cameras by turns of 60 frames, four boxes a frame. Boxes move
     # slowly, are missed singly and for some seconds, and change their track's number. Box 3 is the custom model's.
     "sightings": (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import plates
-from tessera.operators import events, lists
+from tessera.operators import events, lists, spatial
 from tessera.operators.dataset import YARD
 from tessera.plans.domain import ctes, view
 from tessera.plans.registry import query
@@ -69,10 +69,9 @@ def gate_page_total(spark: SparkSession, d: str) -> DataFrame:
     return lists.with_total(hits, events.page(hits, "ts", 50)).select("id", "license_plate", "total")
 
 
-@query(ctes("zones") + " SELECT zone_id, name FROM zones WHERE camera_id = 'BAI-KIEM' AND zone_id <> 1 AND contains(lower(name), 'zone')")
+@query(ctes("site_zones") + " SELECT zone_id, name FROM site_zones WHERE camera_id = 'CAM-3' AND is_active AND contains(lower(name), 'zone')")
 def active_zones_by_camera(spark: SparkSession, d: str) -> DataFrame:
-    zones = view(spark, d, "zones").withColumn("is_active", F.col("zone_id") != 1)
-    return lists.zone_list(zones, " bai-kiem ", search="ZONE").select("zone_id", "name")
+    return lists.zone_list(view(spark, d, "site_zones"), " cam-3 ", search="ZONE").select("zone_id", "name")
 
 
 @query(ctes("vehicles") + """, keyed AS (SELECT concat('00000000-0000-0000-0000-', lpad(cast(id AS varchar), 12, '0')) AS id, plate_number FROM vehicles)
@@ -87,10 +86,30 @@ def registered_plates(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "vehicles").groupBy(F.col("plate_number").alias("plate")).agg(F.min_by("status", "id").alias("status"))
 
 
-@query(ctes("detections", "labels") + " SELECT id FROM detections WHERE id % 13 <> 0 AND class IN (SELECT base_class FROM labels_seed WHERE base_class <> 'person')")
+# The classes whose labels a class may carry, in this order, written from the table of aliases; a lifting vehicle looks under forklift first.
+_ALIASES = """, alias AS (SELECT * FROM (VALUES ('reach stacker', 1, 'forklift'), ('reach stacker', 2, 'reach stacker'), ('reach stacker', 3, 'container handler'), ('golf cart', 1, 'personnel_carrier'), ('golf cart', 2, 'personnel carrier'),
+  ('utility vehicle', 1, 'personnel_carrier'), ('utility vehicle', 2, 'personnel carrier'), ('container handler', 1, 'forklift'), ('container handler', 2, 'container handler'), ('shipping container', 1, 'container'), ('shipping container', 2, 'shipping container'),
+  ('forklift', 1, 'forklift'), ('truck', 1, 'truck'), ('car', 1, 'car'), ('motorcycle', 1, 'motorcycle'), ('person', 1, 'person'), ('bus', 1, 'bus')) t(class, place, base_class)),
+named AS (SELECT DISTINCT CASE WHEN lower(name) LIKE '%container%' THEN 'container' WHEN lower(name) IN ('xe nâng', 'xe cẩu') THEN 'forklift' WHEN lower(name) = 'xe chở người' THEN 'personnel_carrier' ELSE base_class END AS base_class, name FROM labels_seed),
+found AS (SELECT a.class, a.place, list(n.name ORDER BY n.name) AS names FROM alias a JOIN named n ON n.base_class = a.base_class GROUP BY a.class, a.place),
+by_class AS (SELECT class, min_by(names, place) AS names FROM found GROUP BY class),
+resolved AS (SELECT d.id, d.class, d.rule_type, d.suppressed_static, CASE WHEN lower(trim(d.label)) IN ('xe nâng', 'xe cẩu') THEN (SELECT names FROM by_class WHERE class = 'forklift')
+  WHEN b.names IS NOT NULL THEN b.names WHEN trim(d.label) IN (SELECT name FROM labels_seed) THEN [trim(d.label)] ELSE ['CHƯA XÁC ĐỊNH'] END AS candidates
+  FROM aliased d LEFT JOIN by_class b ON b.class = lower(trim(d.class)))"""
+
+
+@query(ctes("aliased", "labels") + _ALIASES + " SELECT id FROM resolved WHERE NOT suppressed_static AND candidates <> ['CHƯA XÁC ĐỊNH']")
 def whitelisted_detections(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "detections").withColumn("suppressed_static", F.when(F.col("id") % 13 == 0, True).when(F.col("id") % 5 == 0, False))
-    return lists.guarded(found, view(spark, d, "labels").where("base_class <> 'person'")).select("id")
+    """Boxes whose class is configured, itself or by an alias, or whose label is."""
+    return lists.guarded(view(spark, d, "aliased"), view(spark, d, "labels")).select("id")
+
+
+@query(ctes("aliased", "labels") + _ALIASES + """ SELECT id, array_to_string(candidates, '|') AS candidates,
+  CASE WHEN list_has_any(candidates, ['Xe nâng', 'Xe con', 'Xe chở người']) = (rule_type = 'ALLOW_SPECIFIED') THEN 'ALLOWED' ELSE 'VIOLATION' END AS status FROM resolved""")
+def aliased_rule_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates and status of boxes of any class under rules for three labels."""
+    hits = view(spark, d, "aliased").withColumn("target_labels", F.array(F.lit(" xe NÂNG"), F.lit("Xe con"), F.lit("Xe chở người")))
+    return spatial.rule_matrix(hits, view(spark, d, "labels")).select("id", F.array_join("candidates", "|").alias("candidates"), "status")
 
 
 @query(ctes("detections") + " SELECT frame_no, cast(row_number() OVER w - 1 AS int) AS place, id FROM detections WINDOW w AS (PARTITION BY frame_no ORDER BY confidence DESC, id) QUALIFY row_number() OVER w <= 6")

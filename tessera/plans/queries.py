@@ -61,10 +61,10 @@ def zone_edge_box_counts(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "detections").join(F.broadcast(zones), near).groupBy("zone_id").agg(F.count("*").alias("hits"))
 
 
-@query(ctes("labels") + """, n AS (SELECT CASE WHEN lower(name) LIKE '%container%' THEN 'container' WHEN lower(name) IN ('xe nâng', 'xe cẩu') THEN 'forklift' WHEN lower(name) = 'xe chở người' THEN 'personnel_carrier' ELSE base_class END AS base_class, name FROM labels_seed)
+@query(ctes("site_labels") + """, n AS (SELECT DISTINCT CASE WHEN lower(name) LIKE '%container%' THEN 'container' WHEN lower(name) IN ('xe nâng', 'xe cẩu') THEN 'forklift' WHEN lower(name) = 'xe chở người' THEN 'personnel_carrier' ELSE lower(trim(base_class)) END AS base_class, name FROM site_labels)
 SELECT base_class, string_agg(name, '|' ORDER BY name) AS names FROM n GROUP BY base_class""")
 def label_class_map(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.class_map(view(spark, d, "labels")).select("base_class", F.array_join("names", "|").alias("names"))
+    return spatial.class_map(view(spark, d, "site_labels")).select("base_class", F.array_join("names", "|").alias("names"))
 
 
 @query(ctes("detections", "labels") + """, n AS (SELECT base_class, string_agg(name, '|' ORDER BY name) AS names FROM labels_seed GROUP BY base_class)
