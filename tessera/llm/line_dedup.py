@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _LOWER, BYTE, U64, WHITE, Table, mix, powers, slices, split_join, tidy, utf8
+from tessera.llm.common import _LOWER, BYTE, U64, WHITE, Table, mix, powers, slices, split_join, tidy, utf8, written
 
 #: Bits of a segment of a filter, bits of a filter for each line, bits set for a line, and segments that may be broadcast.
 SEGMENT, PER_LINE, PROBES, SEGMENTS = 1 << 23, 16, 4, 64
@@ -229,25 +229,32 @@ def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _line_count() -> Column:
+    return F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+
+
 def _suspects(rows: DataFrame, least: int, broadcast: int) -> DataFrame:
-    """rows (id, row, text, rest) with `found`, the suspects of each text."""
+    """rows (id, row, text, rest) with `found`, the suspects of each text; a table in the shared folder, which several steps read."""
     spark, texts = rows.sparkSession, rows.select("text")
-    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    total = texts.agg(F.sum(breaks)).first()[0] or 0
+    total = texts.agg(F.sum(_line_count())).first()[0] or 0
     bits = max(0, (-(-total * PER_LINE // SEGMENT) - 1).bit_length())
     sent = texts.where("text IS NOT NULL").mapInArrow(_sent(least, bits), _SENT)
     filters = Table(sent.repartition("segment").sortWithinPartitions("segment").mapInArrow(_filters, "segment int, bits binary"))
     if 1 << bits <= broadcast:
         at_hand = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in filters.df.toLocalIterator()})
+        marked = written(rows.withColumn("found", _found_here(at_hand, least, bits)("text")))
         filters.drop()
-        return rows.withColumn("found", _found_here(at_hand, least, bits)("text"))
+        return marked
     asked = rows.where("text IS NOT NULL").select("text", "row").mapInArrow(_asked(least, bits), _PLACE)
     told = filters.df.select("segment", "bits", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("line"))
     both = told.unionByName(asked.where("segment IS NOT NULL").withColumn("bits", F.lit(None).cast("binary")))
     answered = both.select("segment", "bits", "hash", "row", "line").repartition("segment").sortWithinPartitions("segment", F.col("bits").isNull()).mapInArrow(_answered, "row long, line int")
     lines = answered.unionByName(asked.where("segment IS NULL").select("row", "line")).groupBy("row").agg(F.collect_set("line").alias("wanted"))
     joined = rows.join(lines, "row", "left")
-    return joined.withColumn("found", F.when(F.col("wanted").isNotNull(), _keys_at(least)("text", "wanted")).otherwise(F.array().cast(_FOUND))).drop("wanted")
+    found = F.when(F.col("wanted").isNotNull(), _keys_at(least)("text", "wanted")).otherwise(F.array().cast(_FOUND))
+    marked = written(joined.withColumn("found", found).drop("wanted"))
+    filters.drop()
+    return marked
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 10, broadcast: int | None = None) -> DataFrame:
@@ -277,6 +284,5 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     cut = some.join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("row") == F.col("drop_row")), "left").select("id", "text", "rest", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     cut = cut.withColumn("kept", F.arrow_udf(_without, "string")("text", "drop"))
     whole = marked.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("id", "text", "rest", F.array().cast("array<int>").alias("drop"), F.col("text").alias("kept"))
-    lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")) + 1, F.lit(1)).cast("long")
     back = [F.col("id").alias(doc_id) if c == doc_id else F.col("kept").alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns if c not in ("n_lines", "n_dropped")]
-    return cut.unionByName(whole).select(*back, lines.alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
+    return cut.unionByName(whole).select(*back, F.coalesce(_line_count(), F.lit(1)).cast("long").alias("n_lines"), F.size("drop").cast("long").alias("n_dropped"))
