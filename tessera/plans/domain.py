@@ -94,6 +94,38 @@ VIEWS: dict[str, tuple[str, str]] = {
             WHEN 7 THEN concat('ab', chr(cast(65 + user_id % 26 as int)), '-', lpad(cast(user_id % 10000 as string), 4, '0'))
             ELSE 'STOP' END AS text FROM {table}""",
     ),
+    # A job's log: mostly created, then claimed, then any event, so that some are refused.
+    "job_log": (
+        "lineitem",
+        """SELECT l_orderkey AS job_id, timestamp '2024-01-01 00:00:00' + l_linenumber * interval '1' minute + cast((l_partkey * 1000 + l_suppkey) * 50 + l_quantity as bigint) * interval '1' microsecond AS at, cast(l_quantity * 2 - 10 as int) AS epoch,
+          CASE WHEN l_linenumber = 1 AND l_suppkey % 10 <> 0 THEN 'created' WHEN l_linenumber = 2 AND l_suppkey % 7 <> 0 THEN 'claimed' ELSE CASE (l_suppkey + l_linenumber * 5) % 7 WHEN 0 THEN 'progress' WHEN 1 THEN 'paused' WHEN 2 THEN 'claimed'
+            WHEN 3 THEN 'evaluating' WHEN 4 THEN 'completed' WHEN 5 THEN 'failed' ELSE 'retried' END END AS event FROM {table}""",
+    ),
+    "run_jobs": (
+        "orders",
+        """SELECT o_orderkey AS job_id, CASE o_orderkey % 6 WHEN 0 THEN 'QUEUED' WHEN 1 THEN 'RUNNING' WHEN 2 THEN 'PAUSED_GPU' WHEN 3 THEN 'EVALUATING' WHEN 4 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+          cast(o_orderkey % 61 as int) AS current_epoch, CASE WHEN o_orderkey % 6 = 4 THEN 'bad' END AS reason, o_orderkey % 5 = 0 AS has_version FROM {table}""",
+    ),
+    "run_reports": (
+        "orders",
+        """SELECT o_orderkey AS job_id, CASE o_custkey % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'crashed' ELSE 'completed' END AS outcome, CASE WHEN o_custkey % 8 = 0 THEN 'LOW_SYSTEM_MEMORY' END AS reason,
+          concat('models/', cast(o_orderkey as string), '/best.pt') AS artifactPath, CASE WHEN o_custkey % 11 = 0 THEN 'x' ELSE lpad(cast(o_orderkey as string), 64, '0') END AS artifactSha256, o_custkey % 3 <> 0 AS accepted FROM {table} WHERE o_orderkey % 9 <> 0""",
+    ),
+    "run_artifacts": (
+        "orders",
+        "SELECT concat('models/', cast(o_orderkey as string), '/best.pt') AS path, CASE WHEN o_custkey % 13 = 0 THEN 'gone' WHEN o_custkey % 11 = 0 THEN 'x' ELSE lpad(cast(o_orderkey as string), 64, '0') END AS sha256 FROM {table} WHERE o_custkey % 17 <> 0",
+    ),
+    # Messages of events, among them repeated starts, repeated ends, and ends before a start.
+    "area_messages": (
+        "lineitem",
+        """SELECT l_orderkey AS id, timestamp '2024-01-01 00:00:00' + l_linenumber * interval '1' minute + cast((l_partkey * 1000 + l_suppkey) * 50 + l_quantity as bigint) * interval '1' microsecond AS at, CASE WHEN (l_partkey + l_linenumber) % 3 = 0 THEN 'ENDED' ELSE 'STARTED' END AS action, concat('obj ', cast(l_suppkey as string)) AS label,
+          CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE cast(l_quantity as int) END AS duration_seconds, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('clip ', cast(l_partkey as string)) END AS clip FROM {table}""",
+    ),
+    "file_reads": (
+        "events",
+        """SELECT event_id AS id, concat('FILE-', cast(cast(floor(event_id / 100) as bigint) % 4 as string)) AS camera_id,
+          timestamp '2024-01-01 00:00:00' + cast(event_id * 200 + event_id * 7919 % 190 as bigint) * interval '1' millisecond AS at FROM {table}""",
+    ),
     # Detections with classes that the site's labels know by an alias, or not at all.
     "aliased": (
         "events",

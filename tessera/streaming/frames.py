@@ -32,9 +32,9 @@ def overlaps(a: list[int], b: list[int]) -> tuple[float, float]:
 
 
 def suppress(detections: list[dict], limits: Thresholds = DEFAULT) -> list[dict]:
-    """Greedy suppression over classes: the better source, then confidence with class specificity, stays."""
+    """Greedy suppression over classes: the better source, then confidence with class specificity, stays. What carries a custom model's version is of the best source."""
     name = lambda d: (d.get("class") or "").lower()
-    rank = lambda d: (SOURCES.get(d.get("source"), 0), d["confidence"] + SPECIFIC.get(name(d), 0.0))
+    rank = lambda d: (SOURCES["custom"] if d.get("version") else SOURCES.get(d.get("source"), 0), d["confidence"] + SPECIFIC.get(name(d), 0.0))
     kept: list[dict] = []
     for d in sorted(detections, key=rank, reverse=True):
         for k in kept:
@@ -103,9 +103,13 @@ def hysteresis(track: Iterable[tuple[int, float]], limits: Thresholds = DEFAULT)
 
 
 def stable_classes(track: Iterable[tuple[int, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[int, str]]:
-    """(frame, class, confidence) of one track -> the class with most decayed votes at each frame."""
+    """(frame, class, confidence) of one track -> the class with most decayed votes at each frame; votes are forgotten with the track."""
     votes: dict[str, float] = {}
+    last = 0
     for frame, name, confidence in track:
+        if votes and frame - 1 - last > limits.class_forget_frames:
+            votes = {}
+        last = frame
         votes = {k: v * limits.class_decay for k, v in votes.items() if v * limits.class_decay >= limits.class_floor}
         votes[name] = votes.get(name, 0.0) + confidence
         yield frame, max(votes, key=lambda k: votes[k])
