@@ -23,23 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for all nodes of edges (a, b).
 
-    Ends when a round changes nothing; each round's edges are written to the shared folder. Nodes with very many
+    Ends when a round changes nothing, after some log(nodes) squared rounds at most; each round's edges are written to the shared folder. Nodes with very many
     edges are summed up before the shuffle (least) and joined by a plain equi-join, which Spark can split.
     """
     table = Table(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         before, table = table, Table(_star(_star(table.df, large=True), large=False))
         before.drop()
         now = table.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == now:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     edges = table.df
     tied = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tied.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

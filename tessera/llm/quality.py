@@ -78,7 +78,8 @@ def _with(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
     """rows joined to a written table of a few rows for each key, without dealing the rows of a key to one task."""
     if small.count() <= FEW:
         return rows.join(F.broadcast(small), keys, how)
-    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(PARTS)).cast("int")
+    hashed = [f.name for f in rows.schema if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(PARTS)).cast("int")
     dealt = small.withColumn("__q_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return rows.withColumn("__q_part", part).join(dealt, [*keys, "__q_part"], how).drop("__q_part")
 
@@ -209,6 +210,12 @@ def _concentrated(rows: DataFrame, starts: DataFrame, share: float, settled: flo
 def judge(df: DataFrame, share: float = 0.6, settled: float = 1e-4, cutoff: float = 20.0, least: int = 40, lang: str = "lang", source: str = "source", text: str = "text", drop_text: bool = False) -> DataFrame:
     """df (without its text, if so asked) with the base statistics, base_failed, distance (null: failed the base rules) and kept."""
     mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    clash = {c: c + "_" * max(map(len, df.columns)) for c in df.columns if c.startswith("__q_")}  # longer than any column
+    if clash:
+        kept = {v.replace("__q_", "__k_", 1): k for k, v in clash.items()}
+        names = {k: kept_as for kept_as, k in kept.items()}
+        lang, source, text = (names.get(c, c) for c in (lang, source, text))
+        return judge(df.withColumnsRenamed(names), share, settled, cutoff, least, lang, source, text, drop_text).withColumnsRenamed(kept)
     base = statistics(df, text).withColumns({"__q_lang": mark(lang), "__q_source": mark(source)})
     base = base.drop(text) if drop_text else base
     return _verdict(written(base), share, settled, cutoff, least)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Words, mix, slices, tidy, written
+from tessera.llm.common import U64, Table, Words, mix, slices, split_join, tidy, written
 
 K, WINDOW = 25, 26
 PASSAGE = K + WINDOW - 1
@@ -263,9 +263,15 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def cut_repeats(df: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the repeats cut out of its texts (the words of a span and the space after it); wholly cut texts go."""
-    spans = passages.where("is_repeat").groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
-    joined = df.join(spans, F.col(doc_id).eqNullSafe(F.col("__id")), "left")
+    """df with the repeats cut out of its texts (the words of a span and the space after it); wholly cut texts go.
+
+    Spans are places in the one text of an id. Where rows of an id have different texts, or rows have no id, use
+    without_repeats. df may have columns of any names.
+    """
+    own = lambda name: name + "_" * max(map(len, df.columns))  # noqa: E731 (longer than any column)
+    at, found = own("id"), own("spans")
+    spans = passages.where("is_repeat").groupBy(F.col("doc_id").alias(at)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found))
+    joined = df.join(spans, F.col(doc_id).eqNullSafe(F.col(at)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):  # noqa: ANN001, ANN202
@@ -282,7 +288,26 @@ def cut_repeats(df: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
             out.append(b"".join([*parts, raw[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    touched = F.col("__spans").isNotNull()
-    whole, parted = joined.where(~touched), joined.where(touched).withColumn(text, cut(F.col(text), F.col("__spans")))
+    touched = F.col(found).isNotNull()
+    whole, parted = joined.where(~touched), joined.where(touched).withColumn(text, cut(F.col(text), F.col(found)))
     parted = parted.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    return whole.unionByName(parted).drop("__id", "__spans")
+    return whole.unionByName(parted).drop(at, found)
+
+
+def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with every repeated passage left in its first place only, whatever ids its rows have; wholly cut texts go.
+
+    A row is a document of its own unless another one has the same id and text. Of the texts of one id (or of no id)
+    the one of least hash keeps its place in the order of documents, the others come after all ids. All columns stay.
+    """
+    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"))
+    shared = packed.groupBy("id").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead <> last").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "lead")
+    shared = Table(shared)
+    rows = packed
+    if not shared.df.isEmpty():
+        named = packed.withColumn("name", F.coalesce(F.col("id").cast("string"), F.lit("")))
+        late = F.lit(1 << 62) + F.pmod(F.col("h"), F.lit(1 << 61))
+        moved = F.when(F.col("lead").isNull() | (F.col("lead") == F.col("h")), F.col("id")).otherwise(late)
+        rows = split_join(named, shared.df, "name").withColumn("id", moved).drop("name", "lead")
+    cut = cut_repeats(rows, repeated_passages(rows, "id"), "id")
+    return cut.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])
