@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import Table, table
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.pii import find_pii
 from tessera.llm.quality import judge
 from tessera.llm.queries import vocabulary
-from tessera.llm.repeats import cut_repeats, repeated_passages
+from tessera.llm.repeats import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in their first place only; n_chars follows the text."""
-    cut = cut_repeats(docs, repeated_passages(docs))
+    cut = without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -59,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        after = Table(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = after.df, after
     return docs
