@@ -410,14 +410,11 @@ def constraint_report(spark: SparkSession, d: str) -> DataFrame:
 # --- stateful operators (no SQL form; golden tests) ------------------------------------------------------------
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
-    """Two cameras' frames of a fifth of a second, with every frame number, also those without detections."""
+    """Two cameras' frames of a fifth of a second, also those without named detections."""
     names = view(spark, d, "labels").groupBy(F.col("base_class").alias("class")).agg(F.min("name").alias("label"))
-    named = view(spark, d, "detections").join(F.broadcast(names), "class")
-    det = F.struct("track_id", "label", "x1", "y1", "x2", "y2").alias("det")
-    grouped = named.groupBy("frame_no").agg(F.sort_array(F.collect_list(det)).alias("detections"))
-    last = named.agg(F.max("frame_no").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n"))).alias("frame_no"))
-    empty = F.array().cast(grouped.schema["detections"].dataType)
-    every = last.join(grouped, "frame_no", "left").withColumn("detections", F.coalesce("detections", empty))
+    named = view(spark, d, "detections").join(names, "class", "left")
+    det = F.struct("track_id", "label", "x1", "y1", "x2", "y2")
+    every = named.groupBy("frame_no").agg(F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), det))).alias("detections"))
     cameras = every.withColumn("camera_id", F.explode(F.array(F.lit("BAI-KIEM"), F.lit("GATE-01"))))
     return cameras.select("camera_id", F.timestamp_millis(F.col("frame_no") * 200).alias("frame_ts"), "detections")
 

@@ -11,14 +11,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.config import DEFAULT, Thresholds
 from tessera.functions import geometry, labels
-from tessera.streaming.zone_machine import Hit, Machine, step
+from tessera.streaming.zone_machine import Hit, Machine, Session, step
 
 TRANSITIONS = "action string, violation_id string, camera_id string, track_id int, zone_id string, object_label string, entered_at timestamp, status string, exited_at timestamp, duration_seconds int"
 HITS = "array<struct<track_id: int, zone_id: string, object_label: string, box: array<double>, inside: boolean>>"
@@ -48,6 +48,28 @@ def frame_hits(frames: DataFrame, zones: DataFrame, limits: Thresholds = DEFAULT
     return joined.select("camera_id", "frame_ts", found.cast(HITS).alias("hits"), F.transform(tracked, lambda d: d["track_id"]).alias("observed"))
 
 
+#: Slots that a camera's frames are cut into to find where no session is open.
+SLOT_SECONDS = 30
+
+
+def quiet_cuts(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """hits with `stretch`: between stretches of a camera no session is open, so each can be run alone. Frames of stretches without hits go.
+
+    Every session has ended after a slot that holds no hit, and three frames or more at least missing_seconds after its begin:
+    an unseen one by its time, a seen one by its frames without a hit. Slots are counted, frames only joined to them.
+    """
+    micros, width = F.unix_micros("frame_ts"), int(max(SLOT_SECONDS, 2 * limits.missing_seconds) * 1e6)
+    slotted = hits.withColumn("__slot", F.floor(micros / width))
+    late = F.pmod(micros, F.lit(width)) >= int(limits.missing_seconds * 1e6)
+    found = F.size("hits") > 0
+    slots = slotted.groupBy("camera_id", "__slot").agg(F.max(found).alias("__hit"), F.count_if(late).alias("__late"))
+    order = Window.partitionBy("camera_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    closing = F.when(~F.col("__hit") & (F.col("__late") >= limits.outside_frames), 1).otherwise(0)
+    slots = slots.withColumn("stretch", F.coalesce(F.sum(closing).over(order), F.lit(0)))
+    live = slots.withColumn("__live", F.max("__hit").over(Window.partitionBy("camera_id", "stretch"))).where("__live").select("camera_id", "__slot", "stretch")
+    return slotted.join(live, ["camera_id", "__slot"]).drop("__slot")
+
+
 def _advance(machine: Machine, frames: pd.DataFrame, limits: Thresholds) -> list[dict]:
     out: list[dict] = []
     for at, hits, observed in zip(frames["frame_ts"], frames["hits"], frames["observed"]):
@@ -65,19 +87,27 @@ def _table(rows: list[dict]) -> pd.DataFrame:
 
 
 def zone_transitions(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Batch: the transitions of every camera, from frame_hits."""
+    """Batch: the transitions of every camera, from frame_hits; stretches between which no session is open run apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = None
+        machine, at = None, None
         for batch in batches:
             rows: list[dict] = []
-            for camera, part in batch.groupby("camera_id", sort=False):
-                if machine is None or machine.camera_id != camera:
-                    machine = Machine(camera)
+            for key, part in batch.groupby(["camera_id", "stretch"], sort=False):
+                if key != at:
+                    machine, at = Machine(key[0]), key
                 rows += _advance(machine, part, limits)
             yield _table(rows)
 
-    return hits.repartition("camera_id").sortWithinPartitions("camera_id", "frame_ts").mapInPandas(run, TRANSITIONS)
+    cut = quiet_cuts(hits, limits)
+    return cut.repartition("camera_id", "stretch").sortWithinPartitions("camera_id", "stretch", "frame_ts").mapInPandas(run, TRANSITIONS)
+
+
+def _session(t: dict) -> Session:
+    """The session of a transition; where its box was is not told, so no other track is near."""
+    seconds = lambda v: pd.Timestamp(v).timestamp()
+    left = t["entered_at"] if pd.isna(t["exited_at"]) else t["exited_at"]
+    return Session(int(t["track_id"]), t["zone_id"], t["object_label"], seconds(t["entered_at"]), seconds(left), (-9.0, -9.0, -9.0, -9.0), t["violation_id"])
 
 
 class ZoneProcessor(StatefulProcessor):
@@ -92,6 +122,11 @@ class ZoneProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         machine = Machine.from_dict(json.loads(self.machine.get()[0])) if self.machine.exists() else Machine(key[0])
         frames = pd.concat(list(rows)).sort_values("frame_ts")
+        if "returned" in frames:
+            back = frames["returned"].notna()
+            for t in frames.loc[back, "returned"]:
+                machine.take_back(t["action"], _session(t), self.limits)
+            frames = frames[~back]
         out = _advance(machine, frames, self.limits)
         self.machine.update((json.dumps(machine.to_dict()),))
         yield _table(out)
@@ -101,5 +136,6 @@ class ZoneProcessor(StatefulProcessor):
 
 
 def stream_zone_transitions(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """Streaming: needs the RocksDB state store; frames of a micro-batch are put in time order."""
+    """Streaming: needs the RocksDB state store; frames of a micro-batch are put in time order. With a column `returned` (see
+    sinks.with_returns) rows that hold a transition take it back before the frames of their batch."""
     return hits.groupBy("camera_id").transformWithStateInPandas(ZoneProcessor(limits), TRANSITIONS, "Append", "None")

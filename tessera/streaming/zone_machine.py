@@ -49,6 +49,15 @@ class Machine:
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def take_back(self, action: str, session: "Session", limits: Thresholds = DEFAULT) -> None:
+        """A transition that could not be stored: a start is dropped, so that it begins anew with the next hit; an ended session is
+        open again, one frame without a hit before its end, so that it ends again with the same times."""
+        if action == "STARTED":
+            self.open = [s for s in self.open if s.violation_id != session.violation_id]
+        elif all((s.track_id, s.zone_id) != (session.track_id, session.zone_id) for s in self.open):
+            session.outside = max(0, limits.outside_frames - 1)
+            self.open.append(session)
+
     @classmethod
     def from_dict(cls, d: dict) -> "Machine":
         return cls(d["camera_id"], *([Session(**{**s, "box": tuple(s["box"])}) for s in d[k]] for k in ("open", "pending")))
