@@ -8,11 +8,13 @@ few sessions; batch runs stream through a camera's frames in time order with onl
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -29,9 +31,13 @@ def frame_hits(frames: DataFrame, zones: DataFrame, limits: Thresholds = DEFAULT
 
     Zones are few (a site's drawn areas) and are sent along as one array, so a frame stays one row.
     """
-    zone = F.struct("zone_id", "rule_type", "target_labels", "polygon")
+    # What a zone's test needs of it is worked out once: the box around it with the buffer, and its labels folded.
+    sides, edge = geometry.envelope(F.col("polygon")), limits.edge_buffer
+    around = [(sides[k] + (edge if k.startswith("max") else -edge)).alias(k) for k in ("min_x", "min_y", "max_x", "max_y")]
+    allows = F.coalesce(F.col("rule_type") == "ALLOW_SPECIFIED", F.lit(False)).alias("allows")
+    zone = F.struct("zone_id", *around, allows, F.transform("target_labels", labels.folded).alias("names"), "polygon")
     site = zones.groupBy("camera_id").agg(F.sort_array(F.collect_list(zone)).alias("zones"))
-    joined = frames.join(F.broadcast(site), "camera_id", "left")
+    joined = frames.join(site, "camera_id", "left")
 
     def hits_of(d):  # noqa: ANN001, ANN202
         x, y = (d["x1"] + d["x2"]) / 2, d["y2"]
@@ -40,7 +46,11 @@ def frame_hits(frames: DataFrame, zones: DataFrame, limits: Thresholds = DEFAULT
             box = F.array(d["x1"], d["y1"], d["x2"], d["y2"])
             return F.struct(d["track_id"].alias("track_id"), z["zone_id"].cast("string").alias("zone_id"), d["label"].alias("object_label"), box.alias("box"), geometry.covers(x, y, z["polygon"]).alias("inside"))
 
-        broken = lambda z: (labels.rule_status(z["rule_type"], z["target_labels"], F.array(d["label"])) == "VIOLATION") & geometry.near_covers(x, y, z["polygon"], limits.edge_buffer)
+        def broken(z):  # noqa: ANN001, ANN202
+            near = (x >= z["min_x"]) & (x <= z["max_x"]) & (y >= z["min_y"]) & (y <= z["max_y"])
+            against = F.coalesce(F.array_contains(z["names"], labels.folded(d["label"])), F.lit(False)) != z["allows"]
+            return near & against & geometry.near_covers(x, y, z["polygon"], edge)
+
         return F.transform(F.filter(F.col("zones"), broken), hit)
 
     tracked = F.filter("detections", lambda d: d["track_id"].isNotNull())
@@ -70,11 +80,12 @@ def quiet_cuts(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     return slotted.join(live, ["camera_id", "__slot"]).drop("__slot")
 
 
-def _advance(machine: Machine, frames: pd.DataFrame, limits: Thresholds) -> list[dict]:
+def _advance(machine: Machine, frames: Iterable[tuple[float, list[dict], list[int]]], limits: Thresholds) -> list[dict]:
+    """The transitions of frames (seconds, hits, observed tracks) in the order of time."""
     out: list[dict] = []
-    for at, hits, observed in zip(frames["frame_ts"], frames["hits"], frames["observed"]):
+    for at, hits, observed in frames:
         own = [Hit(int(h["track_id"]), h["zone_id"], h["object_label"], tuple(map(float, h["box"])), bool(h["inside"])) for h in hits]
-        out += step(machine, pd.Timestamp(at).timestamp(), own, set(map(int, observed)), limits)
+        out += step(machine, at, own, set(observed), limits)
     return out
 
 
@@ -89,18 +100,24 @@ def _table(rows: list[dict]) -> pd.DataFrame:
 def zone_transitions(hits: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Batch: the transitions of every camera, from frame_hits; stretches between which no session is open run apart."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine, at = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, key = None, None
         for batch in batches:
             rows: list[dict] = []
-            for key, part in batch.groupby(["camera_id", "stretch"], sort=False):
-                if key != at:
-                    machine, at = Machine(key[0]), key
-                rows += _advance(machine, part, limits)
-            yield _table(rows)
-
-    cut = quiet_cuts(hits, limits)
-    return cut.repartition("camera_id", "stretch").sortWithinPartitions("camera_id", "stretch", "frame_ts").mapInPandas(run, TRANSITIONS)
+            for camera, stretch, micros, found, observed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (camera, stretch) != key:
+                    machine, key = Machine(camera), (camera, stretch)
+                rows += _advance(machine, [(micros / 1e6, found, observed)], limits)
+            for r in rows:
+                r.update({c: None if r[c] is None else round(r[c] * 1e6) for c in ("entered_at", "exited_at")})
+            yield pa.RecordBatch.from_pylist(rows, raw)
+
+    whole = to_arrow_schema(hits.sparkSession.createDataFrame([], TRANSITIONS).schema)
+    raw = pa.schema([pa.field(f.name, pa.int64() if pa.types.is_timestamp(f.type) else f.type) for f in whole])
+    micros = TRANSITIONS.replace(" timestamp", " long")
+    cut = quiet_cuts(hits, limits).select("camera_id", "stretch", F.unix_micros("frame_ts").alias("at"), "hits", "observed")
+    out = cut.repartition("camera_id", "stretch").sortWithinPartitions("camera_id", "stretch", "at").mapInArrow(run, micros)
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("entered_at", "exited_at")})
 
 
 def _session(t: dict) -> Session:
@@ -127,7 +144,8 @@ class ZoneProcessor(StatefulProcessor):
             for t in frames.loc[back, "returned"]:
                 machine.take_back(t["action"], _session(t), self.limits)
             frames = frames[~back]
-        out = _advance(machine, frames, self.limits)
+        seconds = [pd.Timestamp(t).timestamp() for t in frames["frame_ts"]]
+        out = _advance(machine, zip(seconds, frames["hits"], frames["observed"]), self.limits)
         self.machine.update((json.dumps(machine.to_dict()),))
         yield _table(out)
 
