@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.config import Thresholds
 from tessera.functions import geometry, labels, plates
 from tessera.operators import dataset, events, mutations
 from tessera.sources import registry
@@ -102,3 +103,22 @@ def test_archive(spark, tmp_path):
         z.writestr("/abs.txt", "3")
     entries = registry.archive_entries(spark, str(tmp_path / "a.zip"))
     assert {r.name: r.reason for r in registry.refused_entries(entries).collect()} == {"../out.txt": "path leads out", "/abs.txt": "absolute path"}
+
+
+def test_views(spark):
+    from tessera.operators import views
+
+    cols = "id long, track_id long, frame_no long, px double, py double, class string, source string"
+    still = [(k, 1, k, 0.5, 0.5, "crate", "primary") for k in range(45)]
+    other = [(100 + k, t, k, 0.5, 0.5, c, s) for t, c, s in ((2, "Truck", "primary"), (3, "crate", "custom"), (None, "crate", "primary")) for k in range(45)]
+    got = {r.id for r in views.moving(spark.createDataFrame(still + other, cols), Thresholds()).collect()}
+    assert got == {r[0] for r in other} | set(range(39))
+    row = spark.range(1).select(
+        views.any_active(F.create_map(F.lit("a"), F.lit(None).cast("boolean"), F.lit("b"), F.lit(True))).alias("on"), views.any_active(F.lit(None).cast("map<string,boolean>")).alias("off"),
+        views.class_names(F.array(F.lit(" a "), F.lit("b"))).alias("names"), views.in_unit(F.struct(F.lit(50.0).alias("x"), F.lit(1.0).alias("y"))).alias("p"), views.in_unit(F.struct(F.lit(0.5).alias("x"), F.lit(1.0).alias("y"))).alias("q"),
+        views.zone_rule(views.zone_types(F.lit("PROHIBIT_SPECIFIED"), F.array(F.lit("A")), F.array(F.lit("a"), F.lit("b"), F.lit("c"))), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("r"),
+    ).first()
+    assert (row.on, row.off, row.names, tuple(row.p), tuple(row.q)) == (True, False, {0: "a", 1: "b"}, (0.5, 0.01), (0.5, 1.0))
+    assert tuple(row.r) == ("PROHIBIT_SPECIFIED", ["a"])
+    with pytest.raises(Exception, match="empty one"):
+        spark.range(1).select(views.class_names(F.array(F.lit("a"), F.lit(" ")))).collect()
