@@ -98,6 +98,12 @@ def center_distance(a: Box, b: Box) -> Column:
     return F.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
 
 
+def distance_ratio(a: Box, b: Box) -> Column:
+    """Distance of the centers in mean sides of the larger box."""
+    side = lambda x: (x[2] - x[0] + x[3] - x[1]) / 2
+    return center_distance(a, b) / F.greatest(F.lit(1.0), side(a), side(b))
+
+
 def bottom_center(b: Box) -> tuple[Column, Column]:
     return (b[0] + b[2]) / 2, b[3]
 

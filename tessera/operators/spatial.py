@@ -10,16 +10,16 @@ from tessera.functions import geometry, labels
 
 
 def zone_hits(points: DataFrame, zones: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
-    """Points with every zone that covers them. A site's zones are a short drawn list, broadcast; the box around a zone is
-    tested before its sides."""
+    """Points with every zone that covers them; the box around a zone is tested before its sides. A site's zones are a short
+    drawn list, which the planner sends to all tasks while it is short."""
     around = zones.withColumns({f"__{k}": c for k, c in geometry.envelope(F.col("polygon")).items()})
     near = F.col(x).between(F.col("__min_x"), F.col("__max_x")) & F.col(y).between(F.col("__min_y"), F.col("__max_y"))
-    inside = points.join(F.broadcast(around), near & geometry.covers(F.col(x), F.col(y), F.col("polygon")))
+    inside = points.join(around, near & geometry.covers(F.col(x), F.col(y), F.col("polygon")))
     return inside.drop(*[c for c in inside.columns if c.startswith("__")])
 
 
 def ray_hits(points: DataFrame, zones: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
-    return points.join(F.broadcast(zones), geometry.ray_cast(F.col(x), F.col(y), F.col("polygon")))
+    return points.join(zones, geometry.ray_cast(F.col(x), F.col(y), F.col("polygon")))
 
 
 def first_zone(points: DataFrame, zones: DataFrame, key: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry, labels, plates
 from tessera.operators import boxes, dataset, events, mutations, reports, spatial, windows
-from tessera.plans import jobs, lists, tracks, views  # noqa: F401 (their queries register themselves)
+from tessera.plans import jobs, lists, measures, tracks, views  # noqa: F401 (their queries register themselves)
 from tessera.plans.domain import ctes, view
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -58,7 +58,7 @@ SELECT zone_id, count(*) AS hits FROM detections d, boxes b WHERE px BETWEEN b.x
 def zone_edge_box_counts(spark: SparkSession, d: str) -> DataFrame:
     zones = view(spark, d, "zones").where(geometry.valid_polygon(F.col("polygon"))).select("zone_id", *[c.alias(k) for k, c in geometry.envelope(F.col("polygon")).items()])
     near = F.col("px").between(F.col("min_x"), F.col("max_x")) & F.col("py").between(F.col("min_y"), F.col("max_y"))
-    return view(spark, d, "detections").join(F.broadcast(zones), near).groupBy("zone_id").agg(F.count("*").alias("hits"))
+    return view(spark, d, "detections").join(zones, near).groupBy("zone_id").agg(F.count("*").alias("hits"))
 
 
 @query(ctes("site_labels") + """, n AS (SELECT DISTINCT CASE WHEN lower(name) LIKE '%container%' THEN 'container' WHEN lower(name) IN ('xe nâng', 'xe cẩu') THEN 'forklift' WHEN lower(name) = 'xe chở người' THEN 'personnel_carrier' ELSE lower(trim(base_class)) END AS base_class, name FROM site_labels)
@@ -79,8 +79,8 @@ def label_resolution(spark: SparkSession, d: str) -> DataFrame:
 SELECT z.zone_id, class, coalesce((SELECT min_by(x, i) FROM (SELECT unnest(names) AS x, generate_subscripts(names, 1) AS i) u WHERE x IN (SELECT label FROM targets t WHERE t.zone_id = z.zone_id)), names[1]) AS label, count(*) AS n
 FROM detections JOIN n ON n.base_class = class, zones z GROUP BY z.zone_id, class, names""")
 def display_label(spark: SparkSession, d: str) -> DataFrame:
-    named = view(spark, d, "detections").join(F.broadcast(spatial.class_map(view(spark, d, "labels"))), F.col("class") == F.col("base_class"))
-    each = named.groupBy("class", "names").agg(F.count("*").alias("n")).join(F.broadcast(view(spark, d, "zones").select("zone_id", "target_labels")))
+    named = view(spark, d, "detections").join(spatial.class_map(view(spark, d, "labels")), F.col("class") == F.col("base_class"))
+    each = named.groupBy("class", "names").agg(F.count("*").alias("n")).join(view(spark, d, "zones").select("zone_id", "target_labels"))
     return each.select("zone_id", "class", labels.display_label(F.col("names"), F.col("target_labels"), F.lit(None).cast("string")).alias("label"), "n")
 
 
@@ -134,7 +134,7 @@ def plate_vote(spark: SparkSession, d: str) -> DataFrame:
 def vehicle_type_lane(spark: SparkSession, d: str) -> DataFrame:
     each = view(spark, d, "gate_events").groupBy("license_plate").agg(F.count("*").alias("n"))
     zones = view(spark, d, "zones").select("name", plates.lane_of_zone(F.col("name")).alias("lane"))
-    return each.join(F.broadcast(zones)).select("license_plate", plates.vehicle_type(F.col("license_plate")).alias("type"), "name", "lane", "n")
+    return each.join(zones).select("license_plate", plates.vehicle_type(F.col("license_plate")).alias("type"), "name", "lane", "n")
 
 
 @query(ctes("gate_events", "vehicles") + """, reads AS (SELECT id, CASE WHEN id % 2 = 0 THEN replace(license_plate, '-', ' ') ELSE lower(license_plate) END AS license_plate FROM gate_events),
