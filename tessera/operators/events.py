@@ -94,6 +94,14 @@ def unregistered(events: DataFrame, vehicles: DataFrame) -> DataFrame:
     return first_of_each(unknown, ["license_plate"], ["ts", "id"])
 
 
+def auto_registered(told: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """New vehicles for events of plates that the registry does not hold, whatever spaces, dashes and dots either is written with: the
+    plate in capitals as first told (ts, then id), a stranger. Events that run again add nothing to what they have added."""
+    named = told.where("license_plate IS NOT NULL").withColumn("__key", plates.plate_key(F.col("license_plate")))
+    unknown = named.join(vehicles.select(plates.plate_key(F.col("plate_number")).alias("__key")), "__key", "left_anti").where("__key <> ''")
+    return first_of_each(unknown, ["__key"], ["ts", "id"]).select(plates.plate_upper(F.col("license_plate")).alias("plate_number"), F.lit("STRANGER").alias("status"), F.col("ts").alias("seen_at"))
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; an aggregate, so that hot keys are summed up before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -37,6 +37,12 @@ def label_files(samples: DataFrame) -> DataFrame:
     return pictures.select(split.alias("split"), stem.alias("stem"), F.concat(F.array_join(F.transform("own", lambda o: o["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
+def summary(samples: DataFrame) -> DataFrame:
+    """One row: samples, pictures' sources, samples of each split, and the labels in order with their number."""
+    counts = [F.count_if(F.col("split") == s).alias(s) for s in SPLITS]
+    return samples.agg(F.count("*").alias("samples"), F.countDistinct("source").alias("sources"), *counts, F.sort_array(F.collect_set("label")).alias("labels"))
+
+
 def yaml(names: list[str], path: str, has_test: bool) -> str:
     listed = "\n".join(f"  {k}: {n}" for k, n in enumerate(names))
     return f"path: {path}\ntrain: images/train\nval: images/val\n{'test: images/test' + chr(10) if has_test else ''}names:\n{listed}\n"

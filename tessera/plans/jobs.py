@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import export, jobs, messages
+from tessera.operators import events, export, jobs, messages
 from tessera.plans.domain import ctes, view
 from tessera.plans.registry import query
 
@@ -67,9 +67,29 @@ lines AS (SELECT u.*, cast(id AS varchar) AS key, printf('%d %.6f %.6f %.6f %.6f
 files AS (SELECT split, count(*) AS n, min(key) AS one, string_agg(key, '|' ORDER BY key) AS ids, string_agg(line, chr(10) ORDER BY key) || chr(10) AS text FROM lines GROUP BY source_id, media_kind, frame_ms, split)
 SELECT split, CASE WHEN n = 1 THEN one ELSE 'source-' || substr(sha256(ids), 1, 20) END AS stem, text FROM files""")
 def dataset_label_files(spark: SparkSession, d: str) -> DataFrame:
+    return export.label_files(_split_samples(spark, d))
+
+
+def _split_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with a source, a fifth of the sources in test and in val."""
     fifth = F.substring("source_id", 8, 9).cast("int") % 5
     split = F.when(fifth == 0, "test").when(fifth == 1, "val").otherwise("train")
-    return export.label_files(view(spark, d, "samples").where("source_id IS NOT NULL").withColumns({"split": split, "source": F.col("source_id")}))
+    return view(spark, d, "samples").where("source_id IS NOT NULL").withColumns({"split": split, "source": F.col("source_id")})
+
+
+@query(ctes("samples") + """, u AS (SELECT *, cast(substr(source_id, 8) AS int) % 5 AS k FROM samples WHERE source_id IS NOT NULL)
+SELECT count(*) AS samples, count(DISTINCT source_id) AS sources, count(*) FILTER (WHERE k > 1) AS train, count(*) FILTER (WHERE k = 1) AS val, count(*) FILTER (WHERE k = 0) AS test, (SELECT string_agg(label, '|' ORDER BY label) FROM (SELECT DISTINCT label FROM u) x) AS labels FROM u""")
+def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
+    return export.summary(_split_samples(spark, d)).withColumn("labels", F.array_join("labels", "|"))
+
+
+@query(ctes("gate_events", "vehicles") + """, keyed AS (SELECT *, translate(upper(trim(license_plate)), ' -.', '') AS key FROM gate_events),
+known AS (SELECT translate(upper(trim(plate_number)), ' -.', '') AS key FROM vehicles WHERE id % 4 <> 0)
+SELECT min_by(upper(trim(license_plate)), (epoch_us(ts), id)) AS plate_number, 'STRANGER' AS status, min(ts) AS seen_at FROM keyed WHERE key NOT IN (SELECT key FROM known) GROUP BY key""")
+def auto_registered_plates(spark: SparkSession, d: str) -> DataFrame:
+    """Plates at the gate, every second one written otherwise, that a registry without every fourth vehicle does not hold."""
+    told = view(spark, d, "gate_events").withColumn("license_plate", F.when(F.col("id") % 2 == 0, F.lower("license_plate")).otherwise(F.col("license_plate")))
+    return events.auto_registered(told, view(spark, d, "vehicles").where("id % 4 <> 0"))
 
 
 @query(ctes("area_messages") + """, first AS (SELECT id, min("at") AS "at", min_by(label, "at") AS label, arg_min_null(duration_seconds, "at") AS d, arg_min_null(clip, "at") AS c FROM area_messages WHERE action = 'STARTED' GROUP BY id),

@@ -24,18 +24,22 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.config import DEFAULT, Thresholds
 
-#: What every row of a fold begins with: the camera, the first slot of its stretch, the frame.
+#: What every row of a fold begins with: the camera, when its stretch began (microseconds), the frame.
 HEAD = "camera_id string, stretch long, frame_ts timestamp"
 
 
 def stretches(frames: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
-    """frames with `stretch`, the first slot of a camera's stretch of slots that all hold frames."""
-    slot = F.floor(F.unix_micros("frame_ts") / int(limits.pause_seconds * 1e6))
-    slotted = frames.withColumn("__slot", slot)
-    order = Window.partitionBy("camera_id").orderBy("__slot")
-    slots = slotted.select("camera_id", "__slot").distinct().withColumn("__first", F.when(F.coalesce(F.col("__slot") - F.lag("__slot").over(order), F.lit(2)) > 1, F.col("__slot")))
-    slots = slots.select("camera_id", "__slot", F.last("__first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
-    return slotted.join(slots, ["camera_id", "__slot"]).drop("__slot")
+    """frames with `stretch`, when a camera's stretch of slots that all hold frames began. Where frames have an `epoch` (the number of
+    source resets so far: seeks, loops), a new one begins a new stretch too."""
+    micros = F.unix_micros("frame_ts")
+    epoch = F.col("epoch").cast("long") if "epoch" in frames.columns else F.lit(0).cast("long")
+    slotted = frames.withColumns({"__slot": F.floor(micros / int(limits.pause_seconds * 1e6)), "__epoch": F.coalesce(epoch, F.lit(0))})
+    order = Window.partitionBy("camera_id").orderBy("__begin")
+    slots = slotted.groupBy("camera_id", "__epoch", "__slot").agg(F.min(micros).alias("__begin"))
+    same = (F.col("__slot") - F.lag("__slot").over(order) <= 1) & (F.col("__epoch") == F.lag("__epoch").over(order))
+    slots = slots.withColumn("__first", F.when(~F.coalesce(same, F.lit(False)), F.col("__begin")))
+    slots = slots.select("camera_id", "__epoch", "__slot", F.last("__first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    return slotted.join(slots, ["camera_id", "__epoch", "__slot"]).drop("__slot", "__epoch")
 
 
 def fold(frames: DataFrame, step: type, columns: str, limits: Thresholds = DEFAULT) -> DataFrame:
@@ -79,17 +83,20 @@ class FoldProcessor(StatefulProcessor):
         self.state = handle.getValueState("step", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        held = json.loads(self.state.get()[0]) if self.state.exists() else {"last": None, "slot": None, "stretch": None, "step": None}
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {"last": None, "slot": None, "epoch": 0, "stretch": None, "step": None}
         own = self.step.revive(held["step"], self.limits) if held["step"] else self.step(limits=self.limits)
         out = []
-        for ts, boxes in pd.concat(list(rows)).sort_values("frame_ts")[["frame_ts", "boxes"]].itertuples(index=False):
+        frames = pd.concat(list(rows)).sort_values("frame_ts")
+        epochs = frames["epoch"].fillna(0).astype("int64") if "epoch" in frames else [0] * len(frames)
+        for ts, boxes, epoch in zip(frames["frame_ts"], frames["boxes"], map(int, epochs)):
             at = pd.Timestamp(ts).tz_localize("UTC").timestamp() if pd.Timestamp(ts).tz is None else pd.Timestamp(ts).timestamp()
             if held["last"] is not None and at <= held["last"]:
                 continue
-            slot = int(round(at * 1e6) // int(self.limits.pause_seconds * 1e6))
-            if held["slot"] is None or slot - held["slot"] > 1:
-                own, held["stretch"] = self.step(limits=self.limits), slot
-            held["last"], held["slot"] = at, slot
+            micros = round(at * 1e6)
+            slot = micros // int(self.limits.pause_seconds * 1e6)
+            if held["slot"] is None or slot - held["slot"] > 1 or epoch != held["epoch"]:
+                own, held["stretch"] = self.step(limits=self.limits), micros
+            held["last"], held["slot"], held["epoch"] = at, slot, epoch
             out += [{"camera_id": key[0], "stretch": held["stretch"], "frame_ts": ts, **r} for r in own.frame(at, _plain(boxes) if boxes is not None else [])]
         held["step"] = own.state()
         self.state.update((json.dumps(held),))

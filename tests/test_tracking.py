@@ -400,6 +400,22 @@ def test_stream_gives_the_batch_rows(spark, tmp_path, step, columns):
     assert len(batch) > 50 and got == batch
 
 
+def test_a_reset_of_the_source_begins_anew(spark, tmp_path):
+    """Ids count from one again after a seek, in batch and stream; frames of both epochs lie in one slot."""
+    box = {"class": "car", "bbox": [0, 0, 100, 60]}
+    start = datetime.datetime(2024, 1, 1)
+    rows = [("g", start + datetime.timedelta(seconds=k), [{**box, "bbox": [300 * k, 0, 300 * k + 100, 60]}], int(k > 2)) for k in range(6)]
+    frames = spark.createDataFrame(rows, "camera_id string, frame_ts timestamp, boxes array<struct<class: string, bbox: array<int>>>, epoch int")
+    frames.coalesce(1).write.parquet(str(tmp_path / "in"))
+    batch = fold(spark.read.parquet(str(tmp_path / "in")), GateTracks, tracking.GATE)
+    got = sorted((r.frame_ts, r.track, r.stretch) for r in batch.collect())
+    assert [t for _, t, _ in got] == ["V001", "V002", "V003"] * 2 and len({s for _, _, s in got}) == 2
+    stream = stream_fold(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in")), GateTracks, tracking.GATE)
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted((r.frame_ts, r.track, r.stretch) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == got
+
+
 def test_fold_of_no_frames(spark):
     assert fold(camera_frames(spark, DATA).where("false"), Retention, tracking.KEPT).collect() == []
 
