@@ -3,7 +3,7 @@
 Encoding merges neighbouring symbols in the order of the vocabulary's scores (the agenda). A candidate merge is
 skipped when a keyed hash of the seed, the text's key, and the place of the two symbols falls under `dropout`; the
 same seed gives the same pieces on every machine and retry. Whatever is skipped, the pieces spell the text, so that
-decoding gives it back. dropout = 0 gives the library's own pieces.
+decoding gives it back; but U+2581, which stands for a space in pieces, comes back as a space. dropout = 0 gives the library's own pieces.
 
 Pieces never continue over the beginning of a run of spaces, so texts are cut there. A worker keeps the pieces and the
 merges of each distinct chunk without dropout. The hash is keyed by the text's key and the chunk's number, for every
@@ -206,6 +206,8 @@ class Encoder:
         total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(code.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(7)) * powers(len(code))[0])])
         name = mix((total[to] - total[at]) * powers(len(code))[1][at] + (to - at).astype(U64))
         names, first, which = np.unique(name, return_index=True, return_inverse=True)
+        if self.merges.used > KEPT_IDS:  # three numbers for each merge
+            self.store.clear()
         new = self.store.missing(names)
         if len(self.store.keys) == 0:  # both start anew together
             self.merges.clear()

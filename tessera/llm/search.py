@@ -1,6 +1,6 @@
 """Exact top-k search: an inverted index with block-max WAND pruning for BM25, by shards, with global statistics.
 
-A shard is an index of up to SHARD documents, built where they are read: terms in the order of their hashes, and for
+A shard is an index of up to SHARD documents and POSTINGS postings, built where they are read: terms in the order of their hashes, and for
 each the documents and term frequencies in document order. Documents of a shard are put in the order of their
 commonest word, so that neighbours are texts of one language.
 
@@ -17,7 +17,7 @@ merged by one window. Nothing is approximate: maxima are exact, and all statisti
 
 Scores are rounded to 6 places; ties go to the lesser doc_id. A query meets its own document too. Null and empty texts
 match nothing and find nothing. Repeated rows are found as often as they stand there. Rows without an id are no
-documents and no queries. Each shard meets each query: the work grows with queries times shards, as it must for an
+documents and no queries; texts of one query id are one query. Each shard meets each query: the work grows with queries times shards, as it must for an
 exact answer. A task holds one shard and streams through the queries.
 """
 
@@ -34,6 +34,8 @@ from tessera.llm.common import NOT_ALNUM, U64, Words, slices, tidy, written
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK, WIDE = 65_536, 64, 16
+#: Postings that a shard holds at most, but for those of its last few texts (24 bytes each while it is built).
+POSTINGS = 1 << 24
 _INDEX = "shard long, n_docs long, length long, doc_ids binary, doc_lengths binary, terms binary, counts binary, docs binary, freqs binary"
 _COLUMNS = [x.split()[0] for x in _INDEX.split(", ")]
 
@@ -52,7 +54,7 @@ def _pairs(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    shard, held, docs = TaskContext.get().partitionId() << 24, [], 0
+    shard, held, docs, postings = TaskContext.get().partitionId() << 24, [], 0, 0
 
     def index() -> pa.RecordBatch:
         base = np.cumsum([0, *[len(h[0]) for h in held]])
@@ -79,10 +81,10 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             row, term, freq, length = _pairs(batch.column(1))
             held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), row, term, freq, length))
-            docs += len(length)
-            if docs >= SHARD:
+            docs, postings = docs + len(length), postings + len(term)
+            if docs >= SHARD or postings >= POSTINGS:
                 yield index()
-                shard, docs = shard + 1, 0
+                shard, docs, postings = shard + 1, 0, 0
                 held.clear()
     if held:
         yield index()

@@ -82,3 +82,23 @@ def test_pipeline_over_shared_and_missing_ids(spark, tmp_path):
 def test_pipeline_over_no_rows(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_shards_bounded_by_postings(monkeypatch):
+    """Texts of many words close a shard before it has all its documents."""
+    import types
+
+    import pyarrow as pa
+    import pyspark
+
+    from tessera.llm import search
+
+    texts = [" ".join(f"w{(k * j) % 17}" for j in range(1, 12)) for k in range(40)]
+    batches = [pa.record_batch([pa.array(range(k, k + 4)), pa.array(texts[k : k + 4])], names=["doc_id", "text"]) for k in range(0, 40, 4)]
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 1)))
+    (whole,) = search._indexed(iter(batches))
+    monkeypatch.setattr(search, "POSTINGS", 60)
+    parts = list(search._indexed(iter(batches)))
+    assert whole.column(1)[0].as_py() == 40 and len(parts) > 4
+    assert sum(p.column(1)[0].as_py() for p in parts) == 40 and len({p.column(0)[0].as_py() for p in parts}) == len(parts)
+    assert sum(p.column(2)[0].as_py() for p in parts) == whole.column(2)[0].as_py()
