@@ -63,6 +63,23 @@ def zone_list(zones: DataFrame, camera: str | None = None, active: bool = True,
     return zones.where(wanted & F.col("is_active") if active else wanted)
 
 
+ZONE_KEY = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+
+
+def area_events(violations: DataFrame, zone_id: str | None = None, status: str | None = None, camera: str = "BAI-KIEM") -> DataFrame:
+    """Violations of a camera, of one zone and one status if asked. A zone that is no UUID of versions 1 to 5, or a status other than OPEN and CLOSED, is refused."""
+    import re
+
+    if status is not None and status not in ("OPEN", "CLOSED"):
+        raise ValueError("status must be OPEN or CLOSED")
+    if zone_id is not None and not re.match(ZONE_KEY, zone_id):
+        raise ValueError("zone_id must be a UUID")
+    wanted = F.col("camera_id") == camera
+    for column, value in (("zone_id", zone_id), ("status", status)):
+        wanted = wanted if value is None else wanted & (F.col(column) == value)
+    return violations.where(wanted)
+
+
 def find_vehicle(vehicles: DataFrame, key: str) -> DataFrame:
     """By id where the key is a UUID, else by plate."""
     import re

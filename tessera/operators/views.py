@@ -113,3 +113,21 @@ def class_names(names: Column) -> Column:
     bad = (F.size(trimmed) <= 0) | F.array_contains(trimmed, "")
     checked = F.when(bad, F.raise_error(F.lit("no class names, or an empty one")).cast("array<string>")).otherwise(trimmed)
     return F.map_from_entries(F.transform(checked, lambda n, k: F.struct(k.alias("id"), n.alias("name"))))
+
+
+def times(at: Column) -> dict[str, Column]:
+    """A time as viewers show it: hour and minute, with seconds, with day and month, and as ISO text in UTC to milliseconds."""
+    forms = {"minute": "HH:mm", "second": "HH:mm:ss", "day": "dd/MM HH:mm", "iso": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"}
+    return {name: F.date_format(at, form) for name, form in forms.items()}
+
+
+def safe_name(name: Column) -> Column:
+    """The last part of a path with other signs than letters, digits, dot, dash and underscore replaced."""
+    return F.regexp_replace(F.regexp_replace(name, r"(?s)^.*[\\/]", ""), "[^A-Za-z0-9._-]", "_")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a path stays below its folder: not empty, not absolute, no drive, no step up."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    out = path.startswith("/") | path.startswith("\\") | path.rlike("^[A-Za-z]:") | F.array_contains(parts, "..")
+    return F.coalesce((path != "") & ~out, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import views
+from tessera.operators import events, lists, views
 from tessera.plans.domain import LABELS, ctes, view
 from tessera.plans.registry import query
 
@@ -107,3 +107,26 @@ def zone_counts_of_a_day(spark: SparkSession, d: str) -> DataFrame:
 def area_figures(spark: SparkSession, d: str) -> DataFrame:
     zones = view(spark, d, "zones").withColumn("is_active", F.col("zone_id") != 1)
     return views.figures_now(view(spark, d, "detections"), zones, view(spark, d, "violations"), _DAY)
+
+
+@query(ctes("violations") + """, keyed AS (SELECT *, concat('00000000-0000-4000-8000-', lpad(cast(zone_id AS varchar), 12, '0')) AS zone FROM violations), hits AS (SELECT * FROM keyed WHERE zone = '00000000-0000-4000-8000-000000000002' AND status = 'CLOSED')
+SELECT id, zone, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY entered_at DESC, id DESC LIMIT 50 OFFSET 10""")
+def area_events_by_zone(spark: SparkSession, d: str) -> DataFrame:
+    """A page of the closed violations of a zone, with the count of all."""
+    zone = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("zone_id").cast("string"), 12, "0"))
+    hits = lists.area_events(view(spark, d, "violations").withColumn("zone_id", zone), "00000000-0000-4000-8000-000000000002", "CLOSED")
+    return lists.with_total(hits, events.page(hits, "entered_at", 50, 10)).select("id", F.col("zone_id").alias("zone"), "total")
+
+
+@query(ctes("gate_events") + """ SELECT id, strftime(ts, '%H:%M') AS minute, strftime(ts, '%H:%M:%S') AS second, strftime(ts, '%d/%m %H:%M') AS day, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso FROM gate_events""".replace(" AS minute", ' AS "minute"').replace(" AS second", ' AS "second"').replace(" AS day", ' AS "day"'))
+def event_times(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "gate_events").select("id", *[c.alias(n) for n, c in views.times(F.col("ts")).items()])
+
+
+@query(ctes("samples") + r""", p AS (SELECT id, CASE id % 6 WHEN 0 THEN media_path WHEN 1 THEN '/etc/' || media_path WHEN 2 THEN 'a/../' || media_path WHEN 3 THEN 'C:' || media_path WHEN 4 THEN '' ELSE 'a b/ỹ ' || media_path END AS path FROM samples)
+SELECT id, coalesce(path <> '' AND NOT starts_with(path, '/') AND NOT regexp_matches(path, '^[A-Za-z]:') AND NOT list_contains(string_split(path, '/'), '..'), false) AS safe, regexp_replace(regexp_replace(path, '^.*[\\/]', ''), '[^A-Za-z0-9._-]', '_', 'g') AS name FROM p""")
+def media_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Which media paths stay below their folder, and the names that files get."""
+    n = F.col("id") % 6
+    path = F.when(n == 0, F.col("media_path")).when(n == 1, F.concat(F.lit("/etc/"), "media_path")).when(n == 2, F.concat(F.lit("a/../"), "media_path")).when(n == 3, F.concat(F.lit("C:"), "media_path")).when(n == 4, F.lit("")).otherwise(F.concat(F.lit("a b/ỹ "), "media_path"))
+    return view(spark, d, "samples").select("id", views.safe_path(path).alias("safe"), views.safe_name(path).alias("name"))

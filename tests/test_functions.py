@@ -122,3 +122,17 @@ def test_views(spark):
     assert tuple(row.r) == ("PROHIBIT_SPECIFIED", ["a"])
     with pytest.raises(Exception, match="empty one"):
         spark.range(1).select(views.class_names(F.array(F.lit("a"), F.lit(" ")))).collect()
+
+
+def test_refusals(spark):
+    from tessera.operators import events, lists, views
+
+    df = spark.createDataFrame([(1, "BAI-KIEM", "x", "OPEN")], "id int, camera_id string, zone_id string, status string")
+    for bad in ({"status": "open"}, {"zone_id": "7"}, {"zone_id": "00000000-0000-0000-8000-000000000002"}):
+        with pytest.raises(ValueError, match="must be"):
+            lists.area_events(df, **bad)
+    assert lists.area_events(df, status="OPEN").count() == 1 and lists.area_events(df, camera="GATE").count() == 0
+    with pytest.raises(ValueError, match="limit"):
+        events.page(df, "id", 101)
+    paths = spark.createDataFrame([("a/b.mp4",), ("..\\x",), ("\\x",), ("a/..b",), (None,)], "p string")
+    assert [r[0] for r in paths.select(views.safe_path(F.col("p"))).collect()] == [True, False, False, True, False]
