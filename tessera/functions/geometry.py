@@ -28,6 +28,33 @@ def ray_cast(x: Column, y: Column, polygon: Column) -> Column:
     return F.size(F.filter(sides(polygon), lambda s: _crosses(s, x, y))) % 2 == 1
 
 
+def in_unit(point: Column) -> Column:
+    """A drawn point <x, y>, in percents if either is over 1, as parts of one."""
+    percent = (point["x"] > 1) | (point["y"] > 1)
+    return F.struct(F.when(percent, point["x"] / 100).otherwise(point["x"]).alias("x"), F.when(percent, point["y"] / 100).otherwise(point["y"]).alias("y"))
+
+
+def gate_contains(x: Column, y: Column, polygon: Column) -> Column:
+    """Even-odd rule of gate zones: a side reaches from above its lower y to its upper one, points on a right side are inside.
+    Each corner may be in percents. Under three corners, or none given, hold nothing."""
+
+    def passes(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        at = F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"]) + a["x"]
+        within = (y > F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"])) & (x <= F.greatest(a["x"], b["x"]))
+        return within & ((a["x"] == b["x"]) | (x <= at))
+
+    unit = F.transform(polygon, in_unit)
+    return F.coalesce((F.size(polygon) >= 3) & (F.size(F.filter(sides(unit), passes)) % 2 == 1), F.lit(False))
+
+
+def topmost(polygon: Column) -> Column:
+    """The corner of least y, the first of equals."""
+    ranked = F.transform(polygon, lambda p, k: F.struct(p["y"].alias("y"), k.alias("k"), p["x"].alias("x")))
+    top = F.array_min(ranked)
+    return F.struct(top["x"].alias("x"), top["y"].alias("y"))
+
+
 def covers(x: Column, y: Column, polygon: Column) -> Column:
     """Inside or on the border."""
     return F.exists(sides(polygon), lambda s: _touches(s, x, y)) | ray_cast(x, y, polygon)
@@ -117,6 +144,15 @@ def pixel_clamp(v: Column, limit: int) -> Column:
     return F.greatest(F.lit(0), F.least(v.cast("int"), F.lit(limit)))
 
 
+def picture_box(b: Box, width: int, height: int) -> dict[str, Column]:
+    """A box cut to whole pixels of a picture, one wide and high at least, and nx1..ny2, its sides as parts to four digits (half up)."""
+    x1 = F.greatest(F.lit(0), F.least(F.lit(width - 1), b[0].cast("int")))
+    y1 = F.greatest(F.lit(0), F.least(F.lit(height - 1), b[1].cast("int")))
+    own = {"x1": x1, "y1": y1, "x2": F.greatest(x1 + 1, F.least(F.lit(width), b[2].cast("int"))), "y2": F.greatest(y1 + 1, F.least(F.lit(height), b[3].cast("int")))}
+    part = lambda v, size: F.floor((v.cast("long") * 20000 + size) / (2 * size)) / 10000
+    return own | {f"n{k}": part(v, width if k[0] == "x" else height) for k, v in own.items()}
+
+
 def tile_starts(size: int, tile: int, share: float = 0.25) -> Column:
     """Starts of tiles that overlap by a share, the last one anchored at the end."""
     step = max(1, int(tile * (1 - share)))

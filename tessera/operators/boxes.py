@@ -69,6 +69,13 @@ def unit_box(*sides: Column) -> list[Column]:
     return [F.when(percent, s / 100).otherwise(s) for s in sides]
 
 
+def unit_box_fits(*sides: Column) -> Column:
+    """Whether x, y, width and height, in percents or parts, make a box within the picture; false if any is missing."""
+    x, y, w, h = unit_box(*sides)
+    known = F.greatest(*[F.isnull(s) | F.isnan(s) for s in sides])
+    return F.coalesce(~known & (x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= 1) & (y + h <= 1), F.lit(False))
+
+
 def faded(confidence: Column, progress: Column) -> Column:
     """The confidence of a box that is kept though it was missed."""
     return confidence * F.greatest(F.lit(0.5), 1 - 0.5 * progress)

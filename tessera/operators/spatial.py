@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Thresholds
@@ -77,6 +77,39 @@ def renumbered(boxes: DataFrame, frames: int, limits: Thresholds = DEFAULT) -> D
     return near.groupBy(F.col("a_id").alias("id")).agg(F.max_by(F.struct(F.col("b_id").alias("prior_id"), "iou"), F.struct("iou", "b_frame_no", "b_id")).alias("r")).select("id", "r.*")
 
 
+def gate_hits(points: DataFrame, zones: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
+    """Points with every gate zone that holds them, corners in percents or parts."""
+    return points.join(zones, geometry.gate_contains(F.col(x), F.col(y), F.col("polygon")))
+
+
+def reidentified(hits: DataFrame, observed: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """id, prior_id, iou: hits that go on a session of another track instead of opening one.
+
+    hits (id, camera_id, zone_id, track_id, frame_no, seconds, x1 to y2 as parts of the picture) are boxes in a zone,
+    observed (camera_id, frame_no, track_id) all tracked boxes. A hit looks for a prior one if its track has none in the
+    zone less than `missing_seconds` before. Its prior is the last hit of another track in that camera and zone, less than
+    `missing_seconds` old, of a track that this frame does not show, and close by: the one of greatest overlap, of equals
+    that whose session opened last. Classes and labels do not matter.
+
+    Only ends of stretches can be priors and only openings look for one, so that few rows of each track are joined,
+    by bins of `missing_seconds`.
+    """
+    grace, side = limits.missing_seconds, ("x1", "y1", "x2", "y2")
+    track = Window.partitionBy("camera_id", "zone_id", "track_id").orderBy("frame_no", "id")
+    fresh = F.coalesce(F.col("seconds") - F.lag("seconds").over(track) >= grace, F.lit(True))
+    marked = hits.withColumns({"__fresh": fresh, "__next": F.lead("frame_no").over(track)})
+    opened = F.last(F.when(F.col("__fresh"), F.struct("seconds", "id")), ignorenulls=True).over(track)
+    marked = marked.withColumn("__opened", opened)
+    looking = marked.where("__fresh").select("camera_id", "zone_id", F.floor(F.col("seconds") / grace).alias("bin"), "id", "frame_no", "seconds", F.col("track_id").alias("own"), *[F.col(c).alias(f"a_{c}") for c in side])
+    at = F.floor(F.col("seconds") / grace)
+    ends = marked.where("__next IS NULL OR __next > frame_no + 1").select("camera_id", "zone_id", F.explode(F.array(at, at + 1)).alias("bin"), F.col("id").alias("prior_id"), "track_id", F.col("seconds").alias("then"), F.col("__next").alias("until"), F.col("__opened").alias("opened"), *[F.col(c).alias(f"b_{c}") for c in side])
+    one, two = geometry.box("a_"), geometry.box("b_")
+    pairs = looking.join(ends, ["camera_id", "zone_id", "bin"]).where((F.col("then") < F.col("seconds")) & (F.col("seconds") - F.col("then") < grace) & (F.col("own") != F.col("track_id")) & (F.col("until").isNull() | (F.col("until") > F.col("frame_no"))))
+    near = pairs.withColumn("iou", geometry.iou(one, two)).where((F.col("iou") >= limits.reid_iou) | (geometry.center_distance(one, two) <= limits.reid_distance))
+    gone = near.join(observed.select("camera_id", "frame_no", "track_id"), ["camera_id", "frame_no", "track_id"], "left_anti")
+    return gone.groupBy("id").agg(F.max_by(F.struct("prior_id", "iou"), F.struct("iou", "opened", "prior_id")).alias("r")).select("id", "r.*")
+
+
 def clip_frames(events: DataFrame, frames: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
     """Frames of the clip of each event, [ts - before, ts + after]; joined by bins of the clip's length."""
     width = int((limits.clip_before_seconds + limits.clip_after_seconds) * 1e6)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Thresholds
 from tessera.functions import geometry
+from tessera.functions.geometry import in_unit  # noqa: F401 (drawn points of editors)
 from tessera.operators import boxes, spatial, windows
 
 # Classes that are never suppressed for standing still.
@@ -60,12 +61,6 @@ def moved(polygon: Column, dx: Column, dy: Column) -> Column:
     return F.transform(polygon, lambda p: F.struct(within(p["x"] + x).alias("x"), within(p["y"] + y).alias("y")))
 
 
-def in_unit(point: Column) -> Column:
-    """A drawn point <x, y>, in percents if either is over 1, as parts of one."""
-    percent = (point["x"] > 1) | (point["y"] > 1)
-    return F.struct(F.when(percent, point["x"] / 100).otherwise(point["x"]).alias("x"), F.when(percent, point["y"] / 100).otherwise(point["y"]).alias("y"))
-
-
 def latest(rows: DataFrame, at: str, n: int, key: str = "id") -> DataFrame:
     """The last n of the rows, each key once (its first by time)."""
     once = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), at).alias("r")).select(key, "r.*")

@@ -133,6 +133,12 @@ VIEWS: dict[str, tuple[str, str]] = {
           CASE WHEN event_id % 11 = 5 AND event_id % 3 = 0 THEN ' Xe cẩu ' WHEN event_id % 11 = 5 AND event_id % 3 = 1 THEN 'Xe đạp' ELSE '' END AS label, event_id % 13 = 0 AS suppressed_static,
           CASE event_id % 3 WHEN 0 THEN 'ALLOW_SPECIFIED' WHEN 1 THEN 'PROHIBIT_SPECIFIED' ELSE 'OTHER' END AS rule_type FROM {{table}}""",
     ),
+    "media_files": (
+        "events",
+        """SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'clips' ELSE 'crops' END AS folder, event_id % 11 <> 0 AS is_file,
+          CASE event_id % 7 WHEN 0 THEN '.gitkeep' ELSE concat(CASE event_id % 7 WHEN 1 THEN 'area_' WHEN 2 THEN 'gate_clip_' WHEN 3 THEN 'gate_crop_' ELSE 'x' END, cast(event_id as string),
+            CASE event_id % 5 WHEN 0 THEN '.mp4' WHEN 1 THEN '.jpg' WHEN 2 THEN '.png' WHEN 3 THEN '.webm' ELSE '.txt' END) END AS name FROM {table}""",
+    ),
     "site_zones": (
         "supplier",
         """SELECT s_suppkey AS zone_id, concat('CAM-', cast(s_nationkey % 5 as string)) AS camera_id, concat(CASE WHEN s_suppkey % 3 = 0 THEN 'Lane ' ELSE 'Zone ' END, cast(s_suppkey as string)) AS name,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry, labels, plates
 from tessera.operators import boxes, dataset, events, mutations, reports, spatial, windows
-from tessera.plans import jobs, lists, measures, tracks, views  # noqa: F401 (their queries register themselves)
+from tessera.plans import jobs, lists, measures, media, tracks, views  # noqa: F401 (their queries register themselves)
 from tessera.plans.domain import ctes, view
 from tessera.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 

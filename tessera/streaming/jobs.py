@@ -18,9 +18,19 @@ def paced(frames: DataFrame, source_fps: float, target_fps: float) -> DataFrame:
     return frames.where(F.col("frame_no") % max(1, round(source_fps / target_fps)) == 0)
 
 
-def seek(frames: DataFrame, seconds: float, fps: float) -> DataFrame:
-    """Frames from a position on; a position before the start is the start."""
-    return frames.where(F.col("frame_no") >= round(max(0.0, seconds) * fps))
+def _frame_at(seconds: float, fps: float, duration: float | None) -> int:
+    """The frame at a position, which is moved to the start or the end if it lies before or after."""
+    return round(max(0.0, seconds if duration is None else min(seconds, duration)) * fps)
+
+
+def seek(frames: DataFrame, seconds: float, fps: float, duration: float | None = None) -> DataFrame:
+    """Frames from a position on."""
+    return frames.where(F.col("frame_no") >= _frame_at(seconds, fps, duration))
+
+
+def preview(frames: DataFrame, seconds: float, fps: float, duration: float | None = None) -> DataFrame:
+    """The one frame at a position; whoever reads on is not moved."""
+    return frames.where(F.col("frame_no") == _frame_at(seconds, fps, duration))
 
 
 def epochs(frames: DataFrame) -> DataFrame:
