@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import Table, shared_folder, written  # noqa: F401
+
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MULT, -1, 1 << 64)
@@ -33,56 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir).
-
-    Where the setting is absent a local master (tests on one machine) gets a folder below the warehouse; on a cluster
-    that is an error, since the driver's own disk is no shared folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-#: Bytes of an Arrow batch while an operator writes its own tables: texts lie in an executor and its Python workers at once.
-BATCH = 8 << 20
-
-
-@contextlib.contextmanager
-def _arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
-    """Arrow batches of at most `size` bytes for the jobs inside; the session's setting is as before afterwards."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-class Table:
-    """A table of an operator in the shared folder, with a way to drop it once all that reads it is written."""
-
-    def __init__(self, df: DataFrame):
-        self.path = shared_folder(df.sparkSession)
-        with _arrow_batches(df.sparkSession, BATCH):
-            df.write.parquet(self.path)
-        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        context = self.df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    return Table(df).df
-
-
 def split_join(many: DataFrame, few: DataFrame, key: str, parts: int = 16) -> DataFrame:
     """A left join on key, once in `few`, that deals the rows of one key in `many` to `parts` tasks."""
     dealt = few.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

@@ -517,12 +517,11 @@ def stable_track_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gate_emitted_events(spark: SparkSession, d: str) -> DataFrame:
-    from tessera.streaming.frames import gate_events
+    from tessera.streaming.runners import gate_told
 
     at = view(spark, d, "gate_events").select("id", "camera_id", (F.unix_micros("ts") / 1e6).alias("at"))
     reads = view(spark, d, "ocr_reads").withColumn("plate", plates.plate_format(F.col("text"))).join(at, "id").where("plate IS NOT NULL")
-    step = lambda _, rows: ({"track_id": t, "at": a, "plate": p, "confidence": c} for a, t, p, c in gate_events((r.at, r.track_id, r.plate, r.conf) for r in rows))
-    return _per_group(reads, "camera_id", ["at", "id"], "track_id long, at double, plate string, confidence double", step)
+    return gate_told(reads)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,42 @@ def _bare(plate: str) -> int:
     return len(plate.translate(str.maketrans("", "", " -.")))
 
 
+def _lead(votes: dict[str, tuple[int, float]]) -> str:
+    return max(votes, key=lambda p: (8.0 if 7 <= _bare(p) <= 9 else 4.0) + 2.5 * votes[p][1] + 0.4 * min(5, votes[p][0]))
+
+
+def plate_leads(reads: Iterable[tuple[int, float, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[int, float, float, str, float]]:
+    """(id, seconds, plate, confidence) of one track in the order of time -> (id, seconds, begin of the stay, plate that leads the vote, its confidence) of each read from the stay's first vote on."""
+    begin, last, votes = 0.0, None, {}
+    for read, at, plate, confidence in reads:
+        if last is None or at - last > limits.track_expiry_seconds:
+            begin, votes = at, {}
+        last = at
+        if _bare(plate) >= 6:
+            n, best = votes.get(plate, (0, 0.0))
+            votes[plate] = (n + 1, max(best, confidence))
+        if votes:
+            lead = _lead(votes)
+            yield read, at, begin, lead, votes[lead][1]
+
+
+def told_plates(leads: Iterable[tuple[float, int, float, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[float, int, str, float]]:
+    """(seconds, track, begin of its stay, plate, confidence) in the order of time -> events: once a stay, and not within the cooldown after the plate's last event."""
+    stays: dict[int, tuple[float, float]] = {}  # the stay that has been told, and the last read of it
+    told: dict[str, float] = {}
+    swept = None
+    for at, track, begin, plate, confidence in leads:
+        if swept is None or at - swept > limits.plate_cooldown_seconds:
+            stays = {k: v for k, v in stays.items() if at - v[1] <= limits.track_expiry_seconds}
+            told = {k: v for k, v in told.items() if at - v < limits.plate_cooldown_seconds}
+            swept = at
+        if track in stays and stays[track][0] == begin:
+            stays[track] = begin, at
+        elif plate not in told or at - told[plate] >= limits.plate_cooldown_seconds:
+            stays[track], told[plate] = (begin, at), at
+            yield at, track, plate, confidence
+
+
 def gate_events(reads: Iterable[tuple[float, int, str, float]], limits: Thresholds = DEFAULT) -> Iterator[tuple[float, int, str, float]]:
     """(seconds, track, plate, confidence) read at one camera in the order of time -> events.
 
@@ -142,7 +178,7 @@ def gate_events(reads: Iterable[tuple[float, int, str, float]], limits: Threshol
             n, best = votes.get(plate, (0, 0.0))
             votes[plate] = (n + 1, max(best, confidence))
         if votes and not own[2]:
-            lead = max(votes, key=lambda p: (8.0 if 7 <= _bare(p) <= 9 else 4.0) + 2.5 * votes[p][1] + 0.4 * min(5, votes[p][0]))
+            lead = _lead(votes)
             if lead not in told or at - told[lead] >= limits.plate_cooldown_seconds:
                 own[2], told[lead] = True, at
                 yield at, track, lead, votes[lead][1]

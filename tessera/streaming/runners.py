@@ -8,7 +8,8 @@ few sessions; batch runs stream through a camera's frames in time order with onl
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched, groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +21,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.config import DEFAULT, Thresholds
 from tessera.functions import geometry, labels
+from tessera.operators.components import components
+from tessera.operators.tables import written
+from tessera.streaming.frames import plate_leads, told_plates
 from tessera.streaming.zone_machine import Hit, Machine, Session, step
 
 TRANSITIONS = "action string, violation_id string, camera_id string, track_id int, zone_id string, object_label string, entered_at timestamp, status string, exited_at timestamp, duration_seconds int"
@@ -157,3 +161,49 @@ def stream_zone_transitions(hits: DataFrame, limits: Thresholds = DEFAULT) -> Da
     """Streaming: needs the RocksDB state store; frames of a micro-batch are put in time order. With a column `returned` (see
     sinks.with_returns) rows that hold a transition take it back before the frames of their batch."""
     return hits.groupBy("camera_id").transformWithStateInPandas(ZoneProcessor(limits), TRANSITIONS, "Append", "None")
+
+
+GATE_EVENTS = "track_id long, at double, plate string, confidence double"
+
+
+def _by_group(df: DataFrame, keys: list[str], order: list[str], schema: str, run: Callable[[tuple, Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Rows of run(key, rows after the key) for the rows of each key in order, streamed."""
+    made = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    k = len(keys)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out = (x for key, own in groupby(rows, key=lambda r: r[:k]) for x in run(key, (r[k:] for r in own)))
+        for some in batched(out, 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), made)], schema=made)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(whole, schema)
+
+
+def gate_told(reads: DataFrame, limits: Thresholds = DEFAULT) -> DataFrame:
+    """Batch: frames.gate_events of every camera, from reads (camera_id, track_id, id, at, plate, conf), at in seconds.
+
+    A track's votes need its own reads only. What ties stays to each other are plates in their cooldown: reads of one
+    leading plate without a gap of that length are an island, and a stay ties the islands of the plates that lead it
+    in turn. A stay is told at the latest at a read that begins an island, so its later reads are left out before that.
+    Stays tied so go through one task in the order of time, others apart. Reads without a camera, track or time are left out.
+    """
+    known = reads.dropna(subset=["camera_id", "track_id", "at"]).select("camera_id", "track_id", "id", "at", "plate", "conf")
+    votes = lambda key, own: ((*key, *r) for r in plate_leads(own, limits))
+    columns = "camera_id string, track_id long, id long, at double, begin double, plate string, conf double"
+    leads = _by_group(known, ["camera_id", "track_id"], ["at", "id"], columns, votes)
+    of_plate = Window.partitionBy("camera_id", "plate").orderBy("at", "id")
+    of_stay = Window.partitionBy("camera_id", "track_id", "begin")
+    begins = F.coalesce(F.col("at") - F.lag("at").over(of_plate) >= limits.plate_cooldown_seconds, F.lit(True))
+    before = F.max("__begins").over(of_stay.orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1))
+    still = leads.withColumn("__begins", begins).withColumn("__told", F.coalesce(before, F.lit(False))).where("NOT __told")
+    since = F.max(F.when(begins, F.col("at"))).over(of_plate.rowsBetween(Window.unboundedPreceding, 0))
+    still = still.drop("__begins", "__told").withColumn("__since", since)
+    # Two islands of one number only go through one task.
+    still = still.withColumn("island", F.xxhash64("camera_id", "plate", "__since")).drop("__since")
+    still = written(still.withColumn("first", F.min("island").over(of_stay)))
+    ties = still.where("island != first").select(F.col("island").alias("a"), F.col("first").alias("b"))
+    tied = still.join(components(ties).withColumnRenamed("node", "island"), "island", "left")
+    rows = tied.select("camera_id", F.coalesce("root", "island").alias("root"), "at", "track_id", "begin", "plate", "conf", "id")
+    told = lambda key, own: ((t, a, p, c) for a, t, p, c in told_plates((r[:5] for r in own), limits))
+    return _by_group(rows, ["camera_id", "root"], ["at", "id"], GATE_EVENTS, told)

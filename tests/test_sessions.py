@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.config import Thresholds
 from tessera.streaming import frames
@@ -108,3 +109,30 @@ def test_batch_and_stream_agree(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*zone_transitions(df).columns).collect()), key=str) == batch
     assert len(batch) == 12
+
+
+def test_gate_events_of_one_camera_run_apart(spark):
+    """Dense reads (few plates, stays of several plates, reads at one time) are told as by one loop for each camera, in several tasks."""
+    import random
+
+    from tessera.streaming.runners import gate_told
+
+    draw = random.Random(5)
+    names = [f"15A-{k:05d}" for k in range(60)] + ["15A-7", "AB12CD", "XA02MN0001"]
+    rows = []
+    for k in range(6000):
+        track = draw.randrange(120)
+        at = round(float(draw.choice([draw.random() * 9000, draw.randrange(9000), 8000 + draw.random() * 60])), 1)
+        rows.append((draw.choice("PQ"), track, k, at, names[(track + draw.choice([0, 0, 0, 7])) % len(names)], draw.randrange(100) / 100))
+    want = [e for c in "PQ" for e in frames.gate_events((r[3], r[1], r[4], r[5]) for r in sorted(rows, key=lambda r: (r[3], r[2])) if r[0] == c)]
+    lost = [("P", None, 9001, 5.0, names[0], 0.5), ("P", 3, 9002, None, names[0], 0.5), (None, 3, 9003, 5.0, names[0], 0.5)]
+    df = spark.createDataFrame(rows + lost, "camera_id string, track_id long, id long, at double, plate string, conf double")
+    got = gate_told(df).withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.at, r.track_id, r.plate, r.confidence) for r in got) == sorted(want)
+    assert len(want) < 6000 and len({r.task for r in got}) > 2
+    assert gate_told(df.limit(0)).count() == 0
