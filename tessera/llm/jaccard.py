@@ -227,20 +227,24 @@ def _tying(frequent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ties within the task (class, other) and rows (shingle, n, class) for those over tasks."""
         for shingle, n, group, _, _ in _held(batches, frequent.value, lambda n: n // 4 + 1):
-            shingle, n, group, opens = _spread(shingle, n, group)
-            pairs = _ties(group, opens)
-            if len(pairs):
-                yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_TYING)
-            # Of sets within a factor of 4 / 3 in size, the least and the largest stand for those between.
-            step = np.floor(np.log(n) / np.log(4 / 3))
-            starts = opens.copy()
-            starts[1:] |= step[1:] != step[:-1]
-            on = starts | np.append(starts[1:], True)
-            yield pa.record_batch([pa.array(shingle[on]), pa.array(n[on]), pa.array(group[on]), pa.nulls(int(on.sum()), pa.int64())], names=_TYING)
+            yield from _handed_on(shingle, n, group)
 
     return run
 
 
+def _handed_on(shingle: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    shingle, n, group, opens = _spread(shingle, n, group)
+    pairs = _ties(group, opens)
+    if len(pairs):
+        yield pa.record_batch([pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=_TYING)
+    # Of sets within a factor of 4 / 3 in size, the least and the largest stand for those between.
+    step = np.floor(np.log(n) / np.log(4 / 3))
+    starts = opens.copy()
+    starts[1:] |= step[1:] != step[:-1]
+    on = starts | np.append(starts[1:], True)
+    yield pa.record_batch([pa.array(shingle[on]), pa.array(n[on]), pa.array(group[on]), pa.nulls(int(on.sum()), pa.int64())], names=_TYING)
+
+
 _TYING = ["shingle", "n", "class", "other"]
 
 
@@ -261,6 +265,101 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _of_classes(frequent):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All plain shingles (shingle, class), one row (class, n, quota) for each class, and what _tying gives of the frequent shingles that begin a class."""
+        for key, n, group, n_all, classes in _held(batches, frequent.value, lambda n: n):
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+            place = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+            plain = key >= 0
+            own = np.add.reduceat(plain.astype(np.int64), first) if len(first) else first
+            none = lambda k: pa.nulls(k, pa.int64())
+            yield pa.record_batch([pa.array(key[plain]), none(int(plain.sum())), pa.array(group[plain]), none(int(plain.sum())), none(int(plain.sum()))], names=_ROWS)
+            yield pa.record_batch([none(len(first)), pa.array(n[first]), pa.array(group[first]), none(len(first)), pa.array(n[first] // 4 + 1 - own)], names=_ROWS)
+            on = ~plain & (place < n // 4 + 1)
+            for made in _handed_on(key[on], n[on], group[on]) if on.any() else ():
+                # This quota tells these rows from the others.
+                yield pa.record_batch([*made.columns, pa.array(np.full(made.num_rows, -(1 << 40)))], names=_ROWS)
+
+    return run
+
+
+_ROWS = [*_TYING, "quota"]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, shingle, count of the shingles in two classes or more, from rows (shingle, class) in order."""
+    left = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def counted(shingle: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1]))
+        shingle, group = shingle[fresh], group[fresh]
+        first = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        size = np.diff(np.append(first, len(shingle)))
+        count = np.repeat(size, size)
+        on = count >= 2
+        return pa.record_batch([pa.array(group[on]), pa.array(shingle[on]), pa.array(count[on])], names=["class", "shingle", "count"])
+
+    for batch in batches:
+        shingle, group = (np.concatenate([a, c.to_numpy()]) for a, c in zip(left, batch.columns))
+        if len(shingle):
+            cut = int(np.searchsorted(shingle, shingle[-1]))
+            if cut:
+                yield counted(shingle[:cut], group[:cut])
+            left = shingle[cut:], group[cut:]
+    if len(left[0]):
+        yield counted(*left)
+
+
+def _begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n, class) of what begins a class in the order of counts, from rows (class, count, shingle, n, quota) in order, those without a count first."""
+    left: pa.RecordBatch | None = None
+
+    def begun(rows: pa.RecordBatch) -> pa.RecordBatch:
+        group, n, quota = rows.column(0).to_numpy(), *(c.fill_null(0).to_numpy() for c in rows.columns[3:])
+        head = rows.column(1).is_null().to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        size = np.diff(np.append(first, len(group)))
+        heads = np.add.reduceat(head.astype(np.int64), first)
+        place = np.arange(len(group)) - np.repeat(first + heads, size)
+        # Shingles of this class only come before all that it shares.
+        on = ~head & (place < np.repeat(size - heads + quota[first], size))
+        return pa.record_batch([rows.column(2).filter(pa.array(on)), pa.array(np.repeat(n[first], size)[on]), pa.array(group[on])], names=_TYING[:3])
+
+    for batch in batches:
+        rows = batch if left is None else pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+        if rows.num_rows:
+            cut = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+            if cut:
+                yield begun(rows.slice(0, cut))
+            left = rows.slice(cut)
+    if left is not None and left.num_rows:
+        yield begun(left)
+
+
+def _narrower(texts: DataFrame) -> DataFrame:
+    """node, root of the groups that texts (class, text) fall into when all their shingles are in the order of exact counts.
+
+    The table of frequent shingles is bounded, so in a large corpus many that are common stand among the rare ones in the
+    order of hashes, and tie unlike texts to groups that grow faster than the corpus. Here every shingle that is not in the table is
+    counted by a shuffle (its rows are few, as the commoner ones are in the table), and a class is tied by its rarest ones only.
+    """
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+    rows = Table(texts.mapInArrow(tidy(_of_classes(frequent)), "shingle long, n long, class long, other long, quota long"))
+    plain = rows.df.where("quota IS NULL").select("shingle", "class")
+    shared = plain.repartition("shingle").sortWithinPartitions("shingle", "class").mapInArrow(tidy(_repeated), "class long, shingle long, count long")
+    heads = rows.df.where(f"quota > {-(1 << 40)}").select("class", F.lit(None).cast("long").alias("count"), "shingle", "n", "quota")
+    none = F.lit(None).cast("long")
+    of_class = heads.unionByName(shared.select("class", "count", "shingle", none.alias("n"), none.alias("quota")))
+    begun = of_class.repartition("class").sortWithinPartitions("class", F.col("count").asc_nulls_first(), "shingle").mapInArrow(tidy(_begin), "shingle long, n long, class long")
+    handed = rows.df.where(f"quota = {-(1 << 40)}")
+    order = ["shingle", "n", "class"]
+    across = begun.unionByName(handed.where("other IS NULL").select(*order)).repartition("shingle").sortWithinPartitions(*order).mapInArrow(tidy(_tied), "a long, b long")
+    out = components(handed.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
+    rows.drop()
+    return out
+
+
 class PrefixTree:
     """Sets in lexicographic order as a trie with runs of shingles as nodes, kept by levels."""
 
@@ -497,8 +596,20 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     across = tying.df.where("other IS NULL").select(*order).repartition("shingle").sortWithinPartitions(*order).mapInArrow(tidy(_tied), "a long, b long")
     groups = components(tying.df.where("other IS NOT NULL").select(F.col("class").alias("a"), F.col("other").alias("b")).union(across))
     tying.drop()
-    sized = groups.withColumnRenamed("node", "class").join(of_docs.where("class != 0").groupBy("class").agg(F.max("n").alias("n")), "class")
-    sizes = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select("root", _blocks().alias("blocks"))
+    n_of = of_docs.where("class != 0").groupBy("class").agg(F.max("n").alias("n"))
+
+    def sizes_of(groups: DataFrame) -> DataFrame:
+        sized = groups.withColumnRenamed("node", "class").join(n_of, "class")
+        return sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).select("root", _blocks().alias("blocks"))
+
+    sizes = written(sizes_of(groups))
+    if not sizes.where("blocks > 1").isEmpty():
+        # What ties a group that takes several trees is looked at anew.
+        loose = Table(texts.join(groups.join(sizes.where("blocks > 1"), "root").select(F.col("node").alias("class")), "class").select("class", "text"))
+        groups = groups.join(sizes.where("blocks = 1").select("root"), "root").select("node", "root").union(_narrower(loose.df).select("node", "root"))
+        groups = written(groups)
+        loose.drop()
+        sizes = sizes_of(groups)
     placed = written(groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     one = texts.join(placed.where("blocks = 1"), "class").select("*", F.lit(0).alias("walkers"), F.lit(True).alias("walks"))
     links = _of_trees(one, frequent)

@@ -352,6 +352,20 @@ def test_jaccard(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_jaccard_passages_of_unlike_texts(spark, monkeypatch):
+    """Passages that tie unlike texts in a long chain leave no large group, even if few shingles are known as frequent."""
+    from tessera.llm import jaccard
+
+    passage = lambda k: " ".join(f"p{k}x{i}" for i in range(50))
+    texts = [" ".join([passage(k), *(f"t{k}x{i}" for i in range(120)), passage(k + 1)]) for k in range(48)]
+    texts += [texts[3].replace("t3x60 ", "changed "), texts[9] + " more", texts[9] + " other"]
+    monkeypatch.setattr(jaccard, "FREQUENT", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "_of_large_groups", None)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == {k: {48: 3, 49: 9, 50: 9}.get(k, k) for k in range(51)}
+
+
 def test_jaccard_near_copies(spark, monkeypatch):
     from tessera.llm import jaccard
 
