@@ -10,7 +10,8 @@
    that share one of their first n // 4 + 1 shingles, and have sizes that a link allows, are tied; each task ties its
    own classes first and hands on two for each shingle and size step, so that no shingle gathers many more rows than
    there are tasks. The components of these ties part the classes into groups that no link crosses. Any order gives
-   the same links; this one keeps common passages from tying unlike texts.
+   the same links; this one keeps common passages from tying unlike texts. Groups of several trees are tied anew with
+   the shingles outside the table in the order of exact counts.
 4. The sets of a group are stored in a prefix tree (a trie with runs of shingles as nodes). A set walks through it
    level by level: overlaps with a shared run are counted once for all sets below, subtrees whose sizes or remaining
    lengths cannot reach the overlap that a link needs are left, and so are sets of the walker's own component.
