@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.tables import Table, shared_folder, written  # noqa: F401
@@ -19,6 +19,9 @@ _INV = pow(_MULT, -1, 1 << 64)
 BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
+#: Most keys that `likely` makes a filter of: 64 MB at most.
+LIKELY = 1 << 24
+
 #: `[\x20\x09-\x0D]` separates words.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,6 +44,38 @@ def split_join(many: DataFrame, few: DataFrame, key: str, parts: int = 16) -> Da
     return many.withColumn("__part", own).join(dealt, [key, "__part"], "left").drop("__part")
 
 
+def likely(keys: DataFrame, key: str) -> Column:
+    """Whether a row's `key` (a number) may be among those of `keys`: always if it is, else of some 70 rows for one.
+
+    Joins that few rows of a wide table meet are asked this first, so that the others are not shuffled. The answer is a
+    Bloom filter (16 to 32 bits a key, two of them set) that all tasks are sent; of more than LIKELY keys it is yes. `keys`
+    is read twice. A null is a key like others.
+    """
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    hashes = keys.select(hashed.alias("h")).distinct()
+    n = hashes.count()
+    if n > LIKELY:
+        return F.lit(True)
+    words = 1 << max(4, (n // 4).bit_length())
+    # One bit by the lower half of the hash, one by the upper half.
+    bit = F.explode(F.array(F.col("h").bitwiseAND(F.lit(64 * words - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(64 * words - 1)))).alias("bit")
+    rows = hashes.select(bit).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
+    made = np.zeros(words, U64)
+    made[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(U64)
+    table = keys.sparkSession.sparkContext.broadcast(made)
+
+    @F.arrow_udf("boolean")
+    def may(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).view(U64)
+        out = np.ones(len(h), bool)
+        for half in (h, h >> U64(32)):
+            at = half & U64(64 * len(table.value) - 1)
+            out &= (table.value[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)
+        return pa.array(out)
+
+    return may(hashed)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

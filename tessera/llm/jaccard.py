@@ -1,11 +1,11 @@
 """N-gram Jaccard join by prefix trees: which texts share at least THRESHOLD of their word n-grams.
 
 1. Every text becomes the set of its distinct 5-word shingles, in the order of their hashes. Equal sets are one class.
-2. Two linked sets of n and m shingles have their first min(n, m) // 16 + 1 common shingles among the first
-   n // 4 + n // 16 + 1 of the one and as many, by m, of the other. So a class can only have a link if enough of the
+2. Two linked sets of n and m shingles have their first min(n, m) // 8 + 1 common shingles among the first
+   n // 4 + n // 8 + 1 of the one and as many, by m, of the other. So a class can only have a link if enough of the
    shingles at its beginning stand at the beginning of other classes too. Each task looks among its own classes first
-   and hands on one class for each shingle; those shingles are the one large shuffle.
-3. The texts of the classes that are left are gathered, and their sets ordered anew: plain shingles by hash, then the
+   and hands on one class for each shingle; those shingles, in ten bytes each, are the one large shuffle.
+3. The texts of the classes that are left are gathered (the others, told by a Bloom filter, are not shuffled), and their sets ordered anew: plain shingles by hash, then the
    frequent ones (a table of at most FREQUENT, counted over all these texts) from the rarer to the commoner. Classes
    that share one of their first n // 4 + 1 shingles, and have sizes that a link allows, are tied; each task ties its
    own classes first and hands on two for each shingle and size step, so that no shingle gathers many more rows than
@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Table, U64, Words, mix, slices, split_join, tidy, written
+from tessera.llm.common import Table, U64, Words, likely, mix, slices, split_join, tidy, written
 from tessera.llm.components import components
 
 N = 5
+#: A class needs one in MORE of its shingles, besides its first quarter and as many more, to be shared. Powers of two that shingles are dealt out by.
+MORE, BUCKETS = 8, 1 << 12
 #: Most shingles in the table of frequent ones (8 bytes each, broadcast).
 FREQUENT = 1 << 16
 #: Shingles that a task looks at together (some 100 bytes each while it sorts them).
@@ -172,55 +174,81 @@ def _held(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, length, colum
 
 def least_shared(n: np.ndarray) -> np.ndarray:
     """Shingles that a linked set of n shares with the other at both beginnings: the other has 3 * n / 4 or more."""
-    return (3 * n + 3) // 4 // 16 + 1
+    return (3 * n + 3) // 4 // MORE + 1
 
 
 def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, class) once for each shingle of a task, to be looked up elsewhere; (null, class, need, count) of those shared within the task."""
-    for shingle, _, group, n_all, all_classes in _held(batches, np.zeros((2, 0), U64), lambda n: n // 4 + n // 16 + 1):
+    """(bucket, packed rows) with each shingle of a task once, to be looked up elsewhere; (class, need, count) of those shared within the task.
+
+    A packed row is 40 more bits of the shingle, and 39 of the class with one that says whether the task has other classes
+    of this shingle. Shingles or classes that these bits do not tell apart only leave more classes.
+    """
+    for shingle, _, group, n_all, all_classes in _held(batches, np.zeros((2, 0), U64), lambda n: n // 4 + n // MORE + 1):
         order = np.lexsort((group, shingle))
         shingle, group = shingle[order], group[order]
         first = np.append(True, shingle[1:] != shingle[:-1]) if len(shingle) else np.zeros(0, bool)
         alone = first & np.append(first[1:], True) if len(shingle) else first
         by = np.argsort(all_classes)
-        count = np.bincount(by[np.searchsorted(all_classes[by], group[~alone])], minlength=len(all_classes))
-        yield pa.record_batch([pa.array(shingle[first]), pa.array(group[first]), pa.nulls(int(first.sum()), pa.int64()), pa.nulls(int(first.sum()), pa.int64())], names=_BEGUN)
-        yield pa.record_batch([pa.nulls(len(count), pa.int64()), pa.array(all_classes), pa.array(least_shared(n_all)), pa.array(count.astype(np.int64))], names=_BEGUN)
+        count = np.bincount(by[np.searchsorted(all_classes[by], group[~first])], minlength=len(all_classes))
+        bucket, rest = shingle[first] & (BUCKETS - 1), shingle[first] // BUCKETS
+        by = np.argsort(bucket, kind="stable")
+        bucket = bucket[by]
+        packed = np.empty((len(by), 10), np.uint8)
+        for at, x in ((0, rest), (5, _short(group[first]) * 2 + ~alone[first])):
+            packed[:, at : at + 5] = x[by].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        offsets = (np.append(start, len(bucket)) * 10).astype(np.int32)
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+        yield pa.record_batch([pa.array(bucket[start]), data, *[pa.nulls(len(start), pa.int64())] * 3], names=_BEGUN)
+        yield pa.record_batch([pa.nulls(len(count), pa.int64()), pa.nulls(len(count), pa.binary()), pa.array(_short(all_classes)), pa.array(least_shared(n_all)), pa.array(count.astype(np.int64))], names=_BEGUN)
 
 
-_BEGUN = ["shingle", "class", "need", "count"]
+_BEGUN = ["bucket", "packed", "class", "need", "count"]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts from rows in the order of shingle and class: a shingle counts for its classes if it has two or more."""
-    left: tuple[np.ndarray, ...] | None = None
+def _short(group: np.ndarray) -> np.ndarray:
+    return group & ((1 << 39) - 1)
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all packed rows the shingle's 40 bits, the class and flag, and the number of the value they are in."""
+    at = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    raw = np.frombuffer(packed.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, 10)
+    wide = np.zeros((2, len(raw), 8), np.uint8)
+    wide[0, :, :5], wide[1, :, :5] = raw[:, :5], raw[:, 5:]
+    rest, own = wide.view("<i8")[:, :, 0]
+    return rest, own, np.repeat(np.arange(len(packed)), np.diff(at) // 10)
 
-    def counted(shingle: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        fresh = np.append(True, (shingle[1:] != shingle[:-1]) | (group[1:] != group[:-1]))
-        shingle, group = shingle[fresh], group[fresh]
-        same = shingle[1:] == shingle[:-1]
-        classes, count = np.unique(group[np.append(False, same) | np.append(same, False)], return_counts=True)
-        return pa.record_batch([pa.array(classes), pa.nulls(len(classes), pa.int64()), pa.array(count)], names=_BEGUN[1:])
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts from rows in the order of buckets: a shingle counts for its classes if it has two or more, here or in one's task."""
+    left = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def counted(bucket: np.ndarray, rest: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((own, rest, bucket))
+        bucket, rest, own = bucket[order], rest[order], own[order]
+        same = (bucket[1:] == bucket[:-1]) & (rest[1:] == rest[:-1])
+        # Of rows of one shingle and class the last one has the flag if any has it.
+        last = np.append(~(same & (own[1:] // 2 == own[:-1] // 2)), True)
+        bucket, rest, own = bucket[last], rest[last], own[last]
+        same = (bucket[1:] == bucket[:-1]) & (rest[1:] == rest[:-1])
+        classes, count = np.unique(own[np.append(False, same) | np.append(same, False) | (own % 2 == 1)] // 2, return_counts=True)
+        return pa.record_batch([pa.array(classes), pa.nulls(len(classes), pa.int64()), pa.array(count)], names=_BEGUN[2:])
 
     for batch in batches:
         own = batch.filter(batch.column(0).is_valid())
         rest = batch.filter(batch.column(0).is_null())
         if rest.num_rows:
-            yield rest.select([1, 2, 3])
-        shingle, group = (own.column(k).to_numpy() for k in (0, 1))
-        if left is not None:
-            shingle, group = np.concatenate([left[0], shingle]), np.concatenate([left[1], group])
-        if len(shingle):
-            # A shingle that goes on in the next batch is kept back; of a very long run its last two classes do.
-            cut = int(np.searchsorted(shingle, shingle[-1]))
-            if len(shingle) - cut > 200_000:
-                yield counted(shingle, group)
-                left = shingle[-1:], group[-1:]
-            else:
-                if cut:
-                    yield counted(shingle[:cut], group[:cut])
-                left = shingle[cut:], group[cut:]
-    if left is not None and len(left[0]):
+            yield rest.select([2, 3, 4])
+        if own.num_rows:
+            shingle, group, at = _unpacked(own.column(1))
+            rows = [np.concatenate(x) for x in zip(left, (own.column(0).to_numpy()[at], shingle, group))]
+            # A bucket that goes on in the next batch is kept back.
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            if cut:
+                yield counted(*(x[:cut] for x in rows))
+            left = tuple(x[cut:] for x in rows)
+    if len(left[0]):
         yield counted(*left)
 
 
@@ -582,14 +610,17 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, itself included."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     of_docs = written(docs.mapInArrow(tidy(_named), "doc_id long, n long, class long"))
-    begun = docs.mapInArrow(tidy(_begun), "shingle long, class long, need long, count long")
-    # Rows without a shingle are counts already; any partition will do for them.
-    dealt_to = F.coalesce("shingle", "class")
-    counts = begun.repartition(dealt_to).sortWithinPartitions("shingle", "class").mapInArrow(tidy(_shared), "class long, need long, count long")
-    left = counts.groupBy("class").agg(F.max("need").alias("need"), F.sum("count").alias("count")).where("count >= need").select("class")
-    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(left, "class")
+    begun = docs.mapInArrow(tidy(_begun), "bucket long, packed binary, class long, need long, count long")
+    # Rows without a bucket are counts already; any partition will do for them.
+    dealt_to = F.coalesce("bucket", "class")
+    counts = begun.repartition(dealt_to).sortWithinPartitions("bucket").mapInArrow(tidy(_shared), "class long, need long, count long")
+    # Classes that are one in these bits need what the least of them needs.
+    left = counts.groupBy("class").agg(F.min("need").alias("need"), F.sum("count").alias("count")).where("count >= need").select(F.col("class").alias("short"))
+    holders = of_docs.where("class != 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("short", F.col("class").bitwiseAND(F.lit((1 << 39) - 1)))
+    holders = Table(holders.join(left, "short").drop("short"))
     # One text stands for a class; the other rows of its id, if any, have another class.
-    kept = Table(docs.join(holders, "doc_id").select("class", "n", "text"))
+    kept = Table(docs.where(likely(holders.df, "doc_id")).join(holders.df, "doc_id").select("class", "n", "text"))
+    holders.drop()
     texts = kept.df
     frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(texts.select("class", "text")))
     tying = Table(texts.select("class", "text").mapInArrow(tidy(_tying(frequent)), "shingle long, n long, class long, other long"))
@@ -606,21 +637,22 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sizes = written(sizes_of(groups))
     if not sizes.where("blocks > 1").isEmpty():
         # What ties a group that takes several trees is looked at anew.
-        loose = Table(texts.join(groups.join(sizes.where("blocks > 1"), "root").select(F.col("node").alias("class")), "class").select("class", "text"))
+        wide = written(groups.join(sizes.where("blocks > 1"), "root").select(F.col("node").alias("class")))
+        loose = Table(texts.where(likely(wide, "class")).join(wide, "class").select("class", "text"))
         groups = groups.join(sizes.where("blocks = 1").select("root"), "root").select("node", "root").union(_narrower(loose.df).select("node", "root"))
         groups = written(groups)
         loose.drop()
         sizes = sizes_of(groups)
     placed = written(groups.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("group"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
-    one = texts.join(placed.where("blocks = 1"), "class").select("*", F.lit(0).alias("walkers"), F.lit(True).alias("walks"))
+    one = texts.where(likely(placed.where("blocks = 1"), "class")).join(placed.where("blocks = 1"), "class").select("*", F.lit(0).alias("walkers"), F.lit(True).alias("walks"))
     links = _of_trees(one, frequent)
     few, several = placed.where(F.col("blocks").between(2, PAIRED)), placed.where(F.col("blocks") > PAIRED)
     if not few.isEmpty():
-        pairs = texts.join(few, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = texts.where(likely(few, "class")).join(few, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         pairs = pairs.withColumns({"block": F.least("block", "other"), "walkers": F.greatest("block", "other"), "walks": F.lit(True)})
         links = links.union(_of_trees(pairs, frequent))
     if not several.isEmpty():
-        large = Table(texts.join(several, "class"))
+        large = Table(texts.where(likely(several, "class")).join(several, "class"))
         links = links.union(_of_large_groups(large.df, frequent))
         large.drop()
     kept.drop()

@@ -464,3 +464,34 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in out} <= {r.doc_id for r in kept.collect()} and len(out) > 100
     assert all(len(r.ids) == 4 * r.length for r in out)
+
+
+def test_likely(spark):
+    from tessera.llm import common
+
+    keys = spark.range(0, 3000, 3).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    rows = keys.union(spark.range(1, 30001, 3))
+    found = [r.id for r in rows.where(common.likely(keys, "id")).collect()]
+    assert {None, *range(0, 3000, 3)} <= set(found) and len(found) < 1001 + 500
+    assert spark.range(5).where(common.likely(keys.where("id < 0"), "id")).count() == 0
+
+
+def test_shingles_are_handed_on_in_ten_bytes():
+    import pyarrow as pa
+
+    from tessera.llm import jaccard
+
+    texts = [" ".join(f"a{i}" for i in range(204)), " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(204))]
+    tasks = [[texts[0], texts[1]], [texts[2]], [texts[2] + " x"]]
+    rows = [b for own in tasks for b in jaccard._begun(iter([pa.record_batch([pa.array(range(len(own))), pa.array(own)], names=["doc_id", "text"])]))]
+    table = pa.Table.from_batches(rows)
+    begin = lambda t: (x := jaccard.Sets(pa.array([t]), np.zeros((2, 0), np.uint64))).key[: x.n[0] // 4 + x.n[0] // 8 + 1].tolist()
+    assert sum(len(x.as_py() or b"") for x in table["packed"]) == 10 * sum(len({s for t in own for s in begin(t)}) for own in tasks)
+    total = collections.Counter()
+    for b in jaccard._shared(iter(table.sort_by("bucket").combine_chunks().to_batches())):
+        for group, _, count in zip(*(c.to_pylist() for c in b.columns)):
+            total[group] += count
+    classes = jaccard._short(jaccard.Sets(pa.array([texts[0], texts[1], texts[2], tasks[2][0]]), np.zeros((2, 0), np.uint64)).classes()).tolist()
+    begins = [set(begin(t)) for t in (texts[0], texts[1], texts[2], tasks[2][0])]
+    # A shingle that a class shares is counted once for it, not by its task and again over all.
+    assert [total[c] for c in classes] == [len(begins[k] & begins[k ^ 1]) for k in range(4)]
