@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Table, table
+from tessera.llm.common import Table, likely, table, written
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.packing import pack
 from tessera.llm.pii import find_pii
@@ -25,8 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least doc_id stays, once: rows of one doc_id (or none) and one text are one."""
-    more = jaccard_components(docs).where("doc_id != component_id").select("doc_id")
-    return docs.join(more, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    more = written(jaccard_components(docs).where("doc_id != component_id").select("doc_id"))
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    # Rows that are alone with their id and linked to no lesser one stay as they are, without a shuffle.
+    may = likely(written(more.union(again)), "doc_id")
+    looked_at = docs.where(may).join(more, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    return docs.where(~may).unionByName(looked_at)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Table, Words, mix, slices, split_join, tidy, written
+from tessera.llm.common import U64, Table, Words, likely, mix, slices, split_join, tidy, written
 
 K, WINDOW = 25, 26
 PASSAGE = K + WINDOW - 1
@@ -271,7 +271,10 @@ def cut_repeats(df: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
     own = lambda name: name + "_" * max(map(len, df.columns))  # noqa: E731 (longer than any column)
     at, found = own("id"), own("spans")
     spans = passages.where("is_repeat").groupBy(F.col("doc_id").alias(at)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(found))
-    joined = df.join(spans, F.col(doc_id).eqNullSafe(F.col(at)), "left")
+    spans = written(spans)
+    # Texts without a repeat are not shuffled.
+    may = likely(spans.select(F.col(at).alias(doc_id)), doc_id)
+    joined = df.where(may).join(spans, F.col(doc_id).eqNullSafe(F.col(at)), "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):  # noqa: ANN001, ANN202
@@ -291,7 +294,7 @@ def cut_repeats(df: DataFrame, passages: DataFrame, doc_id: str = "doc_id", text
     touched = F.col(found).isNotNull()
     whole, parted = joined.where(~touched), joined.where(touched).withColumn(text, cut(F.col(text), F.col(found)))
     parted = parted.where(F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    return whole.unionByName(parted).drop(at, found)
+    return whole.unionByName(parted).drop(at, found).unionByName(df.where(~may))
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,7 +303,7 @@ def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     A row is a document of its own unless another one has the same id and text. Of the texts of one id (or of no id)
     the one of least hash keeps its place in the order of documents, the others come after all ids. All columns stay.
     """
-    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"))
+    packed = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("rest"))
     shared = packed.groupBy("id").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead <> last").select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "lead")
     shared = Table(shared)
     rows = packed

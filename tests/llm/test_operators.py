@@ -476,6 +476,40 @@ def test_likely(spark):
     assert spark.range(5).where(common.likely(keys.where("id < 0"), "id")).count() == 0
 
 
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """The last steps of repeats and near copies, and the gathering of texts that may have links, as in large tables (no broadcast)."""
+    import corpus_pipeline
+    from tessera.llm.jaccard import jaccard_components
+    from tessera.llm.repeats import without_repeats
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000)) + f" {k}" for k in range(300)]
+    own = [" ".join(f"r{k}x{i}" for i in range(120)) for k in range(4)]
+    rows = [*enumerate(texts + own), (400, own[1] + " more"), (401, own[2])]
+    size = sum(len(t) for _, t in rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        for step, expected in ((without_repeats, {400: "more", 401: None}), (lambda df: corpus_pipeline.near_copies(spark, df, DATA), {400: None, 401: None})):
+            at = shuffled(spark)
+            got = {r.doc_id: r.text for r in step(df).collect()}
+            assert shuffled(spark) - at < size / 3
+            assert got == {k: t for k, t in (dict(rows) | expected).items() if t is not None}
+        at = shuffled(spark)
+        assert {r.doc_id for r in jaccard_components(df).where("component_id != doc_id").collect()} == {400, 401}
+        assert shuffled(spark) - at < size / 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_shingles_are_handed_on_in_ten_bytes():
     import pyarrow as pa
 
