@@ -42,10 +42,11 @@ def _arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
 class Table:
     """A table of an operator in the shared folder, with a way to drop it once all that reads it is written."""
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, rows: int = 0):
+        """rows: of a file at most, for rows of many MB, which a writer holds until its file is done (0: any number)."""
         self.path = shared_folder(df.sparkSession)
         with _arrow_batches(df.sparkSession, BATCH):
-            df.write.parquet(self.path)
+            df.write.option("maxRecordsPerFile", rows).parquet(self.path)
         self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -54,6 +55,6 @@ class Table:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    return Table(df).df
+def written(df: DataFrame, rows: int = 0) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors. rows: see Table."""
+    return Table(df, rows).df

@@ -402,6 +402,20 @@ def test_search(spark, docs, none):
     assert top_k(none, build_index(docs)).count() == 0 and top_k(docs, build_index(none)).count() == 0
 
 
+def test_search_in_few_shards_and_several_packs(spark, monkeypatch):
+    """The parts of an input do not make shards of their own, nor rows for each of them; packs of queries give what one gives."""
+    from tessera.llm import search
+
+    few = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(200).localCheckpoint()
+    many = few.repartition(50)
+    index = search.build_index(many)
+    assert index.count() <= search._tasks(many) < 50
+    rows = lambda: {tuple(r) for r in search.top_k(few.where("doc_id % 5 = 0"), index, k=4).collect()}
+    whole = rows()
+    monkeypatch.setattr(search, "PACK", 7)
+    assert rows() == whole and len(whole) > 100
+
+
 def test_pieces(docs, none):
     from tessera.llm.pieces import decode_pieces, encode_pieces
 

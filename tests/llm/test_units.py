@@ -368,3 +368,56 @@ def test_held_suffixes_beyond_the_bound_are_left_open(monkeypatch):
         closed = sum(k is None for k in out["key"])
         assert all(n == (key == k).sum() for k, n in found.items()) and {1, 6} <= set(found)
         assert closed == sum((key == k).sum() for k in range(1, 7) if k not in found and (key == k).sum() > 1)
+
+
+def test_shards_carry_the_best_scores_on(monkeypatch):
+    """Many queries at once against shards in a row, each told the k-th best scores of those before, and plain scores of all texts."""
+    import math
+    import types
+    from collections import Counter
+
+    import pyspark
+
+    from tessera.llm import search
+
+    monkeypatch.setattr(pyspark, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 1)))
+    rng, k = np.random.default_rng(11), 3
+    words = [[f"{kind}{x}" for x in range(300)] for kind in "abc"]
+    texts = []
+    for kind in rng.choice(3, 500, p=[0.7, 0.2, 0.1]).tolist():
+        texts.append(" ".join(words[kind][min(x, 299)] for x in rng.zipf(1.3, rng.integers(0, 60)).tolist()))
+    texts += [texts[7]] * 20 + [texts[9] + " " + texts[10], None, "", "a1 " * 70_000 + "b2", *(f"a1 c{x}" for x in range(40))]
+    ids = rng.permutation(len(texts)).tolist()
+    held = [Counter((t or "").split()) for t in texts]
+    df, n = Counter(w for h in held for w in h), len(texts)
+    average = sum(sum(h.values()) for h in held) / n
+    asked = [i for i in range(0, n, 3) if held[i]]
+    batch = pa.record_batch([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    hashed = {w: search.Words(pa.array([w])).hash[0] for w in df}
+    terms = np.unique(np.array(list(hashed.values())))
+    idf = np.zeros(len(terms))
+    for w, h in hashed.items():
+        idf[np.searchsorted(terms, h)] = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+    rows = [np.sort(np.searchsorted(terms, [hashed[w] for w in held[i]])) for i in asked]
+    query = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    expected = []
+    for q in asked:
+        scores = [round(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * h[w] * 2.2 / (h[w] + 1.2 * (0.25 + 0.75 * sum(h.values()) / average)) for w in held[q] if w in h), 6) for h in held]
+        expected.append(sorted((-s, ids[d]) for d, s in enumerate(scores) if held[d].keys() & held[q].keys())[:k])
+    for small in ({}, {"POSTINGS": 900, "STRETCH": 4, "DENSE": 0.3, "AT_ONCE": 5, "CELLS": 300, "ADDED": 50}, {"POSTINGS": 2500, "BLOCK": 150, "WIDE": 5, "DENSE": 0.1, "ADDED": 7}):
+        for name, value in small.items():
+            monkeypatch.setattr(search, name, value)
+        found, least = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), np.full(len(asked), -1.0)
+        shards = list(search._indexed(iter([batch.slice(a, 40) for a in range(0, n, 40)])))
+        assert len(shards) > 1 or not small
+        for made in shards:
+            shard = search.Shard({c: made.column(c)[0].as_py() for c in made.schema.names}, average)
+            number = shard.valued(terms, idf)
+            more = shard.best_of(query, number[np.concatenate(rows)], least, k)
+            found = search._best(k, *(np.concatenate(x) for x in zip(found, more)))
+            for q in range(len(asked)):
+                own = found[1][found[0] == q]
+                least[q] = own[-1] if len(own) == k else -1
+        for q, best in enumerate(expected):
+            got = sorted(zip((-found[1][found[0] == q]).tolist(), found[2][found[0] == q].tolist()))
+            assert [i for _, i in got] == [i for _, i in best] and np.allclose([s for s, _ in got], [s for s, _ in best], atol=1.1e-6), (small, q)
