@@ -168,6 +168,14 @@ def grams(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run):  # noqa: ANN001, ANN201
     """A batch function that gives its memory back to the system when its task ends: workers wait for their next task with little."""
 
@@ -176,10 +184,7 @@ def tidy(run):  # noqa: ANN001, ANN201
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 

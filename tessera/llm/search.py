@@ -34,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_ALNUM, U64, Words, slices, tidy, written
+from tessera.llm.common import NOT_ALNUM, U64, Words, give_back, slices, tidy, written
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK, WIDE = 32_768, 32_768, 512
 #: Postings that a shard holds at most, but for those of its last few texts (some 40 bytes each while it is built).
-POSTINGS = 1 << 22
+POSTINGS = 3 << 20
 #: Queries and terms (a query's distinct ones) of a pack at most, but for its last query.
-PACK, PACK_TERMS = 8192, 1 << 22
+PACK, PACK_TERMS = 4096, 1 << 21
 #: Terms of queries that meet a shard at once, queries that meet a block at once, their scores, and postings that are added at once, or those of one query.
-ASKED, AT_ONCE, CELLS, ADDED = 1 << 18, 256, 1 << 21, 1 << 17
+ASKED, AT_ONCE, CELLS, ADDED = 1 << 17, 256, 1 << 21, 1 << 17
 #: Documents of a block that are bounded together.
 STRETCH = 8
 #: Share of a block's documents from which a term is in its dense matrix (of WIDE terms at most); below, posting lists are quicker.
@@ -146,6 +146,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if docs >= SHARD or postings >= POSTINGS:
                 yield index()
                 shard, docs, postings = shard + 1, 0, 0
+                give_back()
     if held:
         yield index()
 
@@ -353,7 +354,7 @@ class Shard:
         for q, total in zip(heavy.tolist(), product):
             rest = self._listed(block, runs[begin[q] : begin[q + 1]])
             total = total + rest
-            if step:  # of the maxima of stretches of documents the k-th is no more than the k-th best score
+            if step and least[q] < 0:  # of the maxima of stretches of documents the k-th is no more than the k-th best score
                 most = total[: block.n // step * step].reshape(-1, step).max(1)
                 reach[q] = max(reach[q], np.partition(most, -k)[-k] * (1 - MARGIN) - 1e-5)
             doc = np.flatnonzero(total >= reach[q])
@@ -441,6 +442,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 10, query_id: str = "do
                 least[pack][full] = score[np.searchsorted(q, full, "right") - 1]
                 shard = row = ids = sizes = df = number = own = None  # before the next one is read
             batch = None
+            give_back()
         for pack, (q, score, doc) in found.items():
             yield pa.record_batch([pa.array(query_ids[pack][q]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
 
